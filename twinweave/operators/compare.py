@@ -4,6 +4,9 @@ All features of a side are gathered into one profile per instance, so a pair nee
 two joins however many features there are.  Pairs carry only a 128-bit profile
 identity; each distinct pair of profiles is scored once, which is what keeps a large
 group of copies from being compared copy by copy.
+
+A profile is one row.  Instances with too many values for that are compared row by
+row instead, with the same result, see ``compare_rows``.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from twinweave.functions.similarity import (
     exact_jaccard, levenshtein_similarity, ratio_grid, soft_jaccard,
 )
 from twinweave.functions.text import clean
-from twinweave.operators.skew import lookup_join
+from twinweave.operators.skew import balanced_join, lookup_join
 from twinweave.schema import PAIR, SOURCE, TARGET
 from twinweave.sources.stage import materialise
 
@@ -51,24 +54,29 @@ class Relation:
 
 Feature = Attribute | Relation
 
+# Values over all features that a profile row may hold.
+PROFILE_VALUES = 10_000
+
 
-def _values(features: list[Feature], side: str) -> DataFrame:
-    """``(sub, f, val)`` of all features; ``val`` may be NULL for attributes only."""
+def _values(features: list[Feature]) -> DataFrame:
+    """``(db, sub, f, val)`` of all features; ``val`` may be NULL for attributes only."""
     parts = []
     for i, feature in enumerate(features):
-        kv = getattr(feature, side)
-        if isinstance(feature, Attribute):
-            part = kv.select("sub", F.lit(i).alias("f"), clean(F.col("obj"), feature.ignore).alias("val"))
-        else:
-            part = kv.where(F.col("obj").isNotNull()).select(
-                "sub", F.lit(i).alias("f"), F.lower("obj").alias("val")
+        for side in PAIR:
+            kv = getattr(feature, side)
+            if isinstance(feature, Attribute):
+                val = clean(F.col("obj"), feature.ignore)
+            else:
+                kv = kv.where(F.col("obj").isNotNull())
+                val = F.lower("obj")
+            parts.append(
+                kv.select(F.lit(side).alias("db"), "sub", F.lit(i).alias("f"), val.alias("val"))
             )
-        parts.append(part)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _profiles(values: DataFrame, features: list[Feature], prefix: str) -> DataFrame:
-    """``(sub, pid, {prefix}0..)`` with one sorted array per feature, NULL when empty."""
+def _profiles(values: DataFrame, features: list[Feature]) -> DataFrame:
+    """``(db, sub, pid, f0..)`` with one sorted array per feature, NULL when empty."""
     columns = []
     for i, feature in enumerate(features):
         here = F.col("f") == i
@@ -78,13 +86,11 @@ def _profiles(values: DataFrame, features: list[Feature], prefix: str) -> DataFr
             held = F.transform(held, lambda v: v["val"])
         else:
             held = F.sort_array(F.collect_set(F.when(here, F.col("val"))))
-        columns.append(held.alias(f"{prefix}{i}"))
-    arrays = values.groupBy("sub").agg(*columns)
-    names = [f"{prefix}{i}" for i in range(len(features))]
-    arrays = arrays.select(
-        "sub", *[F.when(F.size(n) > 0, F.col(n)).alias(n) for n in names]
-    )
-    return arrays.withColumn("pid", F.unhex(F.md5(F.to_json(F.struct(*names)))))
+        columns.append(held.alias(f"f{i}"))
+    names = [f"f{i}" for i in range(len(features))]
+    return values.groupBy("db", "sub").agg(*columns).select(
+        "db", "sub", *[F.when(F.size(n) > 0, F.col(n)).alias(n) for n in names]
+    ).withColumn("pid", F.unhex(F.md5(F.to_json(F.struct(*names)))))
 
 
 def _grid(feature: Attribute, s: Column, t: Column) -> Column:
@@ -102,7 +108,10 @@ def _grid(feature: Attribute, s: Column, t: Column) -> Column:
                 return (x == y).cast("double")
         grid = F.flatten(F.transform(s, lambda x: F.transform(t, lambda y: one(x, y))))
     filled = F.transform(grid, lambda g: F.coalesce(g, default))
-    return F.when(s.isNull() | t.isNull(), F.array(default)).otherwise(filled)
+    # A value without a counterpart still counts as a combination.
+    n = F.coalesce(F.when(s.isNotNull(), F.size(s)), F.when(t.isNotNull(), F.size(t)), F.lit(1))
+    alone = F.array_repeat(default, n)
+    return F.when(s.isNull() | t.isNull(), alone).otherwise(filled)
 
 
 def _overlap(feature: Relation, s: Column, t: Column) -> Column:
@@ -130,7 +139,8 @@ def _score_profiles(combos: DataFrame, features: list[Feature], multi: str) -> D
     return scored.select("s_pid", "t_pid", F.array(*names).alias("sim_v"))
 
 
-def compare(pairs: DataFrame, features: list[Feature], multi: str = "fanout") -> DataFrame:
+def compare(pairs: DataFrame, features: list[Feature], multi: str = "fanout",
+            profile_values: int = PROFILE_VALUES) -> DataFrame:
     """``(source, target, sim_v)`` with one element per feature, in the given order.
 
     Attributes with several values give one row per combination (``fanout``) or the
@@ -140,30 +150,142 @@ def compare(pairs: DataFrame, features: list[Feature], multi: str = "fanout") ->
         raise ValueError("multi must be 'fanout' or 'max'")
     if not features:
         raise ValueError("at least one feature is needed")
+    values = _values(features)
+    sizes = _counted(values, "db", "sub")
+    large = sizes.where(F.col("n") > profile_values)
+    if large.isEmpty():
+        return _compare_profiles(pairs, values, features, multi)
+
+    large = materialise(large.select("db", "sub"), "large-instances")
+    tagged = pairs.select(*PAIR)
+    for side, other in ((SOURCE, TARGET), (TARGET, SOURCE)):
+        found = large.where(F.col("db") == side).select(
+            F.col("sub").alias(side), F.lit(1).alias(f"_{side}")
+        )
+        tagged = lookup_join(
+            tagged, found, [side], [other], "left", counts=_counted(pairs, side)
+        )
+    is_large = F.col("_source").isNotNull() | F.col("_target").isNotNull()
+    tagged = materialise(tagged.select(*PAIR, is_large.alias("large")), "tagged-pairs")
+    small = lookup_join(values, large, ["db", "sub"], ["f", "val"], "left_anti", counts=sizes)
+    return _compare_profiles(
+        tagged.where(~F.col("large")).select(*PAIR), small, features, multi
+    ).unionByName(
+        compare_rows(tagged.where("large").select(*PAIR), values, features, multi)
+    )
+
+
+def _compare_profiles(pairs: DataFrame, values: DataFrame, features: list[Feature],
+                      multi: str) -> DataFrame:
     none = F.unhex(F.lit(""))
+    profiles = materialise(_profiles(values, features), "profiles")
     links = pairs.select(*PAIR)
-    contents = {}
-    for side, other, prefix in ((SOURCE, TARGET, "s"), (TARGET, SOURCE, "t")):
-        profiles = materialise(_profiles(_values(features, side), features, prefix), "profiles")
-        pid = f"{prefix}_pid"
-        arrays = [c for c in profiles.columns if c not in ("sub", "pid")]
-        contents[prefix] = profiles.groupBy(F.col("pid").alias(pid)).agg(
-            *[F.any_value(c).alias(c) for c in arrays]
+    for side, other, pid in ((SOURCE, TARGET, "s_pid"), (TARGET, SOURCE, "t_pid")):
+        ids = profiles.where(F.col("db") == side).select(
+            F.col("sub").alias(side), F.col("pid").alias(pid)
         )
         links = lookup_join(
-            links, profiles.select(F.col("sub").alias(side), F.col("pid").alias(pid)),
-            [side], [other], "left",
-            counts=pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")),
+            links, ids, [side], [other], "left", counts=_counted(pairs, side)
         ).withColumn(pid, F.coalesce(pid, none))
     links = materialise(links, "links")
-    combos = materialise(links.select("s_pid", "t_pid").distinct(), "combos")
-    both = lookup_join(combos, contents["s"], ["s_pid"], ["t_pid"], "left")
-    both = lookup_join(
-        both, contents["t"], ["t_pid"], ["s_pid"], "left",
-        counts=combos.groupBy("t_pid").agg(F.count(F.lit(1)).alias("n")),
-    )
+    combos = materialise(_counted(links, "s_pid", "t_pid"), "combos")
+    names = [f"f{i}" for i in range(len(features))]
+    contents = profiles.groupBy("pid").agg(*[F.any_value(n).alias(n) for n in names])
+    both = combos.drop("n")
+    for pid, other, prefix in (("s_pid", "t_pid", "s"), ("t_pid", "s_pid", "t")):
+        side = contents.select(
+            F.col("pid").alias(pid), *[F.col(n).alias(prefix + n[1:]) for n in names]
+        )
+        both = lookup_join(both, side, [pid], [other], "left", counts=_counted(combos, pid))
     scored = materialise(_score_profiles(both, features, multi), "scored")
-    return lookup_join(links, scored, ["s_pid", "t_pid"], PAIR).select(*PAIR, "sim_v")
+    return lookup_join(links, scored, ["s_pid", "t_pid"], PAIR, counts=combos).select(
+        *PAIR, "sim_v"
+    )
+
+
+def _counted(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def compare_rows(pairs: DataFrame, values: DataFrame, features: list[Feature],
+                 multi: str = "fanout") -> DataFrame:
+    """``compare`` without gathering the values of an instance anywhere."""
+    pairs = materialise(pairs, "row-pairs")
+    out = pairs
+    for i, feature in enumerate(features):
+        held = materialise(values.where(F.col("f") == i).select("db", "sub", "val"), "values")
+        name = f"f{i}"
+        if isinstance(feature, Relation):
+            out = out.join(_row_overlap(pairs, held.distinct(), feature, name), PAIR)
+            continue
+        rows = _attach(_attach(pairs, held, SOURCE, "_s"), held, TARGET, "_t").select(
+            *PAIR, _grid(feature, F.array("_s"), F.array("_t"))[0].alias(name)
+        )
+        if multi == "max":
+            rows = rows.groupBy(*PAIR).agg(F.max(name).alias(name))
+        out = balanced_join(out, rows, PAIR, [*out.columns[2:]] or PAIR, [name])
+    names = [f"f{i}" for i in range(len(features))]
+    return out.select(*PAIR, F.array(*names).alias("sim_v"))
+
+
+def _attach(rows: DataFrame, held: DataFrame, side: str, name: str) -> DataFrame:
+    """Left join of the values of one side; both sides of a key may be large."""
+    values = held.where(F.col("db") == side).select(
+        F.col("sub").alias(side), F.col("val").alias(name)
+    )
+    other = [c for c in rows.columns if c != side]
+    met = balanced_join(rows, values, [side], other, [name])
+    alone = rows.join(values.select(side).distinct(), side, "left_anti")
+    return met.unionByName(alone.withColumn(name, F.lit(None).cast("string")))
+
+
+def _row_overlap(pairs: DataFrame, held: DataFrame, feature: Relation, name: str) -> DataFrame:
+    """``(source, target, name)``: soft Jaccard from matching value pairs only."""
+    sizes = {
+        side: held.where(F.col("db") == side).groupBy(F.col("sub").alias(side)).agg(
+            F.count(F.lit(1)).alias(f"n_{side}"))
+        for side in PAIR
+    }
+    xs = balanced_join(
+        pairs, held.where(F.col("db") == SOURCE).select(
+            F.col("sub").alias(SOURCE), F.col("val").alias("x")), [SOURCE], [TARGET], ["x"])
+    ys = held.where(F.col("db") == TARGET).select(F.col("sub").alias(TARGET), F.col("val").alias("y"))
+    if feature.threshold >= 1.0:
+        matched = xs.join(ys.withColumnRenamed("y", "x"), [TARGET, "x"], "left_semi")
+    else:
+        x, y = F.length("x"), F.length("y")
+        near = balanced_join(xs, ys, [TARGET], [SOURCE, "x"], ["y"]).where(
+            (F.col("x") == F.col("y"))
+            | (2 * F.least(x, y) >= F.lit(float(feature.threshold)) * (x + y))
+        )
+        ratio = _grid(Attribute(pairs, pairs), F.array("x"), F.array("y"))[0]
+        edges = materialise(near.where(ratio >= feature.threshold).select(*PAIR, "x", "y"), "edges")
+        matched = _greedy(edges)
+    found = matched.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("d"))
+    sized = pairs.join(found, PAIR, "left")
+    for side, other in ((SOURCE, TARGET), (TARGET, SOURCE)):
+        sized = lookup_join(
+            sized, sizes[side], [side], [other], "left", counts=_counted(pairs, side)
+        )
+    d = F.coalesce("d", F.lit(0))
+    sim = d / (F.col("n_source") + F.col("n_target") - d)
+    return sized.select(*PAIR, F.coalesce(sim, F.lit(float(feature.default))).alias(name))
+
+
+def _greedy(edges: DataFrame) -> DataFrame:
+    """One ``y`` per ``x``: values of the source in order take their first free match.
+
+    Every ``x`` asks for its first ``y`` and every ``y`` keeps its first ``x``; refused
+    edges are struck out until none is refused.  All ``y`` share the order of ``x``, so
+    this ends in the same matching as going through ``x`` one after the other.
+    """
+    while True:
+        asked = edges.groupBy(*PAIR, "x").agg(F.min("y").alias("y"))
+        kept = asked.groupBy(*PAIR, "y").agg(F.min("x").alias("x"))
+        refused = materialise(asked.join(kept, [*PAIR, "x", "y"], "left_anti"), "refused")
+        if refused.isEmpty():
+            return kept
+        edges = materialise(edges.join(refused, [*PAIR, "x", "y"], "left_anti"), "edges")
 
 
 def attribute_similarity(pairs: DataFrame, source: DataFrame, target: DataFrame,

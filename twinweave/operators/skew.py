@@ -1,9 +1,9 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Both joins first count rows per key (pre-aggregated on the map side), then split
-only the keys that carry more than one task's share of the total.  At most
-``n_tasks`` keys can exceed ``total / n_tasks``, so the list of split keys is small
-enough to broadcast whatever the size of the data.
+Both joins first count rows per key (pre-aggregated on the map side) and look at the
+``n_tasks`` largest keys only: no more than that many can exceed a task's fair share
+of the total.  That list is all the driver sees and all that is broadcast, whatever
+the size of the data.  Without such keys the plan is the plain join.
 """
 
 from __future__ import annotations
@@ -26,26 +26,32 @@ def _steps(n: Column) -> Column:
     return F.sequence(F.lit(0), n.cast("int") - 1)
 
 
+def _largest(rows: DataFrame, by: str, n: int) -> DataFrame | None:
+    """The ``n`` largest rows as a local table, None when there are none."""
+    found = rows.orderBy(F.desc(by)).limit(n).collect()
+    return rows.sparkSession.createDataFrame(found, rows.schema) if found else None
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
                 how: str = "inner", counts: DataFrame | None = None,
                 n_tasks: int | None = None, min_rows: int = 100_000) -> DataFrame:
     """Join a possibly skewed ``left`` with a ``right`` that has few rows per key.
 
-    Keys holding more than a task's share of ``left`` are spread over several tasks
-    by a hash of ``spread_by``, and their right rows are repeated once per task.
+    The largest keys of ``left``, from ``min_rows`` rows on, are spread over several
+    tasks by a hash of ``spread_by``, and their right rows are repeated once per task.
     ``counts (on..., n)`` may be passed when it is known already.  Same result as
-    ``left.join(right, on, how)`` for ``inner``, ``left`` and ``left_semi``.
+    ``left.join(right, on, how)`` for the kinds that keep or drop left rows.
     """
-    if how not in ("inner", "left", "left_semi"):
-        raise ValueError("lookup_join supports inner, left and left_semi")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("lookup_join supports inner, left, left_semi and left_anti")
     n_tasks = n_tasks or default_tasks(left.sparkSession)
     if counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    share = F.col("n") * n_tasks
-    hot = counts.where((F.col("n") >= min_rows) & (share > total)).select(
-        *on, F.least(F.lit(n_tasks), F.ceil(share / total)).cast("int").alias("_parts")
-    )
+    hot = _largest(counts.where(F.col("n") >= min_rows), "n", n_tasks)
+    if hot is None:
+        return left.join(right, on, how)
+    share = F.ceil(F.col("n") / F.lit(min_rows))
+    hot = hot.select(*on, F.least(F.lit(n_tasks), share).cast("int").alias("_parts"))
     spread = left.join(F.broadcast(hot), on, "left").withColumn(
         _SALT, F.when(F.col("_parts").isNull(), 0).otherwise(_bucket(spread_by, F.col("_parts")))
     ).drop("_parts")
@@ -62,9 +68,13 @@ def key_counts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return nl.join(nr, on)
 
 
+def _with_load(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("load", F.col("nl").cast("double") * F.col("nr"))
+
+
 def load_parts(counts: DataFrame, n_workers: int) -> DataFrame:
     """Add ``load`` (pairs of the key) and ``n_part`` to ``(on..., nl, nr)``."""
-    loads = counts.withColumn("load", F.col("nl").cast("double") * F.col("nr"))
+    loads = _with_load(counts)
     total = loads.agg(F.sum("load")).scalar()
     parts = F.ceil(F.col("load") * n_workers / total)
     return loads.withColumn("n_part", F.greatest(F.lit(1), parts).cast("bigint"))
@@ -92,12 +102,18 @@ def balanced_join(left: DataFrame, right: DataFrame, on: list[str],
     ``nl + nr*n_part``.  ``counts (on..., nl, nr)`` may be passed when known already.
     """
     n_workers = n_workers or default_tasks(left.sparkSession)
-    report = load_parts(key_counts(left, right, on) if counts is None else counts, n_workers)
-    even = F.round(F.sqrt(F.col("n_part") * F.col("nl") / F.col("nr")))
+    counts = key_counts(left, right, on) if counts is None else counts
+    loads = _with_load(counts)
+    hot = _largest(loads.where(F.col("load") >= min_load), "load", n_workers)
+    if hot is None:
+        return left.join(right, on)
+    total = loads.agg(F.sum("load")).first()[0]
+    parts = F.ceil(F.col("load") / F.lit(max(min_load, total / n_workers, 1.0)))
+    even = F.round(F.sqrt(F.col("_n") * F.col("nl") / F.col("nr")))
     cells = (
-        report.where((F.col("n_part") > 1) & (F.col("load") >= min_load))
-        .withColumn("_a", F.greatest(F.lit(1), F.least("n_part", "nl", even)).cast("int"))
-        .withColumn("_b", F.least("nr", F.ceil(F.col("n_part") / F.col("_a"))).cast("int"))
+        hot.withColumn("_n", F.greatest(F.lit(1), parts))
+        .withColumn("_a", F.greatest(F.lit(1), F.least("_n", "nl", even)).cast("int"))
+        .withColumn("_b", F.least("nr", F.ceil(F.col("_n") / F.col("_a"))).cast("int"))
         .select(*on, "_a", "_b")
     )
     a = F.coalesce("_a", F.lit(1))
