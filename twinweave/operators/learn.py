@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.config import FtrlParams
@@ -63,6 +63,18 @@ def unusable(labels: DataFrame, dim: int) -> DataFrame:
     return labels.where(F.coalesce(F.size("sim_v"), F.lit(-1)) != dim)
 
 
+def _first_examples(examples: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` examples of every model, cut down in slices before they meet."""
+    for by in (["model", "_slice"], ["model"]):
+        in_order = Window.partitionBy(*by).orderBy("ord", "x", "y")
+        examples = (
+            examples.withColumn("_slice", F.pmod(F.xxhash64("ord"), F.lit(64)))
+            .withColumn("_n", F.row_number().over(in_order))
+            .where(F.col("_n") <= n).drop("_slice", "_n")
+        )
+    return examples
+
+
 def ftrl_fit(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
              seed: int = 0) -> DataFrame:
     """Exact sequential learner, one model row per value of column ``model``.
@@ -70,12 +82,7 @@ def ftrl_fit(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
     At most ``max_iter`` updates are made, so only the first ``max_iter`` labels of a
     model in the random order can take part; the rest never leaves the map side.
     """
-    from pyspark.sql import Window
-
-    in_order = Window.partitionBy("model").orderBy("ord", "x", "y")
-    first = _examples(labels, dim, seed).withColumn(
-        "_n", F.row_number().over(in_order)
-    ).where(F.col("_n") <= params.max_iter)
+    first = _first_examples(_examples(labels, dim, seed), params.max_iter)
     folded = first.groupBy("model").agg(_collected().alias("examples")).select(
         "model",
         ftrl.until_settled(F.col("examples"), ftrl.zero_state(dim), params).alias("state"),

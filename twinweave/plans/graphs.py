@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinweave.config import FtrlParams
 from twinweave.operators.learn import ftrl_score
+from twinweave.operators.skew import balanced_join
 from twinweave.schema import PAIR
 from twinweave.sources import new_model, spread_small
 
@@ -66,7 +67,8 @@ class Documents:
             kv.select(F.col("sub").alias(name), F.md5("obj").alias("digest"), F.length("obj").alias("n"))
             for kv, name in zip(self.text(), PAIR)
         ]
-        return ids[0].join(ids[1], ["digest", "n"]).select(*PAIR)
+        met = balanced_join(*ids, ["digest", "n"], ["source"], ["target"])
+        return met.select(*PAIR)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
