@@ -34,7 +34,7 @@ def _largest(rows: DataFrame, by: str, n: int) -> DataFrame | None:
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
                 how: str = "inner", counts: DataFrame | None = None,
-                n_tasks: int | None = None, min_rows: int = 100_000) -> DataFrame:
+                n_tasks: int | None = None, min_rows: int = 1_000_000) -> DataFrame:
     """Join a possibly skewed ``left`` with a ``right`` that has few rows per key.
 
     The largest keys of ``left``, from ``min_rows`` rows on, are spread over several

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.config import ASCII_TOKENS
-from twinweave.functions.text import let, tokens, value_id, word_keys
+from twinweave.functions.text import tokens, value_id, word_keys
 from twinweave.operators.skew import default_tasks, lookup_join
 
 # A word is common when it makes up more than 1/COMMON_SHARE of all occurrences, so
@@ -39,10 +39,10 @@ def word_frequency(*sides: tuple[DataFrame, str] | DataFrame) -> DataFrame:
 
 def rare_words(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
                pattern: str = ASCII_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(keep..., sub, value, words)`` with the words of the ``max_len`` rarest ranks.
+    """``(keep..., sub, value, word, cnt)``: the words of the ``max_len`` rarest ranks.
 
-    ``words`` is ``array<struct<cnt, word>>``; words of equal frequency share a rank.
-    ``frequency`` should be a stage: it is read several times.
+    Words of equal frequency share a rank.  ``frequency`` should be a stage: it is read
+    several times.
 
     Two measures keep frequent words from dominating the shuffle.  With
     ``max_len == 1`` a value that holds any uncommon word needs none of its common
@@ -73,18 +73,26 @@ def rare_words(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
         counts=frequency.select("word", F.col("cnt").alias("n")),
         n_tasks=default_tasks(kv.sparkSession),
     )
-    # A group is the words of one value, i.e. of one input cell.
-    grouped = counted.groupBy(*keep, "sub", "value").agg(
-        F.collect_set(F.struct("cnt", "word")).alias("words")
-    )
-    ranks = F.sort_array(F.array_distinct(F.transform("words", lambda w: w["cnt"])))
-    last = F.array_max(F.slice(ranks, 1, max_len))
-    rarest = let(last, lambda top: F.filter("words", lambda w: w["cnt"] <= top))
-    return grouped.select(*keep, "sub", "value", rarest.alias("words"))
+    # A window holds the words of one value, i.e. of one input cell.
+    of_value = Window.partitionBy(*keep, "sub", "value")
+    if max_len == 1:
+        ranked = counted.withColumn("_first", F.min("cnt").over(of_value))
+        kept = ranked.where(F.col("cnt") == F.col("_first"))
+    else:
+        ranked = counted.withColumn("_rank", F.dense_rank().over(of_value.orderBy("cnt")))
+        kept = ranked.where(F.col("_rank") <= max_len)
+    return kept.select(*keep, "sub", "value", "word", "cnt")
 
 
 def rare_word_keys(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
                    pattern: str = ASCII_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(keep..., sub, key)``, distinct.  A ``sub`` without any token has no row."""
     words = rare_words(kv, frequency, max_len, pattern, keep)
-    return words.select(*keep, "sub", F.explode(word_keys(F.col("words"))).alias("key")).distinct()
+    if max_len == 1:
+        return words.select(*keep, "sub", F.col("word").alias("key")).distinct()
+    by_value = words.groupBy(*keep, "sub", "value").agg(
+        F.collect_set(F.struct("cnt", "word")).alias("words")
+    )
+    return by_value.select(
+        *keep, "sub", F.explode_outer(word_keys(F.col("words"))).alias("key")
+    ).where(F.col("key").isNotNull()).distinct()
