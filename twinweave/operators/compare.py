@@ -55,7 +55,7 @@ class Relation:
 Feature = Attribute | Relation
 
 # Values over all features that a profile row may hold.
-PROFILE_VALUES = 10_000
+PROFILE_VALUES = 2_000
 
 
 def _values(features: list[Feature]) -> DataFrame:
