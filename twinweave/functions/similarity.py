@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Send these small functions with the tasks, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _ratio(x: str, y: str, at_least: float = 0.0) -> float:
     """Matching-block ratio; 0.0 once a cheap upper bound falls below ``at_least``."""
