@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 
 from twinweave.operators.blocking import (
-    Level, block_keys, candidate_pairs, key_table, pair_load, partition_keys, unique_pairs,
+    Level, block_keys, candidate_pairs, instances, key_table, pair_load, partition_keys, unique_pairs,
 )
 from twinweave.operators.words import rare_word_keys, tokenize, word_frequency
 
@@ -134,3 +134,30 @@ def test_bad_arguments(kv):
         block_keys(s, s, [], "wildcard")
     with pytest.raises(ValueError):
         block_keys(s, s, [Level(s, s)], "unknown")
+
+
+def test_repeated_prefix_rows_lose_no_pair(spark, kv):
+    left = kv([("a1", "x"), ("a2", "x"), ("b1", "y"), ("b2", "y")])
+    right = kv([("c1", "x"), ("c2", "x"), ("d1", "y"), ("d2", "y")])
+    once = instances(left, right)
+    level = [Level(left, right, None)]
+    want = rows(candidate_pairs(block_keys(left, right, level, prefix=once)))
+    twice = once.unionByName(once)
+    assert rows(candidate_pairs(block_keys(left, right, level, prefix=twice))) == want
+    assert len(want) == 8
+
+
+@pytest.mark.parametrize("missing", ["wildcard", "null_block", "drop"])
+def test_load_from_counts_equals_the_expanded_table(spark, kv, missing):
+    left = kv([("a1", "x"), ("a2", "x"), ("a3", "y"), ("a5", "z")])
+    right = kv([("c1", "x"), ("c2", "q"), ("c3", "y"), ("c3", "x")])
+    full_l, full_r = left.unionByName(kv([("a8", "-"), ("a9", "-")])), right.unionByName(kv([("c9", "-")]))
+    keys = block_keys(full_l, full_r, [Level(left, right, None)], missing)
+    load = pair_load(keys, 3)
+    plan = load._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    n = {}
+    for r in keys.candidate.collect():
+        n.setdefault("$" + "$".join(r.path), {"source": 0, "target": 0})[r.db] += 1
+    want = {k: (v["source"], v["target"]) for k, v in n.items() if v["source"] and v["target"]}
+    assert {r.key: (r.nl, r.nr) for r in load.collect()} == want

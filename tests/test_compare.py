@@ -88,3 +88,11 @@ def test_vector_follows_feature_order(kv, pairs):
         Attribute(s, none, 0.4), Attribute(s, t), Relation(none, t, 0.7),
     ]).first()["sim_v"]
     assert vector == [0.4, 1.0, 0.7]
+
+
+def test_levenshtein_of_null_and_empty(spark):
+    from twinweave.functions.similarity import levenshtein_similarity
+
+    df = spark.createDataFrame([(None, ""), ("", None), ("", ""), ("ab", "")], "x string, y string")
+    got = [r[0] for r in df.select(levenshtein_similarity(df.x, df.y)).collect()]
+    assert got == [None, None, 1.0, 0.0]

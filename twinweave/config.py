@@ -119,8 +119,6 @@ class MatchingConfig:
     train_size: int = 200
     seed: int = 0
     mode: str = "top1"
-    source_tag: str = "source"
-    target_tag: str = "target"
 
     def __post_init__(self):
         _require(self.block_by or self.partition_by, "at least one level is needed")
@@ -129,7 +127,6 @@ class MatchingConfig:
         _require(self.multi in ("fanout", "max"), "multi must be 'fanout' or 'max'")
         _require(self.mode in ("top1", "mutual_best"), "mode must be 'top1' or 'mutual_best'")
         _require(self.train_size >= 2, "train_size must be at least 2")
-        _require(self.source_tag != self.target_tag, "the two tags must differ")
         names = [f.name for f in (*self.attributes, *self.relations)]
         _require(len(names) == len(set(names)), "feature names must be unique")
         for name in names:

@@ -61,9 +61,10 @@ def soft_jaccard(xs: pd.Series, ys: pd.Series, threshold: pd.Series) -> pd.Serie
 
 
 def levenshtein_similarity(x: Column, y: Column) -> Column:
-    """``1 - distance / longer length``; 1.0 for two empty strings."""
+    """``1 - distance / longer length``; 1.0 for two empty strings, NULL beside a NULL."""
     longer = F.greatest(F.length(x), F.length(y))
-    return F.when(longer == 0, 1.0).otherwise(1.0 - F.levenshtein(x, y) / longer)
+    known = x.isNotNull() & y.isNotNull()
+    return F.when(known & (longer == 0), 1.0).otherwise(1.0 - F.levenshtein(x, y) / longer)
 
 
 def exact_jaccard(xs: Column, ys: Column) -> Column:

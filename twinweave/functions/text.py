@@ -64,16 +64,21 @@ def render_key(path: Column) -> Column:
     return F.concat(F.lit(LEVEL_SEPARATOR), F.array_join(path, LEVEL_SEPARATOR))
 
 
-def pair_order(*columns: str, seed: int) -> Column:
-    """Reproducible pseudo-random order of rows, independent of partitioning."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
+def pair_order(*columns: str, seed: int, use: str) -> Column:
+    """Reproducible pseudo-random order of rows, independent of partitioning.
+
+    Every ``use`` (``sample``, ``thin``, ``order``) has a hash of its own, so rows picked
+    by one are in no particular order for another.
+    """
+    return F.md5(F.concat_ws(
+        "|", *[F.col(c).cast("string") for c in columns], F.lit(f"{seed}|{use}")))
 
 
 def keep_fraction(rate: float, *columns: str, seed: int) -> Column:
-    """True for about ``rate`` of the rows, decided by the same hash as ``pair_order``."""
+    """True for about ``rate`` of the rows, decided by a hash of its own."""
     if not 0.0 <= rate <= 1.0:
         raise ValueError("a rate lies in [0, 1]")
     if rate == 1.0:
         return F.lit(True)
     limit = format(int(rate * 16**8), "08x")
-    return F.substring(pair_order(*columns, seed=seed), 1, 8) < limit
+    return F.substring(pair_order(*columns, seed=seed, use="thin"), 1, 8) < limit

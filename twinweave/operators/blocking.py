@@ -141,7 +141,8 @@ def block_keys(source: DataFrame, target: DataFrame, levels: list[Level],
         raise ValueError(f"missing must be one of {MISSING_POLICIES}")
     if not levels:
         raise ValueError("at least one level is needed")
-    full = instances(source, target) if prefix is None else prefix
+    full = instances(source, target) if prefix is None else (
+        prefix.select("sub", "db", "path").distinct())
     unique = []
     for i, level in enumerate(levels):
         if i:
@@ -176,7 +177,7 @@ def _two_sided(known: DataFrame) -> DataFrame:
 
     Keys that hold the same instances on both sides give the same pairs, so one of
     them is enough: a group of copies meets once, not once per rare word.  Sets are
-    compared by size and by 128 bits of hash per side.
+    compared by size and by two sums of 64-bit hashes per side, which no repetition cancels.
     """
     hashes = {
         "h1": F.xxhash64("sub"),
@@ -187,7 +188,7 @@ def _two_sided(known: DataFrame) -> DataFrame:
         here = F.col("db") == db
         aggregates.append(F.count(F.when(here, 1)).alias(n))
         aggregates += [
-            F.bit_xor(F.when(here, h)).alias(f"{n}_{name}") for name, h in hashes.items()
+            F.sum(F.when(here, h).cast("decimal(38,0)")).alias(f"{n}_{name}") for name, h in hashes.items()
         ]
     identity = ["nl", "nr", "nl_h1", "nl_h2", "nr_h1", "nr_h2"]
     return (
@@ -240,10 +241,20 @@ def pair_load(keys: BlockKeys, n_workers: int | None = None) -> DataFrame:
     can ask for more pairs than anyone wants to compare.
     """
     n_workers = n_workers or default_tasks(keys.known.sparkSession)
-    counts = keys.candidate.groupBy("path").agg(
-        F.count(F.when(F.col("db") == SOURCE, 1)).alias("nl"),
-        F.count(F.when(F.col("db") == TARGET, 1)).alias("nr"),
-    ).where((F.col("nl") > 0) & (F.col("nr") > 0))
-    return load_parts(counts, n_workers).select(
-        render_key(F.col("path")).alias("key"), "nl", "nr", "load", "n_part"
+    at = {db: F.count(F.when(F.col("db") == db, 1)) for db in PAIR}
+    counts = keys.known.groupBy(*_KEY).agg(at[SOURCE].alias("nl"), at[TARGET].alias("nr"))
+    if keys.policy != "drop":
+        lacking = keys.missing.groupBy("path").agg(at[SOURCE].alias("_ms"), at[TARGET].alias("_mt"))
+        null_key = lacking.select(
+            "path", F.lit(MISSING_LEVEL).alias("new_key"), F.col("_ms").alias("nl"), F.col("_mt").alias("nr"))
+        if keys.policy == "wildcard":
+            # A key that one side knows is met by the other side's instances without a value.
+            counts = counts.join(lacking, "path", "left").select(
+                *_KEY,
+                (F.col("nl") + F.when(F.col("nr") > 0, F.coalesce("_ms", F.lit(0))).otherwise(0)).alias("nl"),
+                (F.col("nr") + F.when(F.col("nl") > 0, F.coalesce("_mt", F.lit(0))).otherwise(0)).alias("nr"))
+        counts = counts.unionByName(null_key)
+    met = counts.where((F.col("nl") > 0) & (F.col("nr") > 0))
+    return load_parts(met, n_workers).select(
+        render_key(_extended()).alias("key"), "nl", "nr", "load", "n_part"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from twinweave.sources.stage import materialise
 
 # Labels one task folds in order; larger sets are fitted shard by shard.
 SHARD_ROWS = 5_000
+_SETTINGS = ("l1", "l2", "alpha", "beta")
 
 
 def ftrl_score(pairs: DataFrame, model: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def _examples(labels: DataFrame, dim: int, seed: int) -> DataFrame:
     """``(model, ord, x, y)``: usable rows only, in a reproducible random order."""
     named = labels if "model" in labels.columns else labels.withColumn("model", F.lit("default"))
     return named.where(F.size("sim_v") == dim).select(
-        "model", pair_order(*PAIR, seed=seed).alias("ord"),
+        "model", pair_order(*PAIR, seed=seed, use="order").alias("ord"),
         F.col("sim_v").cast("array<double>").alias("x"),
         F.col("is_match").cast("double").alias("y"),
     )
@@ -53,7 +56,7 @@ def _collected(*by: str) -> Column:
 def _rows(states: DataFrame, dim: int, p: FtrlParams, version: Column) -> DataFrame:
     return states.select(
         "model", F.lit(dim).cast("int").alias("dim"), "state.z", "state.n", "state.w",
-        *[F.lit(float(getattr(p, k))).alias(k) for k in ("l1", "l2", "alpha", "beta")],
+        *[F.lit(float(getattr(p, k))).alias(k) for k in _SETTINGS],
         "state.trained", version.cast("bigint").alias("version"),
     ).select(MODEL.fieldNames())
 
@@ -64,15 +67,20 @@ def unusable(labels: DataFrame, dim: int) -> DataFrame:
 
 
 def _first_examples(examples: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` examples of every model, cut down in slices before they meet."""
+    """The first ``n`` examples of every model.
+
+    A model's labels are cut by hash into slices of about ``SHARD_ROWS``, each of which
+    hands on its first ``n``, so no task sorts all labels of a model whatever ``n`` is.
+    """
+    counts = examples.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    slices = counts.select("model", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("_slices"))
+    sliced = lookup_join(examples, slices, ["model"], ["ord"], counts=counts).withColumn(
+        "_slice", F.pmod(F.xxhash64("ord"), "_slices")
+    )
     for by in (["model", "_slice"], ["model"]):
         in_order = Window.partitionBy(*by).orderBy("ord", "x", "y")
-        examples = (
-            examples.withColumn("_slice", F.pmod(F.xxhash64("ord"), F.lit(64)))
-            .withColumn("_n", F.row_number().over(in_order))
-            .where(F.col("_n") <= n).drop("_slice", "_n")
-        )
-    return examples
+        sliced = sliced.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= n)
+    return sliced.drop("_slice", "_slices", "_n")
 
 
 def ftrl_fit(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
@@ -80,7 +88,7 @@ def ftrl_fit(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
     """Exact sequential learner, one model row per value of column ``model``.
 
     At most ``max_iter`` updates are made, so only the first ``max_iter`` labels of a
-    model in the random order can take part; the rest never leaves the map side.
+    model in the random order can take part; slices of the others stay behind.
     """
     first = _first_examples(_examples(labels, dim, seed), params.max_iter)
     folded = first.groupBy("model").agg(_collected().alias("examples")).select(
@@ -90,16 +98,19 @@ def ftrl_fit(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
     return _rows(folded, dim, params, F.lit(1))
 
 
-def ftrl_fit_distributed(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
-                         epochs: int = 3, shard_rows: int = SHARD_ROWS,
-                         seed: int = 0, start: DataFrame | None = None) -> DataFrame:
-    """Averaged learner for label sets of any size.
+def _settings(source: FtrlParams | None = None) -> dict[str, Column]:
+    """Hyper-parameters as columns: of a model row, or given ones."""
+    return {k: F.col(k) if source is None else F.lit(float(getattr(source, k)))
+            for k in _SETTINGS}
 
-    Labels are cut by hash into shards of about ``shard_rows``.  In every epoch each
-    shard folds its labels in order from the current state, and the states of a model
-    are averaged.  Approximates ``ftrl_fit``; with one shard an epoch is one exact pass.
+
+def _averaged_epochs(examples: DataFrame, start: DataFrame, dim: int, epochs: int,
+                     shard_rows: int) -> DataFrame:
+    """``start (model, state, hyper-parameters)`` after ``epochs`` averaged epochs.
+
+    Every part of a state, the stored weights too, is the mean over the shards, so with
+    one shard an epoch is the exact pass.
     """
-    examples = _examples(labels, dim, seed)
     shards_of = examples.groupBy("model").agg(
         F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("n_shards"),
         F.count(F.lit(1)).alias("n"),
@@ -113,58 +124,79 @@ def ftrl_fit_distributed(labels: DataFrame, dim: int, params: FtrlParams = FtrlP
         .groupBy("model", "shard").agg(_collected().alias("examples")),
         "label-shards",
     )
-    if start is None:
-        state = shards.select("model").distinct().withColumn("state", ftrl.zero_state(dim))
-    else:
-        state = start.select("model", F.struct("z", "n", "w", "trained").alias("state"))
 
     def averaged(name):
         return F.array(*[F.avg(F.col("state")[name][i]) for i in range(dim)]).alias(name)
 
+    settings = start.select("model", *_SETTINGS)
+    state = materialise(start.select("model", "state"), "averaged-state")
     for _ in range(epochs):
-        folded = shards.join(state, "model").select(
-            "model", ftrl.one_pass(F.col("examples"), F.col("state"), params).alias("state")
+        current = state.join(settings, "model")
+        folded = lookup_join(shards, current, ["model"], ["shard"]).select(
+            "model", ftrl.one_pass(
+                F.col("examples"), F.col("state"), SimpleNamespace(**_settings())).alias("state")
         )
         state = materialise(
-            folded.groupBy("model").agg(averaged("z"), averaged("n")).select(
-                "model",
-                F.struct(
-                    "z", "n", ftrl.weights(F.col("z"), F.col("n"), params).alias("w"),
-                    F.lit(True).alias("trained"),
-                ).alias("state"),
+            folded.groupBy("model").agg(averaged("z"), averaged("n"), averaged("w")).select(
+                "model", F.struct("z", "n", "w", F.lit(True).alias("trained")).alias("state"),
             ),
             "averaged-state",
         )
-    return _rows(state, dim, params, F.lit(1))
+    return state
 
 
-def ftrl_update(model: DataFrame, labels: DataFrame, dim: int,
-                params: FtrlParams = FtrlParams(), neg_rate: float = 1.0, seed: int = 0,
-                limit: int = SHARD_ROWS) -> DataFrame:
-    """One pass over newly labelled pairs, keeping ``neg_rate`` of the non-matches.
+def ftrl_fit_distributed(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
+                         epochs: int = 3, shard_rows: int = SHARD_ROWS,
+                         seed: int = 0) -> DataFrame:
+    """Averaged learner for label sets of any size.
 
-    A model with up to ``limit`` new labels is updated exactly, in order.  A batch
-    larger than that is folded shard by shard and averaged, see
-    ``ftrl_fit_distributed``.
+    Labels are cut by hash into shards of about ``shard_rows``.  In every epoch each
+    shard folds its labels in order from the current state, and the states of a model
+    are averaged.  Approximates ``ftrl_fit``; with one shard an epoch is one exact pass.
     """
+    examples = _examples(labels, dim, seed)
+    given = [v.alias(k) for k, v in _settings(params).items()]
+    start = examples.select("model").distinct().select(
+        "model", ftrl.zero_state(dim).alias("state"), *given)
+    return _rows(_averaged_epochs(examples, start, dim, epochs, shard_rows), dim, params, F.lit(1))
+
+
+def _thinned(labels: DataFrame, dim: int, neg_rate: float, seed: int) -> DataFrame:
     kept = labels.where((F.col("is_match") > 0.5) | keep_fraction(neg_rate, *PAIR, seed=seed))
-    examples = _examples(kept, dim, seed)
-    largest = examples.groupBy("model").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if largest is not None and largest > limit:
-        moved = ftrl_fit_distributed(kept, dim, params, 1, limit, seed, start=model)
-        moved = moved.select("model", F.struct("z", "n", "w", "trained").alias("moved"))
-    else:
-        moved = examples.groupBy("model").agg(_collected().alias("examples"))
-        moved = moved.join(model, "model").select(
-            "model",
-            ftrl.one_pass(
-                F.col("examples"), F.struct("z", "n", "w", "trained"), params
-            ).alias("moved"),
-        )
-    touched = F.col("moved").isNotNull()
-    return _rows(
-        model.join(moved, "model", "left").withColumn(
-            "state", F.when(touched, F.col("moved")).otherwise(F.struct("z", "n", "w", "trained"))
-        ),
-        dim, params, F.col("version") + F.when(touched, 1).otherwise(0),
-    )
+    return _examples(kept, dim, seed)
+
+
+def _moved(model: DataFrame, moved: DataFrame) -> DataFrame:
+    """Model rows with the states of ``moved (model, state)`` and the next version."""
+    touched = F.col("state").isNotNull()
+    joined = model.join(moved, "model", "left")
+    for name in ("z", "n", "w", "trained"):
+        joined = joined.withColumn(name, F.when(touched, F.col("state")[name]).otherwise(F.col(name)))
+    return joined.withColumn(
+        "version", F.col("version") + F.when(touched, 1).otherwise(0)
+    ).select(MODEL.fieldNames())
+
+
+def ftrl_update(model: DataFrame, labels: DataFrame, dim: int, neg_rate: float = 1.0,
+                seed: int = 0) -> DataFrame:
+    """One exact pass in order over newly labelled pairs, for every model of ``model``.
+
+    Each model keeps the hyper-parameters of its row.  ``neg_rate`` of the non-matches
+    takes part.  The labels of one model are folded by one task: use
+    ``ftrl_update_averaged`` for batches too large for that.
+    """
+    batches = _thinned(labels, dim, neg_rate, seed).groupBy("model").agg(
+        _collected().alias("examples"))
+    moved = batches.join(model, "model").select("model", ftrl.one_pass(
+        F.col("examples"), F.struct("z", "n", "w", "trained"), SimpleNamespace(**_settings())
+    ).alias("state"))
+    return _moved(model, moved)
+
+
+def ftrl_update_averaged(model: DataFrame, labels: DataFrame, dim: int, neg_rate: float = 1.0,
+                         seed: int = 0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """As ``ftrl_update`` in shards of about ``shard_rows`` labels whose states are averaged."""
+    examples = _thinned(labels, dim, neg_rate, seed)
+    start = model.join(examples.select("model").distinct(), "model", "left_semi").select(
+        "model", F.struct("z", "n", "w", "trained").alias("state"), *_SETTINGS)
+    return _moved(model, _averaged_epochs(examples, start, dim, 1, shard_rows))

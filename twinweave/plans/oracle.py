@@ -106,7 +106,7 @@ _DOC_KEYS = [_DOCS, _TEXT, _rare("txt", 1)]
 _DOC_PAIRS = [*_DOC_KEYS, _pairs("docs")]
 _PAGE_PAIRS = [_TITLES, _TITLE, _rare("ttl", 2), _pairs("ttl")]
 _PARTY_PAIRS = [_NAMES, _rare("names", 1), _pairs("names")]
-_HASHED = "md5(source || '|' || target || '|{seed}')"
+_HASHED = "md5(source || '|' || target || '|{seed}|{use}')"
 
 # Key table of one wildcard level, ``lv(sub, db, obj)`` over ``docs``.
 _WILD_QUALITY = [_DOCS, _QUALITY, """known AS (SELECT DISTINCT sub, db, lower(obj) AS obj FROM quality),
@@ -172,13 +172,13 @@ def _start(source: str) -> str:
 _FIT_EXAMPLES = f"""
   SELECT model, i, least(count(*) OVER (PARTITION BY model), {FIT.max_iter}) AS cnt, x0, x1, x2, y FROM (
     SELECT flag AS model, d AS x0, q AS x1, t AS x2, closed AS y,
-           row_number() OVER (PARTITION BY flag ORDER BY {_HASHED.format(seed=1)}) - 1 AS i FROM op)"""
+           row_number() OVER (PARTITION BY flag ORDER BY {_HASHED.format(seed=1, use="order")}) - 1 AS i FROM op)"""
 
 _UPDATE_EXAMPLES = f"""
-  SELECT 'default' AS model, row_number() OVER (ORDER BY {_HASHED.format(seed=2)}) - 1 AS i,
+  SELECT 'default' AS model, row_number() OVER (ORDER BY {_HASHED.format(seed=2, use="order")}) - 1 AS i,
          count(*) OVER () AS cnt, d AS x0, q AS x1, t AS x2, closed AS y
-  FROM (SELECT * FROM sc WHERE score BETWEEN 0.4 AND 0.6 ORDER BY {_HASHED.format(seed=5)} LIMIT 400)
-  WHERE closed > 0.5 OR substr({_HASHED.format(seed=2)}, 1, 8) < '{int(0.25 * 16**8):08x}'"""
+  FROM (SELECT * FROM sc WHERE score BETWEEN 0.4 AND 0.6 ORDER BY {_HASHED.format(seed=5, use="sample")} LIMIT 400)
+  WHERE closed > 0.5 OR substr({_HASHED.format(seed=2, use="thin")}, 1, 8) < '{int(0.25 * 16**8):08x}'"""
 
 _PRF = """
 SELECT matched, hit, ref, round(p, 6) AS precision, round(r, 6) AS recall,
@@ -215,8 +215,8 @@ _MET_LINES = """met AS (
 _DOT = f"({WEIGHTS[0]} * d + {WEIGHTS[1]} * q + {WEIGHTS[2]} * t)"
 _HIGH = f"""(SELECT source, target, d, q, t FROM (
   SELECT *, rank() OVER (PARTITION BY source ORDER BY score DESC) AS r FROM sc WHERE score >= 0.5)
-  WHERE r = 1 ORDER BY {_HASHED.format(seed=3)} LIMIT 101)"""
-_LOW = f"(SELECT source, target, d, q, t FROM sc WHERE score < 0.5 ORDER BY {_HASHED.format(seed=3)} LIMIT 99)"
+  WHERE r = 1 ORDER BY {_HASHED.format(seed=3, use="sample")} LIMIT 101)"""
+_LOW = f"(SELECT source, target, d, q, t FROM sc WHERE score < 0.5 ORDER BY {_HASHED.format(seed=3, use="sample")} LIMIT 99)"
 
 ORACLE_SQL: dict[str, str] = {
     "kg_tokens": _with(_DOCS, _TEXT) + f"""
@@ -257,6 +257,11 @@ SELECT key, nl, nr, (nl * nr)::DOUBLE AS load,
        greatest(1, ceil((nl * nr)::DOUBLE * {N_WORKERS} / sum(nl * nr) OVER ()))::BIGINT AS n_part
 FROM (SELECT p_name AS key, count(*) FILTER (p_size <= 25) AS nl, count(*) FILTER (p_size > 25) AS nr
       FROM part GROUP BY p_name) WHERE nl > 0 AND nr > 0""",
+    "balanced_join_parts": """
+SELECT key, count(*) AS pairs, sum(s - t)::BIGINT AS apart FROM
+  (SELECT p_name AS key, p_partkey AS s FROM part WHERE p_size <= 25)
+  JOIN (SELECT p_name AS key, p_partkey AS t FROM part WHERE p_size > 25) USING (key) GROUP BY key""",
+    "prefix_table_block": _with(*_DOC_PAIRS) + "SELECT DISTINCT source, target FROM pairs",
     "balanced_join_lines": """
 SELECT s.l_orderkey, count(*) AS pairs, CAST(sum(s.l_partkey + t.l_partkey) AS BIGINT) AS part_sum
 FROM lineitem s JOIN lineitem t ON s.l_orderkey = t.l_orderkey
@@ -317,7 +322,7 @@ FROM op FULL JOIN dec USING (source, target) LEFT JOIN ref USING (source, target
     "label_worklist": _with(_ORDERS) + f"""
 SELECT source, target, round(score, 6) AS score,
        coalesce(o_orderpriority, '') AS s_what, coalesce(p_name, '') AS t_what
-FROM (SELECT * FROM sc WHERE score BETWEEN 0.4 AND 0.6 ORDER BY {_HASHED.format(seed=7)} LIMIT 50)
+FROM (SELECT * FROM sc WHERE score BETWEEN 0.4 AND 0.6 ORDER BY {_HASHED.format(seed=7, use="sample")} LIMIT 50)
 LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = source LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = target""",
     "training_sample": _with(_ORDERS) + f"""
 SELECT source, target, round(d, 6) AS d, round(q, 6) AS q, round(t, 6) AS t

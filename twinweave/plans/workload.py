@@ -11,7 +11,7 @@ from twinweave.config import (
     AttributeConfig, FtrlParams, LevelConfig, MatchingConfig, PredicateRef, RelationConfig, Thresholds,
 )
 from twinweave.operators.blocking import (
-    Level, block_keys, candidate_pairs, key_table, pair_load, partition_keys, unique_pairs,
+    Level, block_keys, candidate_pairs, instances, key_table, pair_load, partition_keys, unique_pairs,
 )
 from twinweave.operators.compare import (
     Attribute, Relation, attribute_similarity, compare, relation_similarity,
@@ -122,6 +122,13 @@ def unique_blocks(spark, d):
     return _document_keys(spark, d).unique_rows
 
 
+def prefix_table_block(spark, d):
+    """A stored partition table may hold a row twice; pairs are those of distinct rows."""
+    s, t = Documents(spark, d).text()
+    once = instances(s, t)
+    return candidate_pairs(block_keys(s, t, [Level(s, t)], prefix=once.unionByName(once)))
+
+
 def document_unique_pairs(spark, d):
     return unique_pairs(_document_keys(spark, d))
 
@@ -169,6 +176,19 @@ def block_load_report(spark, d):
     return load_report(*parts(spark, d), ["key"], N_WORKERS)
 
 
+def balanced_join_parts(spark, d):
+    """Names cut into a thousand workers' shares, so that the heavy ones are really split."""
+    left, right = parts(spark, d)
+    joined = balanced_join(
+        left.withColumnRenamed("sub", "s"), right.withColumnRenamed("sub", "t"), ["key"], ["s"], ["t"],
+        n_workers=1_000, min_load=0.0,
+    )
+    return joined.groupBy("key").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.sum(F.col("s").cast("bigint") - F.col("t").cast("bigint")).alias("apart"),
+    )
+
+
 def balanced_join_lines(spark, d):
     line = table(spark, d, "lineitem")
     sides = [
@@ -362,7 +382,7 @@ def ftrl_update_batch(spark, d):
     chosen = order_scores(spark, d).withColumnRenamed("closed", "is_match")
     batch = label_worklist(chosen, 0.4, 0.6, 400, seed=5)
     updated = ftrl_update(
-        new_model(spark, ORDER_DIM, FIT), batch, ORDER_DIM, FIT, neg_rate=0.25, seed=2
+        new_model(spark, ORDER_DIM, FIT), batch, ORDER_DIM, neg_rate=0.25, seed=2
     )
     return _model_row(updated)
 
@@ -487,6 +507,8 @@ QUERIES: dict[str, Query] = {
     "missing_drop": missing_drop,
     "wildcard_load": wildcard_load,
     "block_load_report": block_load_report,
+    "prefix_table_block": prefix_table_block,
+    "balanced_join_parts": balanced_join_parts,
     "balanced_join_lines": balanced_join_lines,
     "compare_exact_jaccard": compare_exact_jaccard,
     "compare_levenshtein": compare_levenshtein,

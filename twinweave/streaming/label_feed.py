@@ -1,6 +1,7 @@
 """Continuous labelling: every batch of answers updates the labels and the model.
 
-Answers arrive as ``(source, target, is_match)`` files or topic rows.  Each micro-batch
+Answers arrive as ``(source, target, is_match, ord)`` files or topic rows; of several
+answers for a pair in one batch the one with the largest ``ord`` counts.  Each micro-batch
 writes version ``v`` of the label table and of the model; a batch that is run again
 after a failure starts from the same previous version and writes the same result.
 """
@@ -11,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from twinweave.config import FtrlParams
 from twinweave.operators.labels import corrections, upsert_labels
 from twinweave.operators.learn import ftrl_update
 from twinweave.schema import LABELS, MODEL, PAIR
@@ -33,8 +33,7 @@ def seed_versions(labels: DataFrame, model: DataFrame, root: str) -> None:
 
 
 def follow_labels(answers: DataFrame, scores: DataFrame, root: str, checkpoint: str, dim: int,
-                  params: FtrlParams = FtrlParams(), neg_rate: float = 1.0,
-                  seed: int = 0) -> StreamingQuery:
+                  neg_rate: float = 1.0, seed: int = 0) -> StreamingQuery:
     """Start the feed over streaming ``answers`` and process what is available."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -45,7 +44,7 @@ def follow_labels(answers: DataFrame, scores: DataFrame, root: str, checkpoint:
         upsert_labels(labels, new).write.mode("overwrite").parquet(
             versioned(root, "labels", batch_id + 1)
         )
-        ftrl_update(model, new, dim, params, neg_rate, seed).write.mode("overwrite").parquet(
+        ftrl_update(model, new, dim, neg_rate, seed).write.mode("overwrite").parquet(
             versioned(root, "model", batch_id + 1)
         )
 
