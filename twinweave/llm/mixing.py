@@ -155,7 +155,8 @@ def mix_sources(docs: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_
         "row_id", "doc_id", "size", "sid", "start", (F.col("base") + F.col("index")).alias("block"),
         (low - at).alias("begin"), (high - low).alias("words"),
     )
-    parts = pieces.join(times, "block", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # Spark judges ``times`` by the few sources it unfolds from and would broadcast it.
+    parts = pieces.join(times.hint("merge"), "block", "left").withColumn("times", F.coalesce("times", F.lit(0)))
     return Mix(rows, sources, slots, parts)
 
 
