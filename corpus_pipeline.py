@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import materialise, shares_of
+from twinweave.llm.common import materialise
 from twinweave.llm.language import UNDECIDED, fit_language, identify_language
 from twinweave.llm.mixing import mixed_documents
 from twinweave.llm.packing import pack_documents
-from twinweave.llm.simhash import simhash_groups
+from twinweave.llm.simhash import one_per_group
 from twinweave.llm.toxicity import fit_toxicity, score_toxicity
 
 TOXIC_FROM = 0.3
@@ -44,12 +44,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    groups = simhash_groups(docs)
-    first = materialise(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(),
-                        "kept-ids")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    """One document of each group of near-duplicates: that with the smallest id.
+
+    Documents without an id stand back for those with one, but are not lost when their
+    group has no other.
+    """
+    return one_per_group(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

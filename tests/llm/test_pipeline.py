@@ -51,6 +51,17 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
     assert left == {i for i in range(200) if i % 4}
 
 
+def test_one_document_of_each_group_stays(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten", "other words come here now")
+    rows = [(4, a), (2, a), (2, a), (None, a), (None, b), (None, b), (2, c), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, group int")
+    kept = corpus_pipeline.keep_one_per_group(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(2, a), (None, b), (2, c), (7, "")], key=str)
+    assert corpus_pipeline.keep_one_per_group(spark, docs.limit(0), SF).collect() == []
+
+
 def test_run_over_a_whole_table(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()

@@ -50,7 +50,7 @@ def test_language_edge_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     langs, net = fit_language(docs, F.lit(True), QUICK)
     odd = spark.createDataFrame(
-        [(1, None, 9), (2, "", 9), (3, "12 + 7 = *** !", 9), (None, "the thing and the other", 9),
+        [(1, None, 9), (2, "", 9), (3, "12 + 7² = Ⅷ *** !", 9), (None, "the thing and the other", 9),
          (5, "the thing " * 60_000, 9), (5, "the thing " * 60_000, 9)],
         "doc_id long, text string, score int")
     got = identify_language(odd, langs, net).collect()

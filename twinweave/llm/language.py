@@ -8,18 +8,18 @@ probabilities are the mean over its windows, weighed by their bytes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.llm.common import SEED, smallest_by_hash
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"\p{L}")
 UNDECIDED = "und"
 
 

@@ -18,7 +18,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.llm.common import SEED, materialise
@@ -60,9 +60,10 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(t.as_py()) for t in batch.column(1)]
+        prints = [fingerprint(t.as_py()) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"]
+            [batch.column(0), batch.column(1), pa.array(prints, pa.int64())],
+            names=["doc_id", "row_key", "fp"],
         )
 
 
@@ -189,18 +190,25 @@ def links(distinct: DataFrame, radius: int = 3, most: int = 4_096) -> DataFrame:
     return found.distinct()
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Hash of a row's id and text, whole; a null text differs from an empty one."""
+    return F.xxhash64(id_col, text_col, F.col(text_col).isNull())
+
+
 def simhash_groups(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
+    """``(doc_id, fingerprint, component_id, group, row_key)``, one row per row of ``docs``.
 
-    ``fingerprint`` is 16 hex digits.  ``component_id`` is the smallest id that links of
+    ``fingerprint`` is 16 hex digits, ``group`` the smallest fingerprint (as a signed
+    number) of the component and ``row_key`` the hash of id and text by ``row_key``.  ``component_id`` is the smallest id that links of
     at most ``radius`` differing bits reach, the row's own included.  Null and empty texts
     have fingerprint zero and are linked like any other; repeated rows come back as often
     as they came; a null id counts for a component only when it has no other.
     """
     prints = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "simhash",
+        docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
+                    F.col(text_col).alias("text"))
+        .mapInArrow(_fingerprints, "doc_id bigint, row_key bigint, fp bigint"), "simhash",
     )
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     star = connected_components(links(distinct.select("fp"), radius))
@@ -209,10 +217,30 @@ def simhash_groups(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
     )
     firsts = members.join(distinct, "fp")
     roots = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = members.join(roots, "root").select("fp", "component_id")
+    known = members.join(roots, "root").select("fp", "component_id", "root")
     lookup = distinct.join(known, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first_id").alias("component_id")
+        "fp", F.coalesce("component_id", "first_id").alias("component_id"),
+        F.coalesce("root", "fp").alias("group"),
     )
     return prints.join(lookup, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        "group", "row_key",
     )
+
+
+def one_per_group(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that stand for their near-duplicates, all columns kept.
+
+    Of each group the row with the smallest id stays, null ids last; of rows that share
+    that id the one with the smallest ``row_key``; of repeated rows one.  A group without
+    any id keeps a row as well, and an id that occurs in two groups stays in both.
+    """
+    # Grouping finds the smallest row per task first, so a large group costs one row each.
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    first = simhash_groups(docs, radius, id_col, text_col).groupBy("group").agg(
+        F.min(row).getField("row_key").alias("_key"))
+    first = materialise(first.select("_key").distinct(), "kept-rows")
+    # Key and id together: a row is never taken for another one's repeat by a hash alone.
+    return docs.withColumn("_key", row_key(id_col, text_col)).join(
+        first, "_key", "left_semi").dropDuplicates(["_key", id_col]).select(*docs.columns)
