@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from twinweave.llm.chat import (
     chat_digest, example_texts, expand_examples, format_conversations, read_turns,
 )
-from twinweave.llm.common import shares_of
+from twinweave.llm.common import shares_of, smallest_by_hash
 from twinweave.llm.language import LanguageParams, fit_language, identify_language, windows_of
 from twinweave.llm.queries import op8_language, op10_toxicity
 from twinweave.llm.toxicity import (
@@ -185,3 +185,14 @@ def test_repeated_turns_and_empty_table(spark):
     r = chat_digest(df).first()
     assert (r.n_turns, r.loss_chars) == (3, 3)
     assert chat_digest(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 3, 50, 400, 5_000])
+def test_smallest_by_hash_is_the_nth_smallest(spark, n):
+    rng = random.Random(n)
+    rows = [(k, h) for k, most in (("a", 63), ("b", 50), ("c", 40)) for h in
+            (rng.randrange(-2**most, 2**most) for _ in range(600))]
+    rows += [("d", 7)] * 30 + [("e", -5)]
+    got = {r.k: r.limit for r in smallest_by_hash(
+        spark.createDataFrame(rows, "k string, h long"), "k", "h", n).collect()}
+    assert got == {k: sorted(h for x, h in rows if x == k)[:n][-1] for k in "abcde"}

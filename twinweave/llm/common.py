@@ -67,13 +67,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str],
 def smallest_by_hash(df: DataFrame, by: str, hash_col: str, n: int) -> DataFrame:
     """``(by, limit)``: per value of ``by`` the hash that the ``n`` smallest do not exceed.
 
-    One small row per value: rows are cut to ``n`` per task before any shuffle.
+    One small row per value.  Rows are counted per 16-bit prefix of the hash first; only
+    those of the one prefix in which the ``n``-th lies are ranked, so neither many rows of
+    a value nor many tasks bring more than a 65,536th of them to one place.
     """
-    w = Window.partitionBy(by).orderBy(hash_col)
-    return (
-        df.select(by, hash_col).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-        .groupBy(by).agg(F.max(hash_col).alias("limit"))
-    )
+    rows = df.select(by, hash_col).withColumn("_prefix", F.shiftright(hash_col, 48))
+    prefixes = rows.groupBy(by, "_prefix").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(hash_col).alias("_top"))
+    upto = Window.partitionBy(by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    sums = prefixes.withColumn("_sum", F.sum("_n").over(upto))
+    whole = sums.where(F.col("_sum") <= n).groupBy(by).agg(F.max("_top").alias("limit"))
+    edge = sums.where((F.col("_sum") > n) & (F.col("_sum") - F.col("_n") < n)).select(
+        by, "_prefix", (n - F.col("_sum") + F.col("_n")).alias("_room"))
+    ranked = rows.join(F.broadcast(edge), [by, "_prefix"]).withColumn(
+        "_r", F.row_number().over(Window.partitionBy(by).orderBy(hash_col)))
+    inside = ranked.where(F.col("_r") <= F.col("_room")).groupBy(by).agg(
+        F.max(hash_col).alias("limit"))
+    return whole.unionByName(inside).groupBy(by).agg(F.max("limit").alias("limit"))
 
 
 __all__ = [
