@@ -3,10 +3,11 @@ from conftest import SF, rows
 
 import __spark_entry__ as entry
 from twinweave.config import (
-    AttributeConfig, FtrlParams, LevelConfig, MatchingConfig, PredicateRef, RelationConfig,
+    AttributeConfig, FtrlParams, FusionConfig, LevelConfig, MatchingConfig, PredicateRef, RelationConfig,
 )
+from twinweave.operators.fuse import longest, union_set
 from twinweave.plans.matching import run_matching
-from twinweave.sources import Catalog, materialise, new_model, pivot_triples
+from twinweave.sources import Catalog, materialise, model_params, new_model, pivot_triples
 from twinweave.streaming.label_feed import follow_labels, read_version, seed_versions
 
 DUCKDB = pytest.importorskip("duckdb")
@@ -39,6 +40,31 @@ def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_run_takes_up_answers_and_fuses(spark, kv, pairs):
+    s = kv([("s0", "Acme Paper"), ("s1", "Bolt Works"), ("s2", "Acme Works")])
+    t = kv([("t0", "Acme Paper Paper"), ("t1", "Bolt Works"), ("t2", "Acme")])
+    catalog = Catalog(spark, frames={"s": s, "t": t})
+    refs = PredicateRef("s"), PredicateRef("t")
+    config = MatchingConfig(
+        "s", "t", block_by=(LevelConfig(*refs),),
+        attributes=(AttributeConfig("name", *refs, metric="levenshtein"),),
+        fuse=(FusionConfig("name", *refs, longest), FusionConfig("names", *refs, union_set, many=True)),
+    )
+    model = new_model(spark, 1, FtrlParams(alpha=0.7, max_iter=50, epochs=3), "own")
+    answers = spark.createDataFrame(
+        [("s0", "t0", 1.0), ("s1", "t1", 0.0), ("s9", "t9", 1.0)], "source string, target string, is_match double")
+    result = run_matching(catalog, config, model=model, answers=answers)
+    got = result.model.first()
+    assert (got.model, got.version, got.trained, got.alpha) == ("own", 1, True, 0.7)
+    assert model_params(result.model) == FtrlParams(alpha=0.7, max_iter=50, epochs=3)
+    matched = rows(result.matches)
+    assert ("s0", "t0") in matched and ("s1", "t1") not in matched
+    assert rows(result.unusable.select("source")) == [("s9",)]
+    assert ("s0", "t0", "Acme Paper Paper") in rows(result.fused["name"])
+    assert {("s0", "t0", "Acme Paper"), ("s0", "t0", "Acme Paper Paper")} <= set(rows(result.fused["names"]))
+    assert not {("s0", "t0"), ("s1", "t1")} & set(rows(result.worklist(-1.0, 1.0, 9).select("source", "target")))
+
+
 def test_run_with_a_learner(spark, kv, pairs):
     names = ["Acme Paper", "Bolt Works", "Crane Ltd", "Delta Foods", "Echo Media", "Fox Rail"]
     s = kv([(f"s{i}", n) for i, n in enumerate(names)])

@@ -2,8 +2,9 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from twinweave.operators.skew import balanced_join, load_report, lookup_join
+from twinweave.operators.skew import balanced_join, load_report, lookup_join, split_from
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,27 @@ def test_heavy_key_is_cut_on_both_sides(skewed):
     assert joined.where("key = 'hot'").count() == 100 * 50
 
 
+def test_pairs_of_a_hot_key_come_from_several_tasks(spark, skewed):
+    left, right = skewed
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+
+    def tasks():
+        joined = balanced_join(left, right, ["key"], ["a"], ["b"], 16)
+        return joined.where("key = 'hot'").select(F.spark_partition_id()).distinct().count()
+
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        assert tasks() == 1
+        with split_from(spark, 10, 10):
+            assert tasks() > 1
+        assert tasks() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("min_rows", [1, 10, 10_000])
 def test_lookup_join_equals_plain_join(skewed, how, min_rows):

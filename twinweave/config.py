@@ -7,6 +7,7 @@ together.  Names of tables are resolved later by ``sources.Catalog``.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 # The default token pattern and its Unicode-aware alternative.
@@ -78,6 +79,21 @@ class RelationConfig:
         _require(0.0 <= self.default <= 1.0, "a default similarity lies in [0, 1]")
 
 
+@dataclass(frozen=True)
+class FusionConfig:
+    """One fused field of the matched instances; ``many`` fuses whole value sets."""
+
+    field: str
+    source: PredicateRef
+    target: PredicateRef
+    rule: Callable
+    many: bool = False
+
+    def __post_init__(self):
+        _require(bool(self.field), "a fused field needs a name")
+        _require(callable(self.rule), "a fusion rule joins two columns")
+
+
 @dataclass(frozen=True)
 class FtrlParams:
     l1: float = 0.0
@@ -119,6 +135,8 @@ class MatchingConfig:
     train_size: int = 200
     seed: int = 0
     mode: str = "top1"
+    neg_rate: float = 1.0
+    fuse: tuple[FusionConfig, ...] = ()
 
     def __post_init__(self):
         _require(self.block_by or self.partition_by, "at least one level is needed")
@@ -127,6 +145,9 @@ class MatchingConfig:
         _require(self.multi in ("fanout", "max"), "multi must be 'fanout' or 'max'")
         _require(self.mode in ("top1", "mutual_best"), "mode must be 'top1' or 'mutual_best'")
         _require(self.train_size >= 2, "train_size must be at least 2")
+        _require(0.0 <= self.neg_rate <= 1.0, "neg_rate lies in [0, 1]")
+        fused = [f.field for f in self.fuse]
+        _require(len(fused) == len(set(fused)), "fused fields must be unique")
         names = [f.name for f in (*self.attributes, *self.relations)]
         _require(len(names) == len(set(names)), "feature names must be unique")
         for name in names:

@@ -75,6 +75,16 @@ def _values(features: list[Feature]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _of_paired(values: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values of the instances that stand in a pair, and ``(db, sub, n)`` of them."""
+    paired = materialise(reduce(DataFrame.unionByName, [
+        pairs.select(F.lit(side).alias("db"), F.col(side).alias("sub")).distinct() for side in PAIR
+    ]), "paired-instances")
+    sizes = materialise(
+        _counted(values, "db", "sub").join(paired, ["db", "sub"], "left_semi"), "sizes")
+    return lookup_join(values, paired, ["db", "sub"], ["f", "val"], "left_semi", counts=sizes), sizes
+
+
 def _profiles(values: DataFrame, features: list[Feature]) -> DataFrame:
     """``(db, sub, pid, f0..)`` with one sorted array per feature, NULL when empty."""
     columns = []
@@ -150,8 +160,8 @@ def compare(pairs: DataFrame, features: list[Feature], multi: str = "fanout",
         raise ValueError("multi must be 'fanout' or 'max'")
     if not features:
         raise ValueError("at least one feature is needed")
-    values = _values(features)
-    sizes = _counted(values, "db", "sub")
+    pairs = materialise(pairs.select(*PAIR), "pairs")
+    values, sizes = _of_paired(_values(features), pairs)
     large = sizes.where(F.col("n") > profile_values)
     if large.isEmpty():
         return _compare_profiles(pairs, values, features, multi)
@@ -290,14 +300,16 @@ def _greedy(edges: DataFrame) -> DataFrame:
 
 def attribute_similarity(pairs: DataFrame, source: DataFrame, target: DataFrame,
                          default: float = 0.0, ignore: str = "", metric: str = "ratio",
-                         multi: str = "fanout") -> DataFrame:
+                         multi: str = "fanout",
+                         profile_values: int = PROFILE_VALUES) -> DataFrame:
     """``(source, target, sim)`` for one attribute."""
     feature = Attribute(source, target, default, ignore, metric)
-    return compare(pairs, [feature], multi).select(*PAIR, F.col("sim_v")[0].alias("sim"))
+    return compare(pairs, [feature], multi, profile_values).select(*PAIR, F.col("sim_v")[0].alias("sim"))
 
 
 def relation_similarity(pairs: DataFrame, source: DataFrame, target: DataFrame,
-                        default: float = 0.0, threshold: float = 0.8) -> DataFrame:
+                        default: float = 0.0, threshold: float = 0.8,
+                        profile_values: int = PROFILE_VALUES) -> DataFrame:
     """``(source, target, sim)`` for one relation."""
     feature = Relation(source, target, default, threshold)
-    return compare(pairs, [feature]).select(*PAIR, F.col("sim_v")[0].alias("sim"))
+    return compare(pairs, [feature], profile_values=profile_values).select(*PAIR, F.col("sim_v")[0].alias("sim"))

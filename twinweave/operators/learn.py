@@ -56,7 +56,8 @@ def _collected(*by: str) -> Column:
 def _rows(states: DataFrame, dim: int, p: FtrlParams, version: Column) -> DataFrame:
     return states.select(
         "model", F.lit(dim).cast("int").alias("dim"), "state.z", "state.n", "state.w",
-        *[F.lit(float(getattr(p, k))).alias(k) for k in _SETTINGS],
+        *[F.lit(float(getattr(p, k))).alias(k) for k in (*_SETTINGS, "eta")],
+        F.lit(p.max_iter).cast("int").alias("max_iter"), F.lit(p.epochs).cast("int").alias("epochs"),
         "state.trained", version.cast("bigint").alias("version"),
     ).select(MODEL.fieldNames())
 

@@ -8,11 +8,44 @@ the size of the data.  Without such keys the plan is the plain join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SALT = "_salt"
 
+# Session settings for the size from which a key is split, and what holds without them.
+ROWS_SETTING = "spark.twinweave.skew.rows"
+LOAD_SETTING = "spark.twinweave.skew.load"
+SPLIT_FROM = 1_000_000
+
+
+def _limit(spark: SparkSession, given: float | None, setting: str) -> float:
+    return float(spark.conf.get(setting, str(SPLIT_FROM)) if given is None else given)
+
+
+@contextmanager
+def split_from(spark: SparkSession, rows: int, load: float) -> Iterator[None]:
+    """Joins built in this block split keys from ``rows`` rows and ``load`` pairs on.
+
+    Heavy keys are looked up when a join is built, so what is built here stays split
+    when it runs later.
+    """
+    settings = {ROWS_SETTING: str(rows), LOAD_SETTING: str(load)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
 
 def default_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -34,17 +67,18 @@ def _largest(rows: DataFrame, by: str, n: int) -> DataFrame | None:
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
                 how: str = "inner", counts: DataFrame | None = None,
-                n_tasks: int | None = None, min_rows: int = 1_000_000) -> DataFrame:
+                n_tasks: int | None = None, min_rows: int | None = None) -> DataFrame:
     """Join a possibly skewed ``left`` with a ``right`` that has few rows per key.
 
-    The largest keys of ``left``, from ``min_rows`` rows on, are spread over several
-    tasks by a hash of ``spread_by``, and their right rows are repeated once per task.
+    The largest keys of ``left``, from ``min_rows`` rows on (by default what the session
+    sets as ``spark.twinweave.skew.rows``), are spread over several tasks by a hash of ``spread_by``, and their right rows are repeated once per task.
     ``counts (on..., n)`` may be passed when it is known already.  Same result as
     ``left.join(right, on, how)`` for the kinds that keep or drop left rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("lookup_join supports inner, left, left_semi and left_anti")
     n_tasks = n_tasks or default_tasks(left.sparkSession)
+    min_rows = max(1.0, _limit(left.sparkSession, min_rows, ROWS_SETTING))
     if counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     hot = _largest(counts.where(F.col("n") >= min_rows), "n", n_tasks)
@@ -92,16 +126,19 @@ def load_report(left: DataFrame, right: DataFrame, on: list[str],
 
 def balanced_join(left: DataFrame, right: DataFrame, on: list[str],
                   left_id: list[str], right_id: list[str],
-                  n_workers: int | None = None, min_load: float = 1_000_000.0,
+                  n_workers: int | None = None, min_load: float | None = None,
                   counts: DataFrame | None = None) -> DataFrame:
     """Many-to-many inner equi-join with the pairs of heavy keys spread evenly.
 
     A key with ``n_part`` parts becomes a grid of ``a x b`` cells: left rows are cut
     into ``a`` slices and right rows into ``b``, so neither side of a heavy key ever
     meets in one task and the copies sent are ``nl*b + nr*a`` rather than
-    ``nl + nr*n_part``.  ``counts (on..., nl, nr)`` may be passed when known already.
+    ``nl + nr*n_part``.  Keys are cut from ``min_load`` pairs on, by
+    default the session's ``spark.twinweave.skew.load``.  ``counts (on..., nl, nr)`` may
+    be passed when known already.
     """
     n_workers = n_workers or default_tasks(left.sparkSession)
+    min_load = _limit(left.sparkSession, min_load, LOAD_SETTING)
     counts = key_counts(left, right, on) if counts is None else counts
     loads = _with_load(counts)
     hot = _largest(loads.where(F.col("load") >= min_load), "load", n_workers)

@@ -7,7 +7,7 @@ expanded keys.
 
 from __future__ import annotations
 
-from twinweave.plans.workload import FIT, N_WORKERS, WEIGHTS
+from twinweave.plans.workload import FIT, MODEL_FITS, N_WORKERS, WEIGHTS
 
 _PATTERN = "[^0-9A-Za-z.]+"
 
@@ -131,37 +131,58 @@ WHERE {condition}"""
 # -- learner ----------------------------------------------------------------
 
 
-def _learner(examples: str, start: str, one_pass: bool) -> str:
-    """Sequential learner as a recursion over ``examples(model, i, cnt, x0.., y)``."""
-    p, dims = FIT, range(3)
+def _recursion(examples: str, start: str, one_pass: bool, n_dims: int = 3,
+               fits: dict | None = None, ex: str = "ex", run: str = "run") -> str:
+    """Sequential learner as a recursion over ``examples(model, i, cnt, x0.., y)``.
+
+    ``fits`` names the settings of each model; without it all have those of ``FIT``.
+    """
+    p, dims = FIT, range(n_dims)
+
+    def of(name: str, row: str = "") -> str:
+        if not fits:
+            return str(getattr(FIT, name))
+        cases = " ".join(f"WHEN '{m}' THEN {float(getattr(q, name))}" for m, q in fits.items())
+        return f"(CASE {row}model {cases} END)::DOUBLE"
+
     out = "(2 / (1 + exp(-(" + " + ".join(f"w{i} * x{i}" for i in dims) + "))) - 1)"
-    mean = "(" + " + ".join(f"x{i}" for i in dims) + ") / 3"
+    mean = "(" + " + ".join(f"x{i}" for i in dims) + f") / {n_dims}"
     weight = [
-        f"CASE WHEN abs(s.z{i}) <= {p.l1} THEN 0.0 ELSE (sign(s.z{i}) * {p.l1} - s.z{i}) / "
-        f"({p.l2} + ({p.beta} + sqrt(s.n{i})) / {p.alpha}) END AS w{i}" for i in dims
+        f"CASE WHEN abs(s.z{i}) <= {of('l1', 's.')} THEN 0.0 "
+        f"ELSE (sign(s.z{i}) * {of('l1', 's.')} - s.z{i}) / "
+        f"({of('l2', 's.')} + ({of('beta', 's.')} + sqrt(s.n{i})) / {of('alpha', 's.')}) END AS w{i}"
+        for i in dims
     ]
     carry = ", ".join([*[f"s.z{i}, s.n{i}" for i in dims], "s.k", "s.streak", "s.trained"])
     stop = "s.k < e.cnt" if one_pass else f"s.k < {p.max_iter} AND s.streak < {p.epochs}"
     clip = "greatest(1e-12, least(1 - 1e-12, o))"
     z = ", ".join(
-        f"z{i} + (o - y) * x{i} - (sqrt(n{i} + (o - y) * (o - y) * x{i} * x{i}) - sqrt(n{i})) / {p.alpha} * w{i},"
+        f"z{i} + (o - y) * x{i} - (sqrt(n{i} + (o - y) * (o - y) * x{i} * x{i}) - sqrt(n{i})) / {of('alpha')} * w{i},"
         f" n{i} + (o - y) * (o - y) * x{i} * x{i}, w{i}" for i in dims
     )
     state = ", ".join(f"z{i}, n{i}, w{i}" for i in dims)
-    cols = ", ".join(f"round({a}{i}, 5) AS {a}{i}" for a in "znw" for i in dims)
-    return f"""ex AS MATERIALIZED ({examples}),
-run(model, {state}, k, streak, trained) AS (
+    return f"""{ex} AS MATERIALIZED ({examples}),
+{run}(model, {state}, k, streak, trained) AS (
   {start}
   UNION ALL
   SELECT model, {z}, k + 1,
          CASE WHEN -y * ln({clip}) - (1 - y) * ln(1 - {clip}) < {p.eta} THEN streak + 1 ELSE 0 END, true
   FROM (SELECT *, CASE WHEN trained THEN {out} ELSE {mean} END AS o FROM (
-    SELECT s.model, {carry}, {", ".join(weight)}, e.x0, e.x1, e.x2, e.y
-    FROM run s JOIN ex e ON e.model = s.model AND e.i = s.k % e.cnt WHERE {stop})))
-SELECT model, {cols}, 1::BIGINT AS version FROM run
+    SELECT s.model, {carry}, {", ".join(weight)}, {", ".join(f"e.x{i}" for i in dims)}, e.y
+    FROM {run} s JOIN {ex} e ON e.model = s.model AND e.i = s.k % e.cnt WHERE {stop})))"""
+
+
+def _last(run: str, n_dims: int = 3) -> str:
+    cols = ", ".join(f"round({a}{i}, 5) AS {a}{i}" for a in "znw" for i in range(n_dims))
+    return f"""
+SELECT model, {cols}, 1::BIGINT AS version FROM {run}
 QUALIFY row_number() OVER (PARTITION BY model ORDER BY k DESC) = 1"""
 
 
+def _learner(examples: str, start: str, one_pass: bool, fits: dict | None = None) -> str:
+    return _recursion(examples, start, one_pass, fits=fits) + _last("run")
+
+
 _ZERO = ", ".join(f"0.0::DOUBLE AS z{i}, 0.0::DOUBLE AS n{i}, 0.0::DOUBLE AS w{i}" for i in range(3))
 
 
@@ -180,6 +201,12 @@ _UPDATE_EXAMPLES = f"""
   FROM (SELECT * FROM sc WHERE score BETWEEN 0.4 AND 0.6 ORDER BY {_HASHED.format(seed=5, use="sample")} LIMIT 400)
   WHERE closed > 0.5 OR substr({_HASHED.format(seed=2, use="thin")}, 1, 8) < '{int(0.25 * 16**8):08x}'"""
 
+_MODELS_EXAMPLES = f"""
+  SELECT flag AS model,
+         row_number() OVER (PARTITION BY flag ORDER BY {_HASHED.format(seed=4, use="order")}) - 1 AS i,
+         count(*) OVER (PARTITION BY flag) AS cnt, d AS x0, q AS x1, t AS x2, closed AS y
+  FROM (SELECT * FROM sc WHERE score BETWEEN 0.4 AND 0.6 ORDER BY {_HASHED.format(seed=9, use="sample")} LIMIT 600)"""
+
 _PRF = """
 SELECT matched, hit, ref, round(p, 6) AS precision, round(r, 6) AS recall,
        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END, 6) AS f1
@@ -218,6 +245,41 @@ _HIGH = f"""(SELECT source, target, d, q, t FROM (
   WHERE r = 1 ORDER BY {_HASHED.format(seed=3, use="sample")} LIMIT 101)"""
 _LOW = f"(SELECT source, target, d, q, t FROM sc WHERE score < 0.5 ORDER BY {_HASHED.format(seed=3, use="sample")} LIMIT 99)"
 
+
+# The learned run over native features: ``ms(source, target, x0, x1, score)``.
+_ZERO2 = ", ".join(f"0.0::DOUBLE AS z{i}, 0.0::DOUBLE AS n{i}, 0.0::DOUBLE AS w{i}" for i in range(2))
+_BY = _HASHED.format(seed=0, use="sample")
+_NATIVE = [
+    *_DOC_PAIRS, _ONES, _LINES, _QUALITY, _COPIES, _jaccard(0.124), _equal("quality", "eq", 0.5),
+    """ms AS (
+  SELECT source, target, eq.sim AS x0, jac.sim AS x1, (eq.sim + jac.sim) / 2 AS score
+  FROM eq JOIN jac USING (source, target))""",
+    f"""smp AS (
+  (SELECT source, target, x0, x1 FROM (
+    SELECT *, rank() OVER (PARTITION BY source ORDER BY score DESC) AS r FROM ms WHERE score >= 0.5)
+   WHERE r = 1 ORDER BY {_BY} LIMIT 101)
+  UNION ALL (SELECT source, target, x0, x1 FROM ms WHERE score < 0.5 ORDER BY {_BY} LIMIT 99))""",
+    """lab AS (
+  SELECT smp.*, CASE WHEN copies.source IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y
+  FROM smp LEFT JOIN copies USING (source, target))""",
+]
+_NATIVE_FIT = f"""
+  SELECT 'default' AS model, row_number() OVER (ORDER BY {_HASHED.format(seed=0, use="order")}) - 1 AS i,
+         least(count(*) OVER (), {FIT.max_iter}) AS cnt, x0, x1, y FROM lab"""
+_NATIVE_ANSWERS = f"""
+  SELECT 'default' AS model, row_number() OVER (ORDER BY {_HASHED.format(seed=0, use="order")}) - 1 AS i,
+         count(*) OVER () AS cnt, x0, x1, 1.0::DOUBLE AS y FROM copies JOIN ms USING (source, target)"""
+_FITTED = "(FROM run QUALIFY row_number() OVER (PARTITION BY model ORDER BY k DESC) = 1)"
+_NATIVE_START = f"SELECT DISTINCT model, {_ZERO2}, 0::BIGINT, 0::BIGINT, false FROM ex"
+_NATIVE_RUN = _recursion(_NATIVE_FIT, _NATIVE_START, False, 2)
+_NATIVE_UPDATE = _recursion(
+    _NATIVE_ANSWERS, f"SELECT model, z0, n0, w0, z1, n1, w1, 0::BIGINT, 0::BIGINT, true FROM {_FITTED}",
+    True, 2, ex="ex2", run="run2")
+_BEST_NATIVE = """
+  SELECT source, target FROM (
+    SELECT *, rank() OVER (PARTITION BY source ORDER BY learned DESC) AS r FROM lm
+    {of} WHERE learned > {above}) WHERE r = 1"""
+
 ORACLE_SQL: dict[str, str] = {
     "kg_tokens": _with(_DOCS, _TEXT) + f"""
 SELECT sub, word, count(*) AS n FROM (
@@ -268,6 +330,12 @@ FROM lineitem s JOIN lineitem t ON s.l_orderkey = t.l_orderkey
 WHERE s.l_linestatus = 'O' AND t.l_linestatus = 'F' GROUP BY s.l_orderkey""",
     "compare_exact_jaccard": _with(*_DOC_PAIRS, _LINES, _jaccard())
     + "SELECT source, target, round(sim, 6) AS sim FROM jac",
+    "compare_empty_values": _with(*_PAGE_PAIRS, """bare AS (
+  SELECT sub, db, regexp_replace(CASE WHEN db = 'target' OR contains(url, 'www.') THEN lower(url) END,
+                                 'https://.*[0-4]$', '', 'g') AS u FROM titles)""") + """
+SELECT source, target, round(coalesce(CASE WHEN s.u = '' AND t.u = '' THEN 1.0
+  ELSE 1 - levenshtein(s.u, t.u) / greatest(length(s.u), length(t.u)) END, 0.3), 6) AS sim
+FROM pairs JOIN bare s ON s.sub = source AND s.db = 'source' JOIN bare t ON t.sub = target AND t.db = 'target'""",
     "compare_levenshtein": _with(*_PAGE_PAIRS, """bare AS (
   SELECT sub, db, regexp_replace(lower(url), 'https?://', '', 'g') AS u FROM titles)""") + """
 SELECT source, target, round(1 - levenshtein(s.u, t.u) / greatest(length(s.u), length(t.u)), 6) AS sim
@@ -329,6 +397,22 @@ SELECT source, target, round(d, 6) AS d, round(q, 6) AS q, round(t, 6) AS t
 FROM ({_HIGH} UNION ALL {_LOW})""",
     "ftrl_fit_group": "WITH RECURSIVE " + _ORDERS + ",\n"
     + _learner(_FIT_EXAMPLES, _start("ex"), one_pass=False),
+    "ftrl_update_models": "WITH RECURSIVE " + _ORDERS + ",\n"
+    + _learner(_MODELS_EXAMPLES, _start("ex"), one_pass=True, fits=MODEL_FITS),
+    "model_round_trip": "WITH RECURSIVE " + _ORDERS + ",\n"
+    + _recursion(_FIT_EXAMPLES, _start("ex"), one_pass=False) + f"""
+SELECT source, target, model, {FIT.max_iter}::INT AS max_iter, {FIT.epochs}::INT AS epochs,
+       round(2 / (1 + exp(-(w0 * d + w1 * q + w2 * t))) - 1, 6) AS score
+FROM op JOIN {_FITTED} ON model = flag""",
+    "match_learned_native": "WITH RECURSIVE " + ",\n".join([*_NATIVE, _NATIVE_RUN, f"""lm AS (
+  SELECT source, target, 2 / (1 + exp(-(w0 * x0 + w1 * x1))) - 1 AS learned FROM ms, {_FITTED})""",
+        "m0 AS (" + _BEST_NATIVE.format(
+            of="JOIN (SELECT DISTINCT source, target FROM ones) USING (source, target)", above=0.4)
+        + " UNION " + _BEST_NATIVE.format(of="", above=0.5) + ")", """m AS (
+  SELECT * FROM m0 WHERE (source, target) NOT IN (SELECT source, target FROM lab WHERE y = 0)
+  UNION SELECT source, target FROM lab WHERE y = 1)""", "g AS (FROM copies)"]) + _PRF,
+    "match_updated": "WITH RECURSIVE " + ",\n".join([*_NATIVE, _NATIVE_RUN, _NATIVE_UPDATE])
+    + _last("run2", 2).replace("1::BIGINT", "2::BIGINT"),
     "ftrl_update": "WITH RECURSIVE " + _ORDERS + ",\n"
     + _learner(_UPDATE_EXAMPLES, _start("ex"), one_pass=True),
     "eval_prf": _with(_ORDERS, _ORDER_REF, _TOP1, "m AS (FROM top1)", "g AS (FROM ref)") + _PRF,
@@ -387,3 +471,20 @@ SELECT source, target FROM (
   SELECT *, rank() OVER (PARTITION BY source ORDER BY score DESC) AS r
   FROM ms JOIN cand USING (source, target) WHERE score > 0.5) WHERE r = 1""",
 }
+
+ORACLE_SQL["match_fused"] = "WITH mm AS (" + ORACLE_SQL["match_end_to_end"] + "),\n" + ",\n".join(
+    [_DOCS, _QUALITY, _LINES, """ln AS (
+  SELECT source, target, count(DISTINCT obj) AS lines FROM (
+    SELECT source, target, obj FROM mm JOIN lines ON sub = source AND db = 'source'
+    UNION ALL SELECT source, target, obj FROM mm JOIN lines ON sub = target AND db = 'target')
+  GROUP BY source, target)"""]) + """
+SELECT source, target, coalesce(t.obj, s.obj) AS quality, lines FROM mm
+LEFT JOIN quality s ON s.sub = source AND s.db = 'source' LEFT JOIN quality t ON t.sub = target AND t.db = 'target'
+LEFT JOIN ln USING (source, target)"""
+ORACLE_SQL |= {
+    split: ORACLE_SQL[plain] for split, plain in {
+        "split_candidate_pairs": "candidate_pairs", "split_sim_vector": "sim_vector",
+        "split_top1": "top1_matches", "split_fuse_common": "fuse_relation_common",
+        "compare_rows_jaccard": "compare_exact_jaccard",
+    }.items()
+}

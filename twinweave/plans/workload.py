@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.config import (
-    AttributeConfig, FtrlParams, LevelConfig, MatchingConfig, PredicateRef, RelationConfig, Thresholds,
+    AttributeConfig, FtrlParams, FusionConfig, LevelConfig, MatchingConfig, PredicateRef,
+    RelationConfig, Thresholds,
 )
 from twinweave.operators.blocking import (
     Level, block_keys, candidate_pairs, instances, key_table, pair_load, partition_keys, unique_pairs,
@@ -27,7 +30,7 @@ from twinweave.operators.labels import (
 from twinweave.operators.learn import (
     ftrl_fit, ftrl_fit_distributed, ftrl_score, ftrl_score_by, ftrl_update,
 )
-from twinweave.operators.skew import balanced_join, load_report
+from twinweave.operators.skew import balanced_join, load_report, split_from
 from twinweave.operators.words import rare_word_keys, tokenize, word_frequency
 from twinweave.plans.graphs import (
     ORDER_DIM, Documents, order_labels, order_parts, order_ref, order_scores, pages, parties,
@@ -35,13 +38,19 @@ from twinweave.plans.graphs import (
 )
 from twinweave.plans.matching import run_matching
 from twinweave.schema import PAIR
-from twinweave.sources import Catalog, materialise, new_model
+from twinweave.sources import Catalog, load_model, materialise, new_model, save_model, stage_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters shared with the SQL of ``oracle``.
 FIT = FtrlParams(max_iter=200, epochs=10)
 WEIGHTS = (0.8, 0.6, -0.4)
+# Settings of three models that are updated side by side.
+MODEL_FITS = {
+    "R": FIT,
+    "A": FtrlParams(l1=0.01, l2=0.1, alpha=0.3, beta=1.0, max_iter=200, epochs=10),
+    "N": FtrlParams(l1=0.0, l2=1.0, alpha=0.02, beta=0.1, max_iter=200, epochs=10),
+}
 N_WORKERS = 10
 
 
@@ -224,6 +233,25 @@ def compare_exact_jaccard(spark, d):
     return _rounded(out, "sim")
 
 
+def compare_rows_jaccard(spark, d):
+    """Instances of more than ten lines as rows: the same values as of profiles."""
+    out = relation_similarity(
+        _document_pairs(spark, d), *Documents(spark, d).lines(), threshold=1.0, profile_values=10
+    )
+    return _rounded(out, "sim")
+
+
+def compare_empty_values(spark, d):
+    """Https urls that junk removal may empty, against http urls of which some are NULL."""
+    s, t = pages(spark, d)["url"]
+    out = attribute_similarity(
+        _page_pairs(spark, d),
+        s.withColumn("obj", F.when(F.col("obj").contains("www."), F.col("obj"))), t,
+        default=0.3, metric="levenshtein", ignore="https://.*[0-4]$",
+    )
+    return _rounded(out, "sim")
+
+
 def compare_levenshtein(spark, d):
     s, t = pages(spark, d)["url"]
     out = attribute_similarity(_page_pairs(spark, d), s, t, metric="levenshtein", ignore="https?://")
@@ -270,6 +298,29 @@ def sim_vector(spark, d):
     return _vector(compare(_document_pairs(spark, d), features), ["lang", "quality", "lines"])
 
 
+# -- keys split at low limits: the same results as unsplit --------------------
+
+
+def split_candidate_pairs(spark, d):
+    with split_from(spark, 2, 4):
+        return candidate_pairs(_document_keys(spark, d))
+
+
+def split_sim_vector(spark, d):
+    with split_from(spark, 2, 4):
+        return sim_vector(spark, d)
+
+
+def split_top1(spark, d):
+    with split_from(spark, 2, 4):
+        return top1_matches(spark, d)
+
+
+def split_fuse_common(spark, d):
+    with split_from(spark, 2, 4):
+        return fuse_relation_common(spark, d)
+
+
 # -- scores and decisions ---------------------------------------------------
 
 
@@ -387,6 +438,26 @@ def ftrl_update_batch(spark, d):
     return _model_row(updated)
 
 
+def ftrl_update_models(spark, d):
+    """Three models, each with settings of its own, updated from one batch."""
+    chosen = order_scores(spark, d).withColumnsRenamed({"closed": "is_match", "flag": "model"})
+    batch = label_worklist(chosen, 0.4, 0.6, 600, seed=9)
+    models = [new_model(spark, ORDER_DIM, p, name) for name, p in MODEL_FITS.items()]
+    return _model_row(
+        ftrl_update(models[0].unionByName(models[1]).unionByName(models[2]), batch, ORDER_DIM, seed=4))
+
+
+def model_round_trip(spark, d):
+    """Fitted, saved, loaded again, and applied."""
+    path = f"{stage_root(spark)}/twinweave/model-{uuid.uuid4().hex}"
+    save_model(ftrl_fit(_model_labels(spark, d), ORDER_DIM, FIT, seed=1), path, "json")
+    models = load_model(spark, path, "json")
+    named = order_parts(spark, d).withColumnRenamed("flag", "model")
+    scored = ftrl_score_by(named, models).join(
+        models.select("model", "max_iter", "epochs"), "model")
+    return _rounded(scored.select(*PAIR, "model", "max_iter", "epochs", "score"), "score")
+
+
 # -- evaluation and fusion --------------------------------------------------
 
 
@@ -425,7 +496,8 @@ def fuse_attribute_longest(spark, d):
 
 def fuse_attribute_target(spark, d):
     docs = Documents(spark, d)
-    return fuse_attribute(docs.copies(), *docs.quality(), prefer_target, "quality")
+    copies = materialise(docs.copies(), "matches")
+    return fuse_attribute(copies, *docs.quality(), prefer_target, "quality")
 
 
 def fuse_relation_union(spark, d):
@@ -465,16 +537,51 @@ def _refs(name):
     return PredicateRef(f"source.{name}"), PredicateRef(f"target.{name}")
 
 
-def match_end_to_end(spark, d):
-    """Partition by language, block on rare words, compare natively, mean score, top 1."""
-    config = MatchingConfig(
+def _end_to_end(**more):
+    return MatchingConfig(
         "source.text", "target.text",
         partition_by=(LevelConfig(*_refs("lang"), max_len=None),),
         block_by=(LevelConfig(*_refs("text")),),
         attributes=(AttributeConfig("quality", *_refs("quality"), default=0.5, metric="equal"),),
         relations=(RelationConfig("lines", *_refs("lines"), default=0.124, threshold=1.0),),
+        **more,
     )
-    return run_matching(_document_catalog(spark, d), config).matches
+
+
+def match_end_to_end(spark, d):
+    """Partition by language, block on rare words, compare natively, mean score, top 1."""
+    return run_matching(_document_catalog(spark, d), _end_to_end()).matches
+
+
+def match_fused(spark, d):
+    """The run with the quality of each match fused, and its lines counted."""
+    config = _end_to_end(fuse=(
+        FusionConfig("quality", *_refs("quality"), prefer_target),
+        FusionConfig("line", *_refs("lines"), union_set, many=True),
+    ))
+    fused = run_matching(_document_catalog(spark, d), config).fused
+    lines = fused["line"].groupBy(*PAIR).agg(F.count(F.lit(1)).alias("lines"))
+    return fused["quality"].join(lines, PAIR, "left")
+
+
+def _native(**more):
+    return replace(_end_to_end(**more), partition_by=(), ftrl=FIT, train_size=200)
+
+
+def match_learned_native(spark, d):
+    """The run with a learner fitted on sampled, labelled pairs, over native features."""
+    ref = Documents(spark, d).copies()
+    return _quality(run_matching(_document_catalog(spark, d), _native(), ref=ref).quality)
+
+
+def match_updated(spark, d):
+    """The same, then answers for all copies: labels replaced, model updated, decided anew."""
+    docs = Documents(spark, d)
+    ref = materialise(docs.copies(), "ref")
+    answers = ref.withColumn("is_match", F.lit(1.0))
+    result = run_matching(_document_catalog(spark, d), _native(), ref=ref, answers=answers)
+    cols = [F.round(F.col(a)[i], 5).alias(f"{a}{i}") for a in "znw" for i in range(2)]
+    return result.model.select("model", *cols, "version")
 
 
 def match_learned(spark, d):
@@ -511,6 +618,8 @@ QUERIES: dict[str, Query] = {
     "balanced_join_parts": balanced_join_parts,
     "balanced_join_lines": balanced_join_lines,
     "compare_exact_jaccard": compare_exact_jaccard,
+    "compare_rows_jaccard": compare_rows_jaccard,
+    "compare_empty_values": compare_empty_values,
     "compare_levenshtein": compare_levenshtein,
     "compare_ratio": compare_ratio,
     "compare_soft_jaccard": compare_soft_jaccard,
@@ -518,6 +627,10 @@ QUERIES: dict[str, Query] = {
     "attribute_fanout": attribute_fanout,
     "attribute_best": attribute_best,
     "sim_vector": sim_vector,
+    "split_candidate_pairs": split_candidate_pairs,
+    "split_sim_vector": split_sim_vector,
+    "split_top1": split_top1,
+    "split_fuse_common": split_fuse_common,
     "score_mean": score_mean,
     "score_trained": score_trained,
     "score_by_model": score_by_model,
@@ -534,6 +647,8 @@ QUERIES: dict[str, Query] = {
     "ftrl_fit_group": ftrl_fit_group,
     "ftrl_fit_distributed": ftrl_fit_averaged,
     "ftrl_update": ftrl_update_batch,
+    "ftrl_update_models": ftrl_update_models,
+    "model_round_trip": model_round_trip,
     "eval_prf": eval_prf,
     "eval_heldout": eval_heldout,
     "eval_blocking": eval_blocking,
@@ -543,5 +658,8 @@ QUERIES: dict[str, Query] = {
     "fuse_relation_common": fuse_relation_common,
     "fuse_relation_rule": fuse_relation_rule,
     "match_end_to_end": match_end_to_end,
+    "match_fused": match_fused,
     "match_learned": match_learned,
+    "match_learned_native": match_learned_native,
+    "match_updated": match_updated,
 }

@@ -54,6 +54,9 @@ MODEL = T.StructType(
         T.StructField("l2", T.DoubleType()),
         T.StructField("alpha", T.DoubleType()),
         T.StructField("beta", T.DoubleType()),
+        T.StructField("max_iter", T.IntegerType()),
+        T.StructField("eta", T.DoubleType()),
+        T.StructField("epochs", T.IntegerType()),
         T.StructField("trained", T.BooleanType()),
         T.StructField("version", T.LongType()),
     ]
