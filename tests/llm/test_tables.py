@@ -13,7 +13,7 @@ from twinweave.llm.mixing import MixParams, mix_sources, mixed_documents, source
 from twinweave.llm.neighbours import LshParams, nearest
 from twinweave.llm.packing import PackParams, best_fit, pack_documents, pack_shard
 from twinweave.llm.search import SearchParams, top_k
-from twinweave.llm.sharding import cut_links, shard_documents
+from twinweave.llm.sharding import allowed_moves, cut_links, shard_documents
 from twinweave.llm.urlrules import UrlRuleParams, filter_urls, mine_rules
 
 SF = "/root/testdata/sf0.001"
@@ -187,6 +187,48 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert sorted(Counter(r.shard for r in shard_documents(docs(spark, rows[:3])).collect()).values()) == [1, 1, 1]
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+def test_groups_meet_when_every_row_has_a_copy(spark, copies):
+    rows = [(i, f"g{i % (800 // copies)}", "s") for i in range(800)]
+    out = shard_documents(docs(spark, rows))
+    got = out.collect()
+    assert Counter(Counter(r.shard for r in got).values()) == {100: 8}
+    assert sorted(r.doc_id for r in got) == list(range(800))
+    assert cut_links(out).first().away <= 7 * copies // 2  # a group per border of two shards
+
+
+@pytest.mark.parametrize("own", [0, 120])
+def test_pairs_meet_beside_a_hot_third(spark, own):
+    rows = [(i, "hot", "s") for i in range(300)] + [(300 + i, f"g{i // 2}", "s") for i in range(600)]
+    rows += [(900 + i, f"own {i}", "s") for i in range(own)]
+    got = shard_documents(docs(spark, rows)).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    where = defaultdict(list)
+    for r in got:
+        if 300 <= r.doc_id < 900:
+            where[r.doc_id // 2].append(r.shard)
+    assert sum(len(set(s)) > 1 for s in where.values()) <= 7
+    hot = Counter(r.shard for r in got if r.doc_id < 300)  # needs three shards
+    assert sum(n for _, n in hot.most_common(3)) > 0.6 * 300
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_allowed_moves_fit_and_swap(seed):
+    rng = random.Random(seed)
+    room = {s: rng.choice([0, 0, 3, 20]) for s in range(5)}
+    wanted = {(s, t, large): rng.randint(0, 30) for s in room for t in room if s != t for large in (False, True)}
+    got = allowed_moves(wanted, room)
+    assert all(0 < n <= wanted[k] for k, n in got.items())
+    for t in room:
+        assert sum(n for k, n in got.items() if k[1] == t) - sum(n for k, n in got.items() if k[0] == t) <= room[t]
+    full = dict.fromkeys(room, 0)
+    assert allowed_moves({(0, 1, False): 5, (1, 0, False): 3, (2, 0, False): 9}, full) == {
+        (0, 1, False): 3, (1, 0, False): 3}
+    assert allowed_moves({(0, 1, False): 5, (2, 1, True): 5, (1, 0, False): 5, (1, 2, False): 5}, full) == {
+        (0, 1, False): 5, (2, 1, True): 5, (1, 0, False): 5, (1, 2, False): 5}
+
+
 # URL rules
 
 def test_mined_rules_equal_counting_all_subsets(spark):
