@@ -324,6 +324,17 @@ def test_search_equals_brute_force(spark, shard, block, words):
     assert dict(got) == slow_bm25(data, ask, 4)
 
 
+@pytest.mark.parametrize("own", [2, 12, 40])
+def test_search_passes_over_repeated_rows_of_the_own_id(spark, own):
+    text = "w0 w1 w2 w3"
+    data = [(7, text)] * own + [(100 + i, f"w{i % 4} w{(i + 1) % 5} x{i} x{i % 7}") for i in range(60)]
+    ask = [(7, text)]
+    got = top_k(spark.createDataFrame(data, "doc_id long, text string").coalesce(1),
+                spark.createDataFrame(ask, "query_id long, text string"), SearchParams(k=4)).collect()
+    got = [(r.doc_id, round(r.score, 5)) for r in sorted(got, key=lambda r: r["rank"])]
+    assert {7: got} == slow_bm25(data, ask, 4)
+
+
 def test_search_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert top_k(df, df.withColumnRenamed("doc_id", "query_id")).collect() == []
