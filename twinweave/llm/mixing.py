@@ -4,8 +4,8 @@ The texts of a source lie end to end and are cut into blocks of ``block`` words.
 gets as many slots as its target needs; every slot draws its output shard, so the counts of
 a source over the shards are multinomial given its total.  A source's slots run through
 pseudorandom permutations of its block indexes, one per pass over the source, and each
-block is joined back by its index.  All of it is DataFrame work on sizes and positions;
-texts stay where they are.
+block's count is joined back by its index.  Nothing reads the drawn shard or the order of
+slots yet.  All of it is DataFrame work on sizes and positions; texts stay where they are.
 """
 
 from __future__ import annotations
