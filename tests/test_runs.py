@@ -65,6 +65,25 @@ def test_run_takes_up_answers_and_fuses(spark, kv, pairs):
     assert not {("s0", "t0"), ("s1", "t1")} & set(rows(result.worklist(-1.0, 1.0, 9).select("source", "target")))
 
 
+def test_run_folds_answers_in_shards_when_asked(spark, kv):
+    s = kv([(f"s{i}", f"word{i}") for i in range(6)])
+    t = kv([(f"t{i}", f"word{i} word{i}") for i in range(6)])
+    catalog = Catalog(spark, frames={"s": s, "t": t})
+    refs = PredicateRef("s"), PredicateRef("t")
+    answers = spark.createDataFrame(
+        [(f"s{i}", f"t{i}", float(i % 2)) for i in range(6)], "source string, target string, is_match double")
+    weights = []
+    for shard_rows in (None, 100, 1):
+        config = MatchingConfig(
+            "s", "t", block_by=(LevelConfig(*refs),), answer_shard_rows=shard_rows,
+            attributes=(AttributeConfig("name", *refs, metric="levenshtein"),))
+        model = new_model(spark, 1, FtrlParams(alpha=0.7), "own")
+        got = run_matching(catalog, config, model=model, answers=answers).model.first()
+        assert got.version == 1 and got.trained
+        weights.append((list(got.z), list(got.n)))
+    assert weights[1][0] == pytest.approx(weights[0][0]) and weights[2][1] != pytest.approx(weights[0][1])
+
+
 def test_run_with_a_learner(spark, kv, pairs):
     names = ["Acme Paper", "Bolt Works", "Crane Ltd", "Delta Foods", "Echo Media", "Fox Rail"]
     s = kv([(f"s{i}", n) for i, n in enumerate(names)])

@@ -120,7 +120,11 @@ class Thresholds:
 
 @dataclass(frozen=True)
 class MatchingConfig:
-    """A whole run: two instance lists, levels, features, learner and decision."""
+    """A whole run: two instance lists, levels, features, learner and decision.
+
+    Answers update the model in one exact pass, in one task.  ``answer_shard_rows`` folds
+    them in shards of about so many instead and averages, for answers that grow with the tables.
+    """
 
     source_instances: str
     target_instances: str
@@ -137,6 +141,7 @@ class MatchingConfig:
     mode: str = "top1"
     neg_rate: float = 1.0
     fuse: tuple[FusionConfig, ...] = ()
+    answer_shard_rows: int | None = None
 
     def __post_init__(self):
         _require(self.block_by or self.partition_by, "at least one level is needed")
@@ -146,6 +151,8 @@ class MatchingConfig:
         _require(self.mode in ("top1", "mutual_best"), "mode must be 'top1' or 'mutual_best'")
         _require(self.train_size >= 2, "train_size must be at least 2")
         _require(0.0 <= self.neg_rate <= 1.0, "neg_rate lies in [0, 1]")
+        _require(self.answer_shard_rows is None or self.answer_shard_rows >= 1,
+                 "answer_shard_rows starts at 1")
         fused = [f.field for f in self.fuse]
         _require(len(fused) == len(set(fused)), "fused fields must be unique")
         names = [f.name for f in (*self.attributes, *self.relations)]
