@@ -94,8 +94,43 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) t(k)
+),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT cut.lang, cut.k, cut.phrase, a, cut, x.c AS l, y.c AS r, ((2000000::HUGEINT * a) // (x.c + y.c))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, (VALUES (1), (2), (3)) t(i), (VALUES (2), (3)) u(m) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+),
+kept AS (
+  SELECT low.* FROM low LEFT JOIN inner_ USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+  phrase, a, l, r, n, score
+FROM kept JOIN tot USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_search": OP4,
     "op6_source_mix": OP6,
     "op9_chat_format": OP9,
+    "op11_collocations": OP11,
 }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinweave.llm.bytepairs import decode_ids, encode_texts, load_vocabulary
 from twinweave.llm.chat import chat_digest
+from twinweave.llm.collocations import collocations
 from twinweave.llm.common import shares_of
 from twinweave.llm.language import fit_language, identify_language
 from twinweave.llm.mixing import mix_sources, words_taken
@@ -18,6 +20,7 @@ from twinweave.llm.sharding import shard_documents
 from twinweave.llm.simhash import simhash_groups
 from twinweave.llm.toxicity import fit_toxicity, score_toxicity
 from twinweave.llm.urlrules import filter_urls
+from twinweave.llm.whitening import whitened_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOXIC_FROM = 0.3
@@ -86,10 +89,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitened_components(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every whole text encoded and decoded; the vocabulary's path is a parameter."""
+    if vocabulary is None:
+        import public_tokenizers
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    loaded = load_vocabulary(vocabulary)
+    encoded = encode_texts(_table(spark, sf_dir, "documents"), loaded)
+    counted = encoded.withColumns({
+        "n_tokens": (F.octet_length("ids") / 4).cast("bigint"), "ids_sha256": F.sha2("ids", 256)})
+    named = ("doc_id", "n_tokens", "ids_sha256")
+    return decode_ids(counted, loaded, named).select(
+        *named, F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_simhash_dedup, op3_url_filter, op4_exact_search,
         op5_nearest_vectors, op6_source_mix, op7_sharding, op8_language, op9_chat_format,
-        op10_toxicity,
+        op10_toxicity, op11_collocations, op12_whitening, op13_byte_pairs,
     )
 }
