@@ -101,6 +101,7 @@ def test_proposal_is_what_spares_counting(spark):
     texts = mining._texts(spark.createDataFrame(rows, DOCS), "lang", "text")
     none = spark.sparkContext.broadcast(np.zeros(1 << 6, np.uint64))
     assert mining._full_pass(texts, none, None, 12).where("k > 1").count() == 0
+    assert mining._full_pass(texts, none, None, 12).where("k = 1").count() == 102
     every = spark.sparkContext.broadcast(np.full(1 << 6, ~np.uint64(0)))
     assert mining._full_pass(texts, every, None, 12).where("k > 1").count() > 300
 

@@ -22,16 +22,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Fixed value: the pattern that splits text into words before any merge.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Characters after which a long text may be cut at the next white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 # Words and fragments a worker remembers, and the longest word it does.
-MEMO_WORDS = 750_000
-MEMO_LENGTH = 64
+MEMO_WORDS = 400_000
+MEMO_LENGTH = 32
+# Rows that are handed on together, so that memory follows few texts.
+ROWS = 256
 _SHORT = 64
 _NEVER = 1 << 62
 # Texts whose characters all lie below this one are split by the faster standard matcher.
@@ -209,13 +211,12 @@ def text_encoder(vocabulary: dict) -> Callable[[str], bytes]:
     return encode
 
 
-def _kept(batch: pa.RecordBatch, n: int) -> list[pa.Array]:
-    return [batch.column(i) for i in range(n)]
+def _few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
 
 
-def _shared(spark: SparkSession, vocabulary: str | dict):
-    loaded = vocabulary if isinstance(vocabulary, dict) else load_vocabulary(vocabulary)
-    return spark.sparkContext.broadcast(loaded)
+def _kept(batch: pa.RecordBatch, n: int) -> list[pa.Array]:
+    return [batch.column(i) for i in range(n)]
 
 
 def encode_texts(docs: DataFrame, vocabulary: str | dict, keep: tuple[str, ...] = ("doc_id",),
@@ -227,14 +228,15 @@ def encode_texts(docs: DataFrame, vocabulary: str | dict, keep: tuple[str, ...]
     text become those tokens.  Texts of any length are encoded whole; memory is a few times
     the longest text.  ``vocabulary`` is a path or what ``load_vocabulary`` returned.
     """
-    shared, n = _shared(docs.sparkSession, vocabulary), len(keep)
+    loaded = vocabulary if isinstance(vocabulary, dict) else load_vocabulary(vocabulary)
+    shared, n = docs.sparkSession.sparkContext.broadcast(loaded), len(keep)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         if "encode" not in held:  # kept with the broadcast: the next task of the worker has it
             held["encode"] = text_encoder(held)
         of_text = held["encode"]
-        for batch in batches:
+        for batch in _few_rows(batches):
             ids = pa.array([of_text(t.as_py() or "") for t in batch.column(n)], pa.binary())
             yield pa.RecordBatch.from_arrays([*_kept(batch, n), ids], names=[*keep, "ids"])
 
@@ -250,11 +252,12 @@ def decode_ids(encoded: DataFrame, vocabulary: str | dict, keep: tuple[str, ...]
     Null ids give an empty text.  Bytes that are no UTF-8 become U+FFFD; an id outside the
     vocabulary fails the job.
     """
-    shared, n = _shared(encoded.sparkSession, vocabulary), len(keep)
+    loaded = vocabulary if isinstance(vocabulary, dict) else load_vocabulary(vocabulary)
+    shared, n = encoded.sparkSession.sparkContext.broadcast({"bytes": loaded["bytes"]}), len(keep)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value["bytes"]
-        for batch in batches:
+        for batch in _few_rows(batches):
             texts = [
                 b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist()))
                 .decode("utf-8", "replace") for x in batch.column(n)

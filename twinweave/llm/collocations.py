@@ -9,14 +9,18 @@ and another pass counts the phrases that its addition opens, until none is missi
 Proposals are held as a bit table of fixed size.  A hash that falls on another phrase's
 bits only means that a phrase is counted that need not have been, so the result is exact
 whatever the size of the corpus.  Counting is made inside Arrow batches over the bytes of
-many texts at once; words are told apart by 128 bits, longer phrases by their words.
+many texts at once.  Phrases are told apart by 128 bits, so only numbers are shuffled; a last
+pass reads the words of the frequent ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,10 @@ _KIND[[0x20, 0x09]] = _GAP
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = _END
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _U = np.uint64
-_BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+# Multipliers of the two 64-bit halves of a hash.
+_HALVES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+# Words of more bytes are hashed one by one.
+_LANES = 64
 
 
 @dataclass(frozen=True)
@@ -62,7 +69,7 @@ class CollocationParams:
 
     @property
     def sample_count(self) -> int:
-        return max(2, int(self.ease * self.min_count / self.sample_of))
+        return max(2, math.ceil(self.ease * self.min_count / self.sample_of))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -84,98 +91,114 @@ def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: bytes, bounds, neighbours and hashes."""
+    """The words of some texts: bytes, bounds, neighbours and the halves of their hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray):
         """``data`` holds texts back to back from ``offsets``; ``seeds`` tells languages apart."""
         kind = _KIND[data]
         word = kind == _WORD
-        first = word.copy()
-        first[1:] &= ~word[:-1]
+        edge = np.empty(len(data), bool)
+        edge[:1] = True
+        np.not_equal(word[1:], word[:-1], out=edge[1:])
         inner = offsets[(offsets > 0) & (offsets < len(data))]
-        first[inner] = word[inner]
-        self.start = np.flatnonzero(first)
-        n = len(self.start)
-        place = np.flatnonzero(word)
-        self.bytes = _LOWER[data[place]]
-        # Bounds among the word bytes alone.
-        self.first = np.searchsorted(place, self.start)
-        self.length = np.diff(np.append(self.first, len(place)))
+        edge[inner] = True
+        at = np.flatnonzero(edge)
+        held = word[at]
+        self.start = at[held]
+        self.length = np.diff(np.append(at, len(data)))[held]
+        self.bytes = _LOWER[data]
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        ends = np.flatnonzero(kind == _END)
-        piece = np.searchsorted(ends, self.start)
+        piece = np.cumsum(kind == _END, dtype=np.int32)[self.start]
         # True where the next word stands in the same piece of the same text.
-        self.joined = np.zeros(n, bool)
+        self.joined = np.zeros(len(self.start), bool)
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.doc[1:] == self.doc[:-1])
-        self.hash = tuple(
-            _mixed(h ^ seeds[self.doc]) for h in self._polynomials()) if n else (
-            np.zeros(0, _U), np.zeros(0, _U))
-
-    def _polynomials(self) -> Iterator[np.ndarray]:
-        within = np.arange(len(self.bytes), dtype=np.int64) - np.repeat(self.first, self.length)
-        value = self.bytes.astype(_U) + _U(1)
-        for base in _BASES:
-            powers = np.cumprod(np.full(int(self.length.max()), base, _U))
-            yield np.add.reduceat(value * powers[within], self.first)
-
-
-def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """``(example, number)``: a place for every distinct word, and every word's number."""
-    one, two = words.hash
-    if not len(one):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(one, kind="stable")
+        self.hash = self._hashes(seeds[self.doc])
+
+    def _hashes(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.concatenate([self.bytes, np.zeros(8, np.uint8)])
+        # Eight bytes from every place on, as one number.
+        eight = np.ndarray((len(self.bytes) + 1,), "<u8", padded, 0, (1,))
+        size = self.length.astype(_U)
+        one, two = (_mixed(seeds + size * m) for m in _HALVES)
+        who = np.arange(len(size))
+        for done in range(0, _LANES, 8):
+            who = who[self.length[who] > done]
+            if not len(who):
+                break
+            left = np.minimum(self.length[who] - done, 8).astype(_U)
+            lane = eight[self.start[who] + done] & (~_U(0) >> (_U(64) - _U(8) * left))
+            one[who] = _mixed(one[who] ^ lane * _HALVES[0])
+            two[who] = _mixed(two[who] ^ lane * _HALVES[1])
+        for i in np.flatnonzero(self.length > _LANES):
+            text = self.bytes[self.start[i]:self.start[i] + self.length[i]].tobytes()
+            digest = np.frombuffer(hashlib.blake2b(text, digest_size=16).digest(), "<u8")
+            one[i], two[i] = (_mixed(seeds[i:i + 1] ^ d)[0] for d in digest)
+        return one, two
+
+    def grown(self, halves: tuple, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of phrases of ``k`` words at places ``at``, from those of ``k - 1``."""
+        return tuple(_mixed(h[at] * _U(3) + w[at + k - 1]) for h, w in zip(halves, self.hash))
+
+
+def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(example, counts)`` of the distinct pairs of halves."""
+    order = np.argsort(one)
     a, b = one[order], two[order]
-    if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])):
+    new = np.append(True, a[1:] != a[:-1])
+    if np.any(~new[1:] & (b[1:] != b[:-1])):
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    number = np.empty(len(one), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    first = np.flatnonzero(new[:len(order)])
+    return order[first], np.diff(np.append(first, len(order)))
 
 
-def _longer(words: Words, number: np.ndarray, k: int, chosen: Callable) -> Iterator[tuple]:
-    """``(k, places, counts, hashes)`` of the phrases of 2 to ``k`` words.
+def _longer(words: Words, table: np.ndarray, bits: int, before: np.ndarray | None = None,
+            upto: int = LONGEST) -> Iterator[tuple]:
+    """``(k, places, halves)`` of the phrases of 2 to ``upto`` words that the table opens.
 
-    ``chosen(hash)`` tells whether a phrase may begin and end longer ones.  Phrases are told
-    apart by the numbers of their beginning and their last word, so nothing is confused.
+    Opened is a phrase whose beginning and end are both marked.  With ``before`` only places
+    come out that the table ``before`` did not open.
     """
-    n = len(number)
-    h = words.hash[0]
-    whole, now = np.ones(n, bool), number
-    for size in range(2, k + 1):
-        ok = whole & chosen(size - 1, h)
-        at = np.flatnonzero(ok[:-1] & ok[1:] & words.joined[: n - 1]) if n else np.zeros(0, np.int64)
-        grown = _mixed(h[at] * _U(3) + words.hash[0][np.minimum(at + size - 1, n - 1)])
+    n = len(words.start)
+    halves, whole, old = words.hash, np.ones(n, bool), np.ones(n, bool)
+    for k in range(2, upto + 1):
+        known = np.flatnonzero(whole)
+        marked = np.zeros(n, bool)
+        marked[known] = _marked(table, halves[0][known], bits)
+        whole = np.zeros(n, bool)
+        whole[:-1] = marked[:-1] & marked[1:] & words.joined[:-1]
+        if before is not None:
+            known = np.flatnonzero(marked & old)
+            seen = np.zeros(n, bool)
+            seen[known] = _marked(before, halves[0][known], bits)
+            old = np.zeros(n, bool)
+            old[:-1] = seen[:-1] & seen[1:] & whole[:-1]
+        at = np.flatnonzero(whole)
         if not len(at):
             return
-        span = np.int64(number.max()) + 1
-        keys, example, back, counts = np.unique(
-            now[at] * span + number[at + size - 1], return_index=True, return_inverse=True,
-            return_counts=True)
-        yield size, at[example], counts, grown[example]
-        whole = np.zeros(n, bool)
-        whole[at] = True
-        now, h = np.zeros(n, np.int64), np.zeros(n, _U)
-        now[at], h[at] = back, grown
+        grown = words.grown(halves, at, k)
+        if before is None:
+            yield k, at, grown
+        else:
+            fresh = ~old[at]
+            yield k, at[fresh], tuple(h[fresh] for h in grown)
+        halves = tuple(np.zeros(n, _U) for _ in grown)
+        for h, g in zip(halves, grown):
+            h[at] = g
 
 
 def _phrases(words: Words, places: np.ndarray, k: int) -> pa.Array:
     """The phrases of ``k`` words from ``places`` on, joined by single spaces."""
-    last = places + k - 1
-    begin = words.first[places]
-    size = words.first[last] + words.length[last] - begin + (k - 1)
+    size = sum(words.length[places + j] for j in range(k)) + (k - 1)
     out = np.concatenate([[0], np.cumsum(size)])
-    total = int(out[-1])
-    buffer = np.full(total, 0x20, np.uint8)
+    buffer = np.full(int(out[-1]), 0x20, np.uint8)
+    to = out[:-1].copy()
     for j in range(k):
-        w = places + j
-        n = words.length[w]
-        at = out[:-1] + words.first[w] - begin + j
-        shift = np.repeat(np.cumsum(n) - n, n)
-        steps = np.arange(int(n.sum()), dtype=np.int64) - shift
-        buffer[np.repeat(at, n) + steps] = words.bytes[np.repeat(words.first[w], n) + steps]
+        n = words.length[places + j]
+        steps = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+        buffer[np.repeat(to, n) + steps] = words.bytes[np.repeat(words.start[places + j], n) + steps]
+        to += n + 1
     return pa.StringArray.from_buffers(
         len(places), pa.py_buffer(out.astype(np.int32).tobytes()), pa.py_buffer(buffer.tobytes()))
 
@@ -185,8 +208,7 @@ def _language_seeds(langs: pa.Array) -> np.ndarray:
     coded = langs.dictionary_encode()
     each = []
     for lang in coded.dictionary.to_pylist():
-        b = np.frombuffer(lang.encode("utf-8") + b"\x01", np.uint8).astype(_U)
-        each.append(_mixed(np.array([np.sum(b * np.cumprod(np.full(len(b), _BASES[1], _U)))], _U))[0])
+        each.append(np.frombuffer(hashlib.blake2b(lang.encode("utf-8"), digest_size=8).digest(), "<u8")[0])
     return np.array(each, _U)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
@@ -235,105 +257,96 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
 def _sample_pass(texts: DataFrame, level: int, table, bits: int, least: int) -> DataFrame:
     """Hashes of the phrases of ``level`` words that occur ``least`` times in the sample."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = table.value if table is not None else None
         for batch in batches:
             for words, _ in _windows(batch):
-                example, number = _distinct(words)
-                if level == 1:
-                    h, counts = words.hash[0][example], np.bincount(number, minlength=len(example))
-                else:
-                    found = [(c, g) for k, _, c, g in _longer(
-                        words, number, level, lambda _, g: _marked(held, g, bits)) if k == level]
-                    counts, h = found[0] if found else (np.zeros(0, np.int64), np.zeros(0, _U))
-                yield pa.RecordBatch.from_pydict({
-                    "h": pa.array(h.view(np.int64)), "c": pa.array(counts.astype(np.int64))})
+                found = [words.hash] if level == 1 else [
+                    h for k, _, h in _longer(words, table.value, bits, upto=level) if k == level]
+                for one, two in found:
+                    example, counts = _grouped(one, two)
+                    yield pa.RecordBatch.from_pydict({
+                        "h": pa.array(one[example].view(np.int64)), "c": pa.array(counts.astype(np.int64))})
 
     return texts.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(
         F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
 
 
 def _full_pass(texts: DataFrame, table, before, bits: int) -> DataFrame:
-    """``(lang, k, phrase, c)``: exact counts of what the proposal opens.
+    """``(h, g, k, c)``: exact counts, by the halves of their hashes, of what the table opens.
 
-    With ``before``, the table of the passes until now, only what it did not open; else
-    every word too, and as ``k = 0`` the number of words of a language.
+    With ``before``, the table of the passes until now, only of what it did not open; else
+    of every word too.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = table.value
         old = before.value if before is not None else None
+        for batch in batches:
+            for words, _ in _windows(batch):
+                if not len(words.start):
+                    continue
+                every = [(1, None, words.hash)] if old is None else []
+                for k, _, (one, two) in chain(every, _longer(words, table.value, bits, old)):
+                    example, counts = _grouped(one, two)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(one[example].view(np.int64)), pa.array(two[example].view(np.int64)),
+                        pa.array(np.full(len(example), k, np.int32)), pa.array(counts.astype(np.int64)),
+                    ], names=["h", "g", "k", "c"])
+
+    return texts.mapInArrow(count, "h bigint, g bigint, k int, c bigint").groupBy("h", "g", "k").agg(
+        F.sum("c").alias("c"))
+
 
-        def rows(words, langs, k, places, counts):
+def _named(texts: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
+    """``(lang, k, phrase, c)`` of the counted phrases, and as ``k = 0`` the words of a language.
+
+    One more pass reads the words of what the table of frequent phrases marks; the join
+    with their counts drops what is marked by chance.
+    """
+    marks, _ = _with_marks(np.zeros(1 << (bits - 6), _U), frequent.select("h"), bits)
+    table = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(langs, k, phrases, one, two):
+            n = len(langs)
             return pa.RecordBatch.from_arrays([
-                langs.take(pa.array(words.doc[places])), pa.array(np.full(len(places), k, np.int32)),
-                _phrases(words, places, k), pa.array(counts.astype(np.int64)),
-            ], names=["lang", "k", "phrase", "c"])
+                langs, pa.array(np.full(n, k, np.int32)), phrases,
+                pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+            ], names=["lang", "k", "phrase", "h", "g"])
 
         for batch in batches:
             for words, langs in _windows(batch):
-                if not len(words.start):
+                n = len(words.start)
+                if not n:
                     continue
-                example, number = _distinct(words)
-                if old is None:
-                    yield rows(words, langs, 1, example, np.bincount(number))
-                    per_doc = np.bincount(words.doc, minlength=len(langs))
-                    yield pa.RecordBatch.from_arrays([
-                        langs, pa.array(np.zeros(len(langs), np.int32)),
-                        pa.array([""] * len(langs)), pa.array(per_doc.astype(np.int64)),
-                    ], names=["lang", "k", "phrase", "c"])
-                    chosen = _per_level(held, bits, words)
-                    for k, places, counts, _ in _longer(words, number, LONGEST, chosen):
-                        yield rows(words, langs, k, places, counts)
-                    continue
-                new = _per_level(held, bits, words)
-                seen = _seen_before(words, number, old, bits)
-                for k, places, counts, _ in _longer(words, number, LONGEST, new):
-                    fresh = ~seen[k][places]
-                    if fresh.any():
-                        yield rows(words, langs, k, places[fresh], counts[fresh])
-
-    return texts.mapInArrow(count, "lang string, k int, phrase string, c bigint").groupBy(
-        "lang", "k", "phrase").agg(F.sum("c").alias("c"))
-
-
-def _per_level(table: np.ndarray, bits: int, words: Words) -> Callable:
-    return lambda _, h: _marked(table, h, bits)
-
-
-def _seen_before(words: Words, number: np.ndarray, table: np.ndarray, bits: int) -> dict[int, np.ndarray]:
-    """Per length, the places whose phrase an earlier pass has counted: its beginning and its
-    end were proposed, whatever became of shorter ones."""
-    n = len(number)
-    h, whole, out = words.hash[0], np.ones(n, bool), {}
-    for k in range(2, LONGEST + 1):
-        ok = whole & _marked(table, h, bits)
-        both = np.zeros(n, bool)
-        both[: n - 1] = ok[:-1] & ok[1:] & words.joined[: n - 1]
-        out[k] = both
-        grown = np.zeros(n, _U)
-        at = np.flatnonzero(both)
-        grown[at] = _mixed(h[at] * _U(3) + words.hash[0][at + k - 1])
-        h, whole = grown, both
-    return out
-
-
-def _hashed(frequent: DataFrame, table, bits: int) -> DataFrame:
-    """Hashes of the phrases that the proposal lacks."""
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = table.value
+                coded = langs.dictionary_encode()
+                docs = np.bincount(words.doc, minlength=len(langs))
+                sums = np.bincount(coded.indices.to_numpy(), docs, len(coded.dictionary)).astype(_U)
+                yield rows(coded.dictionary, 0, pa.array([""] * len(sums)), sums, np.zeros(len(sums), _U))
+                for k, at, halves in chain(
+                        [(1, np.arange(n), words.hash)], _longer(words, table.value, bits)):
+                    known = _marked(table.value, halves[0], bits)
+                    at, one, two = at[known], halves[0][known], halves[1][known]
+                    example, _ = _grouped(one, two)
+                    at = at[example]
+                    yield rows(langs.take(pa.array(words.doc[at])), k, _phrases(words, at, k),
+                               one[example], two[example])
+
+    found = materialise(texts.mapInArrow(
+        read, "lang string, k int, phrase string, h bigint, g bigint"
+    ).groupBy("lang", "k", "phrase").agg(
+        F.sum(F.when(F.col("k") == 0, F.col("h"))).alias("c"),
+        F.max(F.when(F.col("k") > 0, F.col("h"))).alias("h"), F.max("g").alias("g")), "phrase-names")
+    return found.where(F.col("k") == 0).select("lang", "k", "phrase", "c").unionByName(
+        found.where(F.col("k") > 0).drop("c").join(frequent, ["h", "g", "k"]).select("lang", "k", "phrase", "c"))
+
+
+def _unmarked(hashes: DataFrame, table, bits: int) -> DataFrame:
+    """The hashes that the proposal lacks."""
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, _ in _windows(batch):
-                # One phrase a text, so its words stand side by side.
-                first = np.flatnonzero(np.append(True, words.doc[1:] != words.doc[:-1]))
-                size = np.diff(np.append(first, len(words.doc)))
-                h = words.hash[0][first]
-                for k in range(2, LONGEST):
-                    at = np.flatnonzero(size >= k)
-                    h[at] = _mixed(h[at] * _U(3) + words.hash[0][first[at] + k - 1])
-                lacking = h[~_marked(held, h, bits)]
-                yield pa.RecordBatch.from_pydict({"h": pa.array(lacking.view(np.int64))})
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
+            yield pa.RecordBatch.from_pydict(
+                {"h": pa.array(h[~_marked(table.value, h, bits)].view(np.int64))})
 
-    return frequent.where((F.col("k") > 0) & (F.col("k") < LONGEST)).select(
-        "lang", F.col("phrase").alias("text")).mapInArrow(hashes, "h bigint")
+    return hashes.mapInArrow(lacking, "h bigint")
 
 
 def _with_marks(table: np.ndarray, hashes: DataFrame, bits: int) -> tuple[np.ndarray, bool]:
@@ -375,12 +388,15 @@ def count_phrases(docs: DataFrame, params: CollocationParams = CollocationParams
         shared = spark.sparkContext.broadcast(marks)
         if not any_:
             break
-    enough = (F.col("c") >= params.min_count) | (F.col("k") == 0)
+    enough = F.col("c") >= params.min_count
     parts = [materialise(_full_pass(texts, shared, None, bits).where(enough), "phrase-counts")]
     while True:
-        marks, failed = _with_marks(marks, _hashed(parts[-1], shared, bits), bits)
+        # Phrases of the greatest length open no others, so they need no mark.
+        lacking = _unmarked(parts[-1].where(F.col("k") < LONGEST).select("h"), shared, bits)
+        marks, failed = _with_marks(marks, lacking, bits)
         if not failed:
-            return reduce(DataFrame.unionByName, parts), len(parts)
+            frequent = reduce(DataFrame.unionByName, parts)
+            return materialise(_named(texts, frequent, bits), "phrases"), len(parts)
         before, shared = shared, spark.sparkContext.broadcast(marks)
         parts.append(materialise(
             _full_pass(texts, shared, before, bits).where(enough), "phrase-counts"))
