@@ -74,6 +74,7 @@ def hard_rows():
 @pytest.mark.parametrize("sample_of,window", [(10, 1 << 22), (1_000_000, 1 << 22), (1, 64), (3, 1_000)])
 def test_collocations_are_exact_whatever_the_sample(spark, monkeypatch, sample_of, window):
     monkeypatch.setattr(mining, "WINDOW", window)
+    monkeypatch.setattr(mining, "HELD", window)
     rows = hard_rows()
     p = CollocationParams(min_count=20, top=40, sample_of=sample_of, filter_bits=12)
     df = spark.createDataFrame(rows, DOCS).withColumns({

@@ -33,7 +33,9 @@ from twinweave.operators.skew import lookup_join
 LONGEST = 4
 UNKNOWN = "und"
 # Bytes of text that are looked at together; a longer piece is not cut.
-WINDOW = 1 << 22
+WINDOW = 1 << 20
+# Distinct phrases of windows that a task holds before it hands their counts on.
+HELD = 1_500_000
 # Rows of one language that one task ranks.
 RANKED = 50_000
 
@@ -140,8 +142,8 @@ class Words:
         return tuple(_mixed(h[at] * _U(3) + w[at + k - 1]) for h, w in zip(halves, self.hash))
 
 
-def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(example, counts)`` of the distinct pairs of halves."""
+def _grouping(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs of halves together, and where each begins in it."""
     order = np.argsort(one)
     a, b = one[order], two[order]
     new = np.append(True, a[1:] != a[:-1])
@@ -149,10 +151,38 @@ def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    first = np.flatnonzero(new[:len(order)])
+    return order, np.flatnonzero(new[:len(order)])
+
+
+def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(example, counts)`` of the distinct pairs of halves."""
+    order, first = _grouping(one, two)
     return order[first], np.diff(np.append(first, len(order)))
 
 
+class Counts:
+    """Counts of phrases over several windows of a task, handed on together."""
+
+    def __init__(self, hand_on):
+        self.hand_on, self.parts, self.size = hand_on, [], 0
+
+    def add(self, k: int, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+        example, counts = _grouped(one, two)
+        self.parts.append((one[example], two[example], np.full(len(example), k, np.int32), counts))
+        self.size += len(example)
+        if self.size > HELD:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            one, two, k, counts = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts, self.size = [], 0
+            order, first = _grouping(one, two)
+            at = order[first]
+            sums = np.add.reduceat(counts[order], first)
+            yield self.hand_on(one[at].view(np.int64), two[at].view(np.int64), k[at], sums)
+
+
 def _longer(words: Words, table: np.ndarray, bits: int, before: np.ndarray | None = None,
             upto: int = LONGEST) -> Iterator[tuple]:
     """``(k, places, halves)`` of the phrases of 2 to ``upto`` words that the table opens.
@@ -257,14 +287,15 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
 def _sample_pass(texts: DataFrame, level: int, table, bits: int, least: int) -> DataFrame:
     """Hashes of the phrases of ``level`` words that occur ``least`` times in the sample."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts(lambda h, g, k, c: pa.RecordBatch.from_arrays(
+            [pa.array(h), pa.array(c)], names=["h", "c"]))
         for batch in batches:
             for words, _ in _windows(batch):
                 found = [words.hash] if level == 1 else [
                     h for k, _, h in _longer(words, table.value, bits, upto=level) if k == level]
                 for one, two in found:
-                    example, counts = _grouped(one, two)
-                    yield pa.RecordBatch.from_pydict({
-                        "h": pa.array(one[example].view(np.int64)), "c": pa.array(counts.astype(np.int64))})
+                    yield from held.add(level, one, two)
+        yield from held.rest()
 
     return texts.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(
         F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
@@ -278,17 +309,14 @@ def _full_pass(texts: DataFrame, table, before, bits: int) -> DataFrame:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = before.value if before is not None else None
+        held = Counts(lambda *columns: pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in columns], names=["h", "g", "k", "c"]))
         for batch in batches:
             for words, _ in _windows(batch):
-                if not len(words.start):
-                    continue
                 every = [(1, None, words.hash)] if old is None else []
                 for k, _, (one, two) in chain(every, _longer(words, table.value, bits, old)):
-                    example, counts = _grouped(one, two)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(one[example].view(np.int64)), pa.array(two[example].view(np.int64)),
-                        pa.array(np.full(len(example), k, np.int32)), pa.array(counts.astype(np.int64)),
-                    ], names=["h", "g", "k", "c"])
+                    yield from held.add(k, one, two)
+        yield from held.rest()
 
     return texts.mapInArrow(count, "h bigint, g bigint, k int, c bigint").groupBy("h", "g", "k").agg(
         F.sum("c").alias("c"))
