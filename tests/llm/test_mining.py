@@ -100,11 +100,21 @@ def test_proposal_is_what_spares_counting(spark):
     """Rare pairs are counted only where both words are proposed or turn out frequent."""
     rows = [(i, f"hot word{i} hot word{i + 1}", "en", "s") for i in range(100)]
     texts = mining._texts(spark.createDataFrame(rows, DOCS), "lang", "text")
-    none = spark.sparkContext.broadcast(np.zeros(1 << 6, np.uint64))
-    assert mining._full_pass(texts, none, None, 12).where("k > 1").count() == 0
-    assert mining._full_pass(texts, none, None, 12).where("k = 1").count() == 102
-    every = spark.sparkContext.broadcast(np.full(1 << 6, ~np.uint64(0)))
-    assert mining._full_pass(texts, every, None, 12).where("k > 1").count() > 300
+    def marks_of(*phrases):
+        table = np.zeros(1 << 14, np.uint64)
+        if phrases:
+            one = mining._texts(spark.createDataFrame([(1, p, "en", "s") for p in phrases], DOCS), "lang", "text")
+            none = spark.sparkContext.broadcast(table)
+            table, _ = mining._with_marks(table, mining._border_pass(one, none, None, 20).select("h"), 20)
+        return spark.sparkContext.broadcast(table)
+
+    def border(*phrases, before=None):
+        return mining._border_pass(texts, marks_of(*phrases), before, 20).count()
+
+    assert border() == 102                               # words only
+    assert border("hot") == 101                          # the others are the border
+    assert border("hot", "word7") == 100 + 2             # and "hot word7", "word7 hot"
+    assert border("hot", "word7", before=marks_of("hot")) == 2
 
 
 def test_ranks_in_rounds_of_bounded_tasks(spark, monkeypatch):

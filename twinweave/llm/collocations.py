@@ -1,16 +1,16 @@
 """Collocations by Toivonen's method: a sample proposes, full passes decide.
 
-A sample is mined level by level and proposes phrases.  Full passes over all texts count,
-exactly, every word and every phrase whose beginning and end (all but its last word, all
-but its first) are proposed: the proposed phrases and their negative border, as far as it
-occurs.  A border phrase that turns out frequent was missing from the proposal; it is added
-and another pass counts the phrases that its addition opens, until none is missing.
-
-Proposals are held as a bit table of fixed size.  A hash that falls on another phrase's
-bits only means that a phrase is counted that need not have been, so the result is exact
-whatever the size of the corpus.  Counting is made inside Arrow batches over the bytes of
-many texts at once.  Phrases are told apart by 128 bits, so only numbers are shuffled; a last
-pass reads the words of the frequent ones.
+A sample is mined level by level and proposes phrases.  Full passes over all texts count
+the negative border as far as it occurs: every word, and every longer phrase whose beginning
+and end (all but its last word, all but its first) are proposed, that is not proposed itself.
+A border phrase that turns out frequent was missing from the proposal; it is added and
+another pass counts the border that its addition opens, until none is missing.  What was
+proposed or added is then counted word by word.
+
+Proposals are held as a bit table of fixed size, and border counts are kept by 64-bit hash.
+Where hashes fall together a count can only be too high, which adds a phrase to those that
+the last pass counts, so the result is exact whatever the size of the corpus.  Counting is
+made inside Arrow batches over the bytes of many texts at once.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ UNKNOWN = "und"
 # Bytes of text that are looked at together; a longer piece is not cut.
 WINDOW = 1 << 20
 # Distinct phrases of windows that a task holds before it hands their counts on.
-HELD = 1_500_000
+HELD = 1_000_000
+HANDED = 100_000
 # Rows of one language that one task ranks.
 RANKED = 50_000
 
@@ -89,6 +90,7 @@ def _marked(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = h & ~_U(1)
     return h >> _U(64 - bits), (h * _U(0xD6E8FEB86659FD93)) >> _U(64 - bits)
 
 
@@ -161,26 +163,36 @@ def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Counts:
-    """Counts of phrases over several windows of a task, handed on together."""
+    """Counts of phrases over several windows of a task, handed on together.
 
-    def __init__(self, hand_on):
-        self.hand_on, self.parts, self.size = hand_on, [], 0
+    Rows are told apart by both halves of a hash, or by the first alone when ``two`` is None;
+    ``more`` are Arrow columns that equal rows share.
+    """
+
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.size = names, [], 0
 
-    def add(self, k: int, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-        example, counts = _grouped(one, two)
-        self.parts.append((one[example], two[example], np.full(len(example), k, np.int32), counts))
-        self.size += len(example)
+    def add(self, one: np.ndarray, two: np.ndarray | None, counts: np.ndarray,
+            *more: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.parts.append((one, one if two is None else two, counts, more))
+        self.size += len(one)
         if self.size > HELD:
             yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            one, two, k, counts = (np.concatenate(x) for x in zip(*self.parts))
-            self.parts, self.size = [], 0
-            order, first = _grouping(one, two)
-            at = order[first]
-            sums = np.add.reduceat(counts[order], first)
-            yield self.hand_on(one[at].view(np.int64), two[at].view(np.int64), k[at], sums)
+        parts, self.parts, self.size = self.parts, [], 0
+        one, two, counts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, _U) for i in range(3))
+        if not len(one):
+            return
+        order, first = _grouping(one, two)
+        at = order[first]
+        sums = np.add.reduceat(counts[order].astype(np.int64), first)
+        more = [pa.concat_arrays([p[3][i] for p in parts]) for i in range(len(parts[0][3]))]
+        for i in range(0, len(at), HANDED):
+            part = at[i:i + HANDED]
+            key = [] if more else [pa.array(one[part].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [*key, *[m.take(pa.array(part)) for m in more], pa.array(sums[i:i + HANDED])], names=self.names)
 
 
 def _longer(words: Words, table: np.ndarray, bits: int, before: np.ndarray | None = None,
@@ -287,94 +299,70 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
 def _sample_pass(texts: DataFrame, level: int, table, bits: int, least: int) -> DataFrame:
     """Hashes of the phrases of ``level`` words that occur ``least`` times in the sample."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counts(lambda h, g, k, c: pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(c)], names=["h", "c"]))
+        held = Counts(["h", "c"])
         for batch in batches:
             for words, _ in _windows(batch):
                 found = [words.hash] if level == 1 else [
                     h for k, _, h in _longer(words, table.value, bits, upto=level) if k == level]
-                for one, two in found:
-                    yield from held.add(level, one, two)
+                for one, _ in found:
+                    example, counts = _grouped(one, one)
+                    yield from held.add(one[example], None, counts)
         yield from held.rest()
 
     return texts.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(
         F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
 
 
-def _full_pass(texts: DataFrame, table, before, bits: int) -> DataFrame:
-    """``(h, g, k, c)``: exact counts, by the halves of their hashes, of what the table opens.
+def _border_pass(texts: DataFrame, table, before, bits: int) -> DataFrame:
+    """``(h, c)``: counts of the border, the phrases that the table opens but does not mark.
 
     With ``before``, the table of the passes until now, only of what it did not open; else
-    of every word too.
+    of words too.  The lowest bit of ``h`` tells phrases of the greatest length from others.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = before.value if before is not None else None
-        held = Counts(lambda *columns: pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in columns], names=["h", "g", "k", "c"]))
+        held = Counts(["h", "c"])
         for batch in batches:
             for words, _ in _windows(batch):
                 every = [(1, None, words.hash)] if old is None else []
-                for k, _, (one, two) in chain(every, _longer(words, table.value, bits, old)):
-                    yield from held.add(k, one, two)
+                for k, _, (one, _) in chain(every, _longer(words, table.value, bits, old)):
+                    example, counts = _grouped(one, one)
+                    h = one[example]
+                    fresh = ~_marked(table.value, h, bits)
+                    h = (h[fresh] & ~_U(1)) | _U(k == LONGEST)
+                    yield from held.add(h, None, counts[fresh])
         yield from held.rest()
 
-    return texts.mapInArrow(count, "h bigint, g bigint, k int, c bigint").groupBy("h", "g", "k").agg(
-        F.sum("c").alias("c"))
-
-
-def _named(texts: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
-    """``(lang, k, phrase, c)`` of the counted phrases, and as ``k = 0`` the words of a language.
-
-    One more pass reads the words of what the table of frequent phrases marks; the join
-    with their counts drops what is marked by chance.
-    """
-    marks, _ = _with_marks(np.zeros(1 << (bits - 6), _U), frequent.select("h"), bits)
-    table = texts.sparkSession.sparkContext.broadcast(marks)
+    return texts.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(langs, k, phrases, one, two):
-            n = len(langs)
-            return pa.RecordBatch.from_arrays([
-                langs, pa.array(np.full(n, k, np.int32)), phrases,
-                pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-            ], names=["lang", "k", "phrase", "h", "g"])
 
+def _exact_pass(texts: DataFrame, table, bits: int) -> DataFrame:
+    """``(lang, k, phrase, c)``: exact counts of the phrases that the table marks, and as
+    ``k = 0`` the number of words of a language."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts(["lang", "k", "phrase", "c"])
         for batch in batches:
             for words, langs in _windows(batch):
-                n = len(words.start)
-                if not n:
-                    continue
                 coded = langs.dictionary_encode()
-                docs = np.bincount(words.doc, minlength=len(langs))
-                sums = np.bincount(coded.indices.to_numpy(), docs, len(coded.dictionary)).astype(_U)
-                yield rows(coded.dictionary, 0, pa.array([""] * len(sums)), sums, np.zeros(len(sums), _U))
-                for k, at, halves in chain(
-                        [(1, np.arange(n), words.hash)], _longer(words, table.value, bits)):
+                per_doc = np.bincount(words.doc, minlength=len(langs))
+                sums = np.bincount(coded.indices.to_numpy(), per_doc, len(coded.dictionary))
+                yield pa.RecordBatch.from_arrays([
+                    coded.dictionary, pa.array(np.zeros(len(sums), np.int32)),
+                    pa.array([""] * len(sums), pa.string()), pa.array(sums.astype(np.int64)),
+                ], names=held.names)
+                every = [(1, np.arange(len(words.start)), words.hash)]
+                for k, at, halves in chain(every, _longer(words, table.value, bits)):
                     known = _marked(table.value, halves[0], bits)
                     at, one, two = at[known], halves[0][known], halves[1][known]
-                    example, _ = _grouped(one, two)
+                    example, counts = _grouped(one, two)
                     at = at[example]
-                    yield rows(langs.take(pa.array(words.doc[at])), k, _phrases(words, at, k),
-                               one[example], two[example])
-
-    found = materialise(texts.mapInArrow(
-        read, "lang string, k int, phrase string, h bigint, g bigint"
-    ).groupBy("lang", "k", "phrase").agg(
-        F.sum(F.when(F.col("k") == 0, F.col("h"))).alias("c"),
-        F.max(F.when(F.col("k") > 0, F.col("h"))).alias("h"), F.max("g").alias("g")), "phrase-names")
-    return found.where(F.col("k") == 0).select("lang", "k", "phrase", "c").unionByName(
-        found.where(F.col("k") > 0).drop("c").join(frequent, ["h", "g", "k"]).select("lang", "k", "phrase", "c"))
-
-
-def _unmarked(hashes: DataFrame, table, bits: int) -> DataFrame:
-    """The hashes that the proposal lacks."""
-    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
-            yield pa.RecordBatch.from_pydict(
-                {"h": pa.array(h[~_marked(table.value, h, bits)].view(np.int64))})
+                    yield from held.add(
+                        one[example], two[example], counts, langs.take(pa.array(words.doc[at])),
+                        pa.array(np.full(len(at), k, np.int32)), _phrases(words, at, k))
+        yield from held.rest()
 
-    return hashes.mapInArrow(lacking, "h bigint")
+    return texts.mapInArrow(count, "lang string, k int, phrase string, c bigint").groupBy(
+        "lang", "k", "phrase").agg(F.sum("c").alias("c"))
 
 
 def _with_marks(table: np.ndarray, hashes: DataFrame, bits: int) -> tuple[np.ndarray, bool]:
@@ -399,7 +387,7 @@ def _with_marks(table: np.ndarray, hashes: DataFrame, bits: int) -> tuple[np.nda
 
 def count_phrases(docs: DataFrame, params: CollocationParams = CollocationParams(),
                   lang: str = "lang", text: str = "text") -> tuple[DataFrame, int]:
-    """``(lang, k, phrase, c)`` of all frequent phrases, and the number of full passes.
+    """``(lang, k, phrase, c)`` of all frequent phrases, and the number of border passes.
 
     A row with ``k = 0`` has the number of words of its language.
     """
@@ -416,18 +404,17 @@ def count_phrases(docs: DataFrame, params: CollocationParams = CollocationParams
         shared = spark.sparkContext.broadcast(marks)
         if not any_:
             break
-    enough = F.col("c") >= params.min_count
-    parts = [materialise(_full_pass(texts, shared, None, bits).where(enough), "phrase-counts")]
-    while True:
-        # Phrases of the greatest length open no others, so they need no mark.
-        lacking = _unmarked(parts[-1].where(F.col("k") < LONGEST).select("h"), shared, bits)
-        marks, failed = _with_marks(marks, lacking, bits)
-        if not failed:
-            frequent = reduce(DataFrame.unionByName, parts)
-            return materialise(_named(texts, frequent, bits), "phrases"), len(parts)
-        before, shared = shared, spark.sparkContext.broadcast(marks)
-        parts.append(materialise(
-            _full_pass(texts, shared, before, bits).where(enough), "phrase-counts"))
+    before, passes, closed = None, 0, False
+    while not closed:
+        counts = _border_pass(texts, shared, before, bits).where(F.col("c") >= params.min_count)
+        failures = materialise(counts.select("h"), "border-failures")
+        marks, _ = _with_marks(marks, failures, bits)
+        before, shared, passes = shared, spark.sparkContext.broadcast(marks), passes + 1
+        # Phrases of the greatest length open no others.
+        closed = failures.where(F.col("h").bitwiseAND(1) == 0).isEmpty()
+    exact = _exact_pass(texts, shared, bits)
+    return materialise(exact.where(
+        (F.col("c") >= params.min_count) | (F.col("k") == 0)), "phrases"), passes
 
 
 def _part(words: Column, first: Column | int, size: Column | int) -> Column:
