@@ -35,7 +35,7 @@ UNKNOWN = "und"
 # Bytes of text that are looked at together; a longer piece is not cut.
 WINDOW = 1 << 20
 # Distinct phrases of windows that a task holds before it hands their counts on.
-HELD = 1_000_000
+HELD = 1_500_000
 HANDED = 100_000
 # Rows of one language that one task ranks.
 RANKED = 50_000
@@ -177,22 +177,29 @@ class Counts:
         self.parts.append((one, one if two is None else two, counts, more))
         self.size += len(one)
         if self.size > HELD:
-            yield from self.rest()
+            self._merge()
+            # Merged rows stay for the windows to come as long as they leave room for them.
+            if self.size > HELD // 2:
+                yield from self.rest()
 
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        parts, self.parts, self.size = self.parts, [], 0
-        one, two, counts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, _U) for i in range(3))
-        if not len(one):
-            return
+    def _merge(self) -> None:
+        one, two, counts = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
         order, first = _grouping(one, two)
         at = order[first]
-        sums = np.add.reduceat(counts[order].astype(np.int64), first)
-        more = [pa.concat_arrays([p[3][i] for p in parts]) for i in range(len(parts[0][3]))]
-        for i in range(0, len(at), HANDED):
-            part = at[i:i + HANDED]
-            key = [] if more else [pa.array(one[part].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(
-                [*key, *[m.take(pa.array(part)) for m in more], pa.array(sums[i:i + HANDED])], names=self.names)
+        sums = np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else counts
+        more = [pa.concat_arrays([p[3][i] for p in self.parts]).take(pa.array(at))
+                for i in range(len(self.parts[0][3]))]
+        self.parts, self.size = [(one[at], two[at], sums, more)], len(at)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        self._merge()
+        (one, _, sums, more), = self.parts
+        self.parts, self.size = [], 0
+        columns = [*([] if more else [pa.array(one.view(np.int64))]), *more, pa.array(sums.astype(np.int64))]
+        for i in range(0, len(sums), HANDED):
+            yield pa.RecordBatch.from_arrays([c.slice(i, HANDED) for c in columns], names=self.names)
 
 
 def _longer(words: Words, table: np.ndarray, bits: int, before: np.ndarray | None = None,
