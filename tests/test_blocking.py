@@ -7,7 +7,8 @@ import pytest
 from conftest import rows
 
 from twinweave.operators.blocking import (
-    Level, block_keys, candidate_pairs, instances, key_table, pair_load, partition_keys, unique_pairs,
+    Level, _pattern_rows, block_keys, candidate_pairs, instances, key_table, pair_load, partition_keys,
+    unique_pairs,
 )
 from twinweave.operators.words import rare_word_keys, tokenize, word_frequency
 
@@ -161,3 +162,40 @@ def test_load_from_counts_equals_the_expanded_table(spark, kv, missing):
         n.setdefault("$" + "$".join(r.path), {"source": 0, "target": 0})[r.db] += 1
     want = {k: (v["source"], v["target"]) for k, v in n.items() if v["source"] and v["target"]}
     assert {r.key: (r.nl, r.nr) for r in load.collect()} == want
+
+
+@pytest.mark.parametrize("policy", ["wildcard", "null_block", "drop"])
+def test_three_levels_by_missing_pattern(kv, policy):
+    """Several values, all masks on both sides, and a prefix that is never missing."""
+    rng = random.Random(21)
+
+    def side(n):
+        return {str(i): tuple(frozenset(rng.sample("pqr", rng.choice([0, 0, 1, 1, 2]))) for _ in range(3))
+                for i in range(n)}
+
+    s, t = side(40), side(30)
+    levels = [Level(*[kv([(k, x) for k, v in d.items() for x in v[i]]) for d in (s, t)], None) for i in range(3)]
+    keys = block_keys(*[kv([(k, "") for k in d]) for d in (s, t)], levels, policy)
+
+    def agree(a, b):
+        if a and b:
+            return bool(a & b)
+        return {"wildcard": True, "null_block": not a and not b, "drop": False}[policy]
+
+    want = {(a, b) for a in s for b in t if all(map(agree, s[a], t[b]))}
+    got = rows(candidate_pairs(keys))
+    assert len(got) == len(set(got)) and set(got) == want and want
+    if policy == "wildcard":
+        # Nobody is written once per key of the other side.
+        written, patterns = _pattern_rows(keys)
+        assert written.groupBy("sub", "db").count().agg({"count": "max"}).first()[0] <= 2 ** 3 * 2 ** 3
+        assert len(patterns) <= 3 ** 3
+        plan = written._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+        table = {}
+        for r in key_table(keys.candidate).collect():
+            table.setdefault(r.key, {"source": set(), "target": set()})[r.db].add(r.sub)
+        assert {(a, b) for v in table.values() for a in v["source"] for b in v["target"]} == want
+        ones = {(min(v["source"]), min(v["target"])) for v in table.values()
+                if len(v["source"]) == len(v["target"]) == 1}
+        assert set(rows(unique_pairs(keys))) >= {p for p in ones if all(s[p[0]]) and all(t[p[1]])}

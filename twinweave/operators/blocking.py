@@ -2,12 +2,16 @@
 
 Two instances become a pair when at every level their values agree or at least one
 of them has no value there (policy ``wildcard``).
+
+Pairs over several levels come from a join by missing pattern: an instance has a bit mask
+of the levels it has a value for, and two masks meet by an equi-join on the levels known on
+both sides.  No instance is written once per key of the other side.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +40,48 @@ class Level:
 
 @dataclass(frozen=True)
 class BlockKeys:
-    """Outcome of the level loop; every field is a stage or a view of one.
+    """Outcome of the levels: ``start (sub, db, path)`` and per level ``(sub, db, new_key)``.
 
-    ``known (sub, db, path, new_key)`` and ``missing (sub, db, path)`` describe the
-    last level before wildcards, ``unique (source, target, path)`` the one-to-one
-    blocks of all levels.
+    Both are stages.  Pairs are made from them directly.  What follows is worked out level
+    by level, with wildcards written out as keys, when it is first asked for: ``known (sub,
+    db, path, new_key)`` and ``missing (sub, db, path)`` of the last level before wildcards,
+    and ``unique (source, target, path)``, the one-to-one blocks of all levels.
     """
 
-    known: DataFrame
-    missing: DataFrame
-    unique: DataFrame
+    start: DataFrame
+    values: tuple[DataFrame, ...]
     policy: str
 
+    @cached_property
+    def _levels(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        full, unique = self.start, []
+        for i, values in enumerate(self.values):
+            if i:
+                full = materialise(_expand(known, lacking, self.policy), "level-paths")
+            known = materialise(
+                lookup_join(values, full, ["sub", "db"], ["new_key"]).select(
+                    "sub", "db", "path", "new_key"
+                ),
+                "known",
+            )
+            lacking = materialise(
+                full.join(values.select("sub", "db").distinct(), ["sub", "db"], "left_anti"), "missing"
+            )
+            unique.append(unique_blocks(known))
+        return known, lacking, reduce(DataFrame.unionByName, unique)
+
+    @property
+    def known(self) -> DataFrame:
+        return self._levels[0]
+
+    @property
+    def missing(self) -> DataFrame:
+        return self._levels[1]
+
+    @property
+    def unique(self) -> DataFrame:
+        return self._levels[2]
+
     @property
     def candidate(self) -> DataFrame:
         """``(sub, db, path)`` with wildcards expanded, as the key table."""
@@ -141,24 +175,10 @@ def block_keys(source: DataFrame, target: DataFrame, levels: list[Level],
         raise ValueError(f"missing must be one of {MISSING_POLICIES}")
     if not levels:
         raise ValueError("at least one level is needed")
-    full = instances(source, target) if prefix is None else (
+    start = instances(source, target) if prefix is None else (
         prefix.select("sub", "db", "path").distinct())
-    unique = []
-    for i, level in enumerate(levels):
-        if i:
-            full = materialise(_expand(known, lacking, missing), "level-paths")
-        values = materialise(level_values(level), "level-values")
-        known = materialise(
-            lookup_join(values, full, ["sub", "db"], ["new_key"]).select(
-                "sub", "db", "path", "new_key"
-            ),
-            "known",
-        )
-        lacking = materialise(
-            full.join(values.select("sub", "db").distinct(), ["sub", "db"], "left_anti"), "missing"
-        )
-        unique.append(unique_blocks(known))
-    return BlockKeys(known, lacking, reduce(DataFrame.unionByName, unique), missing)
+    values = tuple(materialise(level_values(level), "level-values") for level in levels)
+    return BlockKeys(materialise(start, "instances"), values, missing)
 
 
 def partition_keys(source: DataFrame, target: DataFrame, levels: list[Level],
@@ -203,35 +223,84 @@ def _side(df: DataFrame, db: str) -> DataFrame:
     return df.where(F.col("db") == db).withColumnRenamed("sub", db).drop("db")
 
 
-def candidate_pairs(keys: BlockKeys, n_workers: int | None = None) -> DataFrame:
-    """Distinct ``(source, target)`` of the last level, wildcards included.
+def _valued(keys: BlockKeys) -> DataFrame:
+    """``(sub, db, path, mask, v0..)``: a row per combination of an instance's values.
 
-    The last level is never expanded: known values meet by an equi-join, and
-    instances without a value meet everything under the same path.
+    ``v<i>`` is null and bit ``i`` of ``mask`` unset where the instance has no value at level i.
+    """
+    rows = keys.start
+    for i, values in enumerate(keys.values):
+        named = values.withColumnRenamed("new_key", f"v{i}")
+        n = rows.groupBy("sub", "db").agg(F.count(F.lit(1)).alias("n"))
+        known = lookup_join(named, rows, ["sub", "db"], [f"v{i}"], counts=None if i == 0 else n)
+        lacking = rows.join(values.select("sub", "db").distinct(), ["sub", "db"], "left_anti")
+        rows = known.unionByName(lacking.withColumn(f"v{i}", F.lit(None).cast("string")))
+        if i + 1 < len(keys.values):
+            rows = materialise(rows, "valued")
+    bits = [F.when(F.col(f"v{i}").isNotNull(), 1 << i).otherwise(0) for i in range(len(keys.values))]
+    return materialise(rows.withColumn("mask", reduce(Column.__add__, bits)), "valued")
+
+
+def _pattern_rows(keys: BlockKeys) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``(sub, db, path, new_key)`` for the join by missing pattern, and its patterns.
+
+    A pattern is a source mask and the set of levels known on both sides.  Under it a source
+    of that mask meets the targets that share just these levels with it; every pair of
+    masks has one pattern, so a pair meets under one.  An instance takes part in at most
+    ``2 ** levels`` patterns, however many keys the other side has.
     """
-    counts = materialise(_two_sided(keys.known), "two-sided")
+    rows = _valued(keys)
+    n = len(keys.values)
+    # At most two rows per mask.
+    masks = {db: set() for db in PAIR}
+    for r in rows.select("db", "mask").distinct().collect():
+        masks[r.db].add(r["mask"])
+    every = (1 << n) - 1
+
+    def meets(s: int, t: int) -> bool:
+        return {"wildcard": True, "null_block": s == t, "drop": s == t == every}[keys.policy]
+
+    patterns: dict[tuple[int, int], set[int]] = {}
+    for s in masks[SOURCE]:
+        for t in masks[TARGET]:
+            if meets(s, t):
+                patterns.setdefault((s, s & t), set()).add(t)
+    parts = []
+    for number, ((s, common), targets) in enumerate(sorted(patterns.items())):
+        shared = [F.col(f"v{i}") for i in range(n) if common >> i & 1]
+        path = F.concat("path", F.array(F.lit(f"{number}"), *shared[:-1]))
+        new_key = shared[-1] if shared else F.lit("")
+        for db, held in ((SOURCE, {s}), (TARGET, targets)):
+            here = rows.where((F.col("db") == db) & F.col("mask").isin(*held))
+            part = here.select("sub", "db", path.alias("path"), new_key.alias("new_key"))
+            # Values of levels that are not shared fall away, and with them repeated rows.
+            parts.append(part if held == {common} else part.distinct())
+    if not parts:
+        return rows.where("false").select("sub", "db", "path", F.lit("").alias("new_key")), []
+    return reduce(DataFrame.unionByName, parts), sorted(patterns)
+
+
+def _met_pairs(known: DataFrame, n_workers: int | None) -> DataFrame:
+    """Pairs of instances under one key; keys that hold the same instances meet once."""
+    counts = materialise(_two_sided(known), "two-sided")
     met = materialise(
         lookup_join(
-            keys.known, counts.select(*_KEY), _KEY, ["sub"], "left_semi",
+            known, counts.select(*_KEY), _KEY, ["sub"], "left_semi",
             counts=counts.select(*_KEY, (F.col("nl") + F.col("nr")).alias("n")),
         ),
         "met",
     )
-    parts = [balanced_join(
+    return balanced_join(
         _side(met, SOURCE), _side(met, TARGET), _KEY, [SOURCE], [TARGET], n_workers, counts=counts
-    )]
-    if keys.policy != "drop" and not keys.missing.isEmpty():
-        lacking = {db: _side(keys.missing, db) for db in PAIR}
-        if keys.policy == "null_block":
-            sides = [(lacking[SOURCE], lacking[TARGET])]
-        else:
-            valued = {db: _side(keys.known, db).drop("new_key").distinct() for db in PAIR}
-            sides = [
-                (lacking[SOURCE], lacking[TARGET].unionByName(valued[TARGET])),
-                (valued[SOURCE], lacking[TARGET]),
-            ]
-        parts += [balanced_join(a, b, ["path"], [SOURCE], [TARGET], n_workers) for a, b in sides]
-    return reduce(DataFrame.unionByName, [p.select(*PAIR) for p in parts]).distinct()
+    ).select(*PAIR)
+
+
+def candidate_pairs(keys: BlockKeys, n_workers: int | None = None) -> DataFrame:
+    """Distinct ``(source, target)`` of all levels, wildcards included, by missing pattern."""
+    rows, patterns = _pattern_rows(keys)
+    if len(patterns) > 1 or len(keys.values) > 1:
+        rows = materialise(rows, "pattern-rows")
+    return _met_pairs(rows, n_workers).distinct()
 
 
 def pair_load(keys: BlockKeys, n_workers: int | None = None) -> DataFrame:

@@ -61,6 +61,14 @@ class Documents:
             known.join(side.select("sub"), "sub", "left_semi") for side in self.lang()
         )
 
+    def toxic(self) -> tuple[DataFrame, DataFrame]:
+        """Toxicity, as stated for documents of good quality."""
+        known = self._labels.where(F.col("quality") == 1).select(
+            _sub("doc_id"), F.col("toxic").cast("string").alias("obj"))
+        return tuple(
+            known.join(side.select("sub"), "sub", "left_semi") for side in self.lang()
+        )
+
     def copies(self) -> DataFrame:
         """Reference alignment: equal texts across the two sides."""
         ids = [

@@ -306,6 +306,14 @@ UNION ALL SELECT target, 'target', '$' || key FROM ones""",
 SELECT DISTINCT min(sub) FILTER (db = 'source') AS source, min(sub) FILTER (db = 'target') AS target
 FROM k2 GROUP BY key
 HAVING count(DISTINCT sub) FILTER (db = 'source') = 1 AND count(DISTINCT sub) FILTER (db = 'target') = 1""",
+    "three_level_wildcard": _with(
+        *_DOC_PAIRS, _QUALITY, _QUALITY_OF,
+        "g AS (SELECT CAST(doc_id AS VARCHAR) AS sub, toxic FROM labels WHERE quality = 1)") + """
+SELECT p.source, p.target FROM pairs p
+JOIN dq s ON s.sub = p.source AND s.db = 'source' JOIN dq t ON t.sub = p.target AND t.db = 'target'
+LEFT JOIN g sg ON sg.sub = p.source LEFT JOIN g tg ON tg.sub = p.target
+WHERE (s.quality = t.quality OR s.quality IS NULL OR t.quality IS NULL)
+  AND (sg.toxic = tg.toxic OR sg.toxic IS NULL OR tg.toxic IS NULL)""",
     "missing_null_block": _levels(
         "s.quality = t.quality OR (s.quality IS NULL AND t.quality IS NULL)"),
     "missing_drop": _levels("s.quality = t.quality"),

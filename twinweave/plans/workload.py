@@ -149,9 +149,16 @@ def document_candidate_pairs(spark, d):
 def multi_level_block(spark, d):
     docs = Documents(spark, d)
     s, t = docs.text()
-    coarse = partition_keys(s, t, [Level(*docs.lang(), None), Level(*docs.quality(), None)])
-    prefix = materialise(coarse.candidate, "partition")
-    return candidate_pairs(block_keys(s, t, [Level(s, t)], prefix=prefix))
+    levels = [Level(*docs.lang(), None), Level(*docs.quality(), None), Level(s, t)]
+    return candidate_pairs(block_keys(s, t, levels))
+
+
+def three_level_wildcard(spark, d):
+    """Quality and toxicity, both mostly unknown, then rare words."""
+    docs = Documents(spark, d)
+    s, t = docs.text()
+    levels = [Level(*docs.quality(), None), Level(*docs.toxic(), None), Level(s, t)]
+    return candidate_pairs(block_keys(s, t, levels))
 
 
 def multi_level_unique(spark, d):
@@ -610,6 +617,7 @@ QUERIES: dict[str, Query] = {
     "candidate_pairs": document_candidate_pairs,
     "multi_level_block": multi_level_block,
     "multi_level_unique": multi_level_unique,
+    "three_level_wildcard": three_level_wildcard,
     "missing_null_block": missing_null_block,
     "missing_drop": missing_drop,
     "wildcard_load": wildcard_load,
