@@ -148,7 +148,8 @@ class MatchingConfig:
         _require(self.attributes or self.relations, "at least one feature is needed")
         _require(self.missing in MISSING_POLICIES, f"missing must be one of {MISSING_POLICIES}")
         _require(self.multi in ("fanout", "max"), "multi must be 'fanout' or 'max'")
-        _require(self.mode in ("top1", "mutual_best"), "mode must be 'top1' or 'mutual_best'")
+        _require(self.mode in ("top1", "mutual_best", "one_to_one"),
+                 "mode must be 'top1', 'mutual_best' or 'one_to_one'")
         _require(self.train_size >= 2, "train_size must be at least 2")
         _require(0.0 <= self.neg_rate <= 1.0, "neg_rate lies in [0, 1]")
         _require(self.answer_shard_rows is None or self.answer_shard_rows >= 1,

@@ -68,20 +68,24 @@ def unusable(labels: DataFrame, dim: int) -> DataFrame:
 
 
 def _first_examples(examples: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` examples of every model.
+    """The first ``n`` examples of every model.  ``examples`` is a stage.
 
-    A model's labels are cut by hash into slices of about ``SHARD_ROWS``, each of which
-    hands on its first ``n``, so no task sorts all labels of a model whatever ``n`` is.
+    Labels are counted per prefix of the random order first.  Only those up to the prefix
+    in which a model's ``n``-th label lies are ranked: ``n`` and a 65,536th of the rest,
+    whatever ``n`` is.
     """
-    counts = examples.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    slices = counts.select("model", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("_slices"))
-    sliced = lookup_join(examples, slices, ["model"], ["ord"], counts=counts).withColumn(
-        "_slice", F.pmod(F.xxhash64("ord"), "_slices")
-    )
-    for by in (["model", "_slice"], ["model"]):
-        in_order = Window.partitionBy(*by).orderBy("ord", "x", "y")
-        sliced = sliced.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= n)
-    return sliced.drop("_slice", "_slices", "_n")
+    prefixes = examples.groupBy("model", F.substring("ord", 1, 4).alias("_prefix")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("model").orderBy("_prefix").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    sums = materialise(prefixes.withColumn("_sum", F.sum("_n").over(upto)), "label-counts")
+    last = sums.where(F.col("_sum") - F.col("_n") < n).groupBy("model").agg(
+        F.max("_prefix").alias("_last"))
+    counts = sums.groupBy("model").agg(F.max("_sum").alias("n"))
+    near = lookup_join(examples, last, ["model"], ["ord"], counts=counts).where(
+        F.substring("ord", 1, 4) <= F.col("_last")).drop("_last")
+    in_order = Window.partitionBy("model").orderBy("ord", "x", "y")
+    return near.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= n).drop("_n")
 
 
 def ftrl_fit(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
@@ -91,7 +95,8 @@ def ftrl_fit(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
     At most ``max_iter`` updates are made, so only the first ``max_iter`` labels of a
     model in the random order can take part; slices of the others stay behind.
     """
-    first = _first_examples(_examples(labels, dim, seed), params.max_iter)
+    examples = materialise(_examples(labels, dim, seed), "examples")
+    first = _first_examples(examples, params.max_iter)
     folded = first.groupBy("model").agg(_collected().alias("examples")).select(
         "model",
         ftrl.until_settled(F.col("examples"), ftrl.zero_state(dim), params).alias("state"),

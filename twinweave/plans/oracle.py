@@ -367,6 +367,17 @@ FROM jac JOIN eq USING (source, target) JOIN el USING (source, target)""",
 SELECT source, target, flag AS model,
        round(CASE WHEN flag = 'R' THEN 2 / (1 + exp(-{_DOT})) - 1 ELSE score END, 6) AS score FROM sc""",
     "top1_matches": _with(_ORDERS, _TOP1) + "SELECT source, target FROM top1",
+    "one_to_one_matches": "WITH RECURSIVE " + _ORDERS + """,
+o AS (SELECT source, target, score, md5(source || '|' || target || '|0|tie') AS tie FROM sc WHERE score > 0.5),
+rec AS (
+  SELECT *, false AS taken, 0 AS round FROM o
+  UNION ALL
+  SELECT source, target, score, tie,
+         row_number() OVER (PARTITION BY source ORDER BY score DESC, tie) = 1
+         AND row_number() OVER (PARTITION BY target ORDER BY score DESC, tie) = 1, round + 1
+  FROM (SELECT *, bool_or(taken) OVER (PARTITION BY source) AS s, bool_or(taken) OVER (PARTITION BY target) AS t FROM rec)
+  WHERE NOT s AND NOT t)
+SELECT source, target FROM rec WHERE taken""",
     "mutual_best_matches": _with(_ORDERS) + """
 SELECT source, target FROM (
   SELECT *, rank() OVER (PARTITION BY source ORDER BY score DESC) AS rs,

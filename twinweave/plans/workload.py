@@ -363,6 +363,10 @@ def mutual_best_matches(spark, d):
     return best_matches(order_scores(spark, d), 0.5, "mutual_best")
 
 
+def one_to_one_matches(spark, d):
+    return best_matches(order_scores(spark, d), 0.5, "one_to_one")
+
+
 def match_with_labels(spark, d):
     scores = order_scores(spark, d)
     return apply_labels(best_matches(scores, 0.5), order_labels(spark, d))
@@ -644,6 +648,7 @@ QUERIES: dict[str, Query] = {
     "score_by_model": score_by_model,
     "top1_matches": top1_matches,
     "mutual_best_matches": mutual_best_matches,
+    "one_to_one_matches": one_to_one_matches,
     "match_with_labels": match_with_labels,
     "decide_two_tables": decide_two_tables,
     "label_pairs": label_alignment,
