@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_one_query():
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 14))
 
 
 def test_stages_take_effect_and_keep_columns(spark):
@@ -40,6 +40,19 @@ def test_stages_take_effect_and_keep_columns(spark):
     assert packed == words(after)
 
 
+def test_stages_take_columns_of_any_name(spark):
+    clash = {c: F.lit(7) for c in ("score", "lang_pred", "passages", "text_", "_text", "fp", "size", "shard",
+                                   "block", "slot", "taken", "target", "component_id", "length", "_held0", "a.b")}
+    now = spark.read.parquet(f"{SF}/documents.parquet").withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, SF)
+        if name != "packing":
+            assert out.columns == now.columns
+            now = spark.createDataFrame(out.collect(), out.schema)
+        assert out.count() > 100
+    assert now.where("score <> 7 OR passages <> 7 OR `a.b` <> 7").count() == 0
+
+
 def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
     rng = random.Random(1)
     line = lambda: " ".join(rng.choices(["the", "day", "was", "long", "and", "good"], k=40))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -229,6 +230,28 @@ def test_allowed_moves_fit_and_swap(seed):
         (0, 1, False): 5, (2, 1, True): 5, (1, 0, False): 5, (1, 2, False): 5}
 
 
+def test_rare_lengths_and_outliers_are_never_short(spark):
+    r = np.random.default_rng(0)
+    tight = [(i, (np.ones(6) + 0.01 * r.normal(size=6)).tolist()) for i in range(1, 2_000)]
+    rare = [(10_000 + i, r.normal(size=9).tolist()) for i in range(30)]
+    far = [(20_000 + i, (-np.eye(6)[i % 6] + 0.1 * r.normal(size=6)).tolist()) for i in range(10)]
+    pair = [(30_000, [1.0, 2.0]), (30_001, [3.0, -1.0])]
+    rows = tight + rare + far + pair
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, lambda i: (i >= 10_000) & (i % 5 == 0), LshParams(tables=2)).collect()
+    per = defaultdict(list)
+    for x in got:
+        per[x.query_id].append(x)
+    vec = dict(rows)
+    asked = [i for i in vec if i >= 10_000 and i % 5 == 0]
+    assert set(per) == set(asked)
+    for q in asked:
+        others = [i for i in vec if i != q and len(vec[i]) == len(vec[q])]
+        mine = sorted(per[q], key=lambda x: x["rank"])
+        assert [x["rank"] for x in mine] == list(range(1, min(5, len(others)) + 1))
+        assert [(-x.score, x.vec_id) for x in mine] == sorted((-x.score, x.vec_id) for x in mine)
+
+
 # URL rules
 
 def test_mined_rules_equal_counting_all_subsets(spark):
@@ -255,6 +278,21 @@ def test_mined_rules_equal_counting_all_subsets(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("depth", [18, 40])
+def test_rules_of_a_hot_deep_url(spark, depth):
+    """One URL of many segments, then nested ones: no combination of every subset."""
+    deep = [(["host:h"] + [f"path:{i:02}" for i in range(depth)], True)] * 2_500
+    nested = [([f"seg:{j:02}" for j in range(i)], True) for i in range(1, depth)]
+    clean = [(["host:h", "path:ok"], False)] * 3_000
+    rows = spark.createDataFrame(deep + nested + clean, "tokens array<string>, bad boolean")
+    begin = time.monotonic()
+    got = {tuple(r["items"]): (r.support, r.confidence) for r in mine_rules(rows).collect()}
+    assert time.monotonic() - begin < 60
+    # Tokens that always stand together are one, by its smallest; shorter rules suffice.
+    assert got[("path:00",)] == (2_500, 1.0) and ("seg:00",) in got
+    assert all(len(r) == 1 for r in got)
+
+
 def test_url_verdicts(spark):
     urls = [
         ("http://a.com/x", "a.com", "/x", "com/", "allow"),

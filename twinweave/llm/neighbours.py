@@ -34,6 +34,7 @@ class LshParams:
     recall: float = 0.96
     fit_rows: int = 4_096
     fit_queries: int = 128
+    fit_least: int = 256
     index_cell: int = 8_192
     query_cell: int = 1_024
     seed: int = SEED
@@ -119,8 +120,14 @@ def choose_probes(x: np.ndarray, p: LshParams) -> int:
     return max(1, min(need, len(h.steps)))
 
 
-def _buckets(p: LshParams, probes: int | None):
-    """Rows of ``(id, vec)`` once per bucket: own buckets, or the probed ones."""
+def _buckets(p: LshParams, probes: dict[int, int] | int | None):
+    """Rows of ``(id, vec)`` once per bucket: own buckets, or the probed ones.
+
+    ``probes`` may differ by length; lengths it does not name get all probes.
+    """
+    def some(dim: int) -> int:
+        return probes.get(dim, 3 ** p.hashes) if isinstance(probes, dict) else probes
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
         for whole in batches:
@@ -132,7 +139,7 @@ def _buckets(p: LshParams, probes: int | None):
                     part = part.combine_chunks().to_batches()[0]
                     h = hashers.setdefault(int(dim), Hasher(int(dim), p))
                     x = matrix(part.column(1))
-                    names = (h.own(x) if probes is None else h.probes(x, probes)).reshape(len(x), -1)
+                    names = (h.own(x) if probes is None else h.probes(x, some(int(dim)))).reshape(len(x), -1)
                     take = pa.array(np.repeat(np.arange(len(x)), names.shape[1]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names.ravel()), part.column(0).take(take),
@@ -190,6 +197,37 @@ def _meet(k: int):
     return meet
 
 
+def _met(index: DataFrame, probe: DataFrame, p: LshParams) -> DataFrame:
+    """``(qid, cid, score)``: the best of every bucket that a query visits.
+
+    Both sides are ``(bucket, id, vec)``; large buckets are cut into a grid of cells.
+    """
+    cells = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("nx")).join(
+        probe.groupBy("bucket").agg(F.count(F.lit(1)).alias("nq")), "bucket").select(
+        "bucket", F.ceil(F.col("nx") / p.index_cell).cast("int").alias("a"),
+        F.ceil(F.col("nq") / p.query_cell).cast("int").alias("b"))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["bucket", "i", "j", "asks", "id", "vec"]
+    left = index.join(cells, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), F.col("a")).cast("int")) \
+        .withColumn("j", steps("b")).withColumn("asks", F.lit(False)).select(*names)
+    right = probe.join(cells, "bucket").withColumn("j", F.pmod(F.xxhash64("id"), F.col("b")).cast("int")) \
+        .withColumn("i", steps("a")).withColumn("asks", F.lit(True)).select(*names)
+    met = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions(
+        "bucket", "i", "j").mapInArrow(_meet(p.k + 1), "qid bigint, cid bigint, score double")
+    return met.groupBy("qid", "cid").agg(F.max("score").alias("score"))
+
+
+def _ranked(who: DataFrame, pairs: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, qid, rank, vec_id, score)``: the first ``k`` of each query, not itself."""
+    by_id = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    found = pairs.join(entries.select(F.col("id").alias("cid"), F.explode("ids").alias("vec_id")), "cid") \
+        .groupBy("qid", "vec_id").agg(F.max("score").alias("score")) \
+        .withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= k + 1)
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return who.join(found.drop("_r"), "qid").where(F.col("query_id") != F.col("vec_id")).withColumn(
+        "rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+
 def nearest(vectors: DataFrame, is_query, p: LshParams = LshParams(), id_col: str = "vec_id",
             vector_col: str = "embedding", probes: int | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest found, by cosine.
@@ -197,7 +235,8 @@ def nearest(vectors: DataFrame, is_query, p: LshParams = LshParams(), id_col: st
     ``is_query`` is a condition on ``vec_id``.  Ties go to the smaller id; a query is never
     its own neighbour.  Null ids and vectors that are null, empty, zero or hold a null or
     non-finite part take no part; vectors meet only those of their own length.  Repeated
-    rows count once.  Without candidates a query has no row.
+    rows count once.  Without candidates a query has no row; one for which the buckets hold
+    fewer than it could have meets all vectors of its length, in blocks.
     """
     vec = F.col(vector_col).cast("array<double>")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -216,32 +255,30 @@ def nearest(vectors: DataFrame, is_query, p: LshParams = LshParams(), id_col: st
     if probes is None:
         sample = entries.select("vec").orderBy(F.xxhash64("vec", F.lit(p.seed))).limit(p.fit_rows)
         rows = [r.vec for r in sample.collect()]
-        common = max({len(r) for r in rows}, key=[len(r) for r in rows].count, default=0)
-        probes = choose_probes(np.array([r for r in rows if len(r) == common]), p) if rows else 1
+        by_length: dict[int, list] = {}
+        for r in rows:
+            by_length.setdefault(len(r), []).append(r)
+        # Lengths of too few sampled vectors get all probes.
+        probes = {dim: choose_probes(np.array(held), p) for dim, held in by_length.items()
+                  if len(held) >= p.fit_least}
     kind = "bucket bigint, id bigint, vec array<double>"
     index = entries.select("id", "vec").mapInArrow(_buckets(p, None), kind)
     probe = queries.select("id", "vec").mapInArrow(_buckets(p, probes), kind)
     index, probe = materialise(index, "lsh-index"), materialise(probe, "lsh-probes")
-    cells = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("nx")).join(
-        probe.groupBy("bucket").agg(F.count(F.lit(1)).alias("nq")), "bucket").select(
-        "bucket", F.ceil(F.col("nx") / p.index_cell).cast("int").alias("a"),
-        F.ceil(F.col("nq") / p.query_cell).cast("int").alias("b"))
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    names = ["bucket", "i", "j", "asks", "id", "vec"]
-    left = index.join(cells, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), F.col("a")).cast("int")) \
-        .withColumn("j", steps("b")).withColumn("asks", F.lit(False)).select(*names)
-    right = probe.join(cells, "bucket").withColumn("j", F.pmod(F.xxhash64("id"), F.col("b")).cast("int")) \
-        .withColumn("i", steps("a")).withColumn("asks", F.lit(True)).select(*names)
-    met = left.unionByName(right).repartition("bucket", "i", "j").sortWithinPartitions(
-        "bucket", "i", "j").mapInArrow(_meet(p.k + 1), "qid bigint, cid bigint, score double")
-    pairs = met.groupBy("qid", "cid").agg(F.max("score").alias("score"))
-    by_id = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    found = pairs.join(entries.select(F.col("id").alias("cid"), F.explode("ids").alias("vec_id")), "cid") \
-        .groupBy("qid", "vec_id").agg(F.max("score").alias("score")) \
-        .withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= p.k + 1)
-    who = asked.join(queries.withColumnRenamed("id", "qid"), "vec").select(
-        F.col("vec_id").alias("query_id"), "qid")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return who.join(found.drop("_r"), "qid").where(F.col("query_id") != F.col("vec_id")).withColumn(
-        "rank", F.row_number().over(by_query)).where(F.col("rank") <= p.k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    who = materialise(asked.join(queries.withColumnRenamed("id", "qid"), "vec").select(
+        F.col("vec_id").alias("query_id"), "qid", F.size("vec").alias("dim")), "vector-asked")
+    pairs = materialise(_met(index, probe, p), "vector-pairs")
+    found = _ranked(who, pairs, entries, p.k)
+    # Queries with fewer neighbours than candidates allow meet all vectors of their length.
+    held = valid.groupBy(F.size("vec").alias("dim")).agg(F.countDistinct("vec_id").alias("_held"))
+    short = materialise(
+        who.join(found.groupBy("query_id", "qid").agg(F.count(F.lit(1)).alias("_n")), ["query_id", "qid"], "left")
+        .join(held, "dim").where(F.coalesce("_n", F.lit(0)) < F.least(F.lit(p.k), F.col("_held") - 1))
+        .select("qid").distinct(), "vector-short")
+    if not short.isEmpty():
+        whole = F.size("vec").cast("bigint").alias("bucket")
+        asks = queries.join(short.withColumnRenamed("qid", "id"), "id", "left_semi")
+        exact = _met(entries.select(whole, "id", "vec"), asks.select(whole, "id", "vec"), p)
+        pairs = pairs.join(short, "qid", "left_anti").unionByName(exact)
+        found = _ranked(who, pairs, entries, p.k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -30,11 +30,14 @@ PIECE = 1 << 20
 class ToxicityParams:
     """``docs_per_class`` bounds the labelled sample, ``max_words`` the model's size.
 
-    ``prior_share`` is the prior's weight as a share of the labelled tokens.
+    ``prior_share`` is the prior's weight as a share of the labelled tokens.  ``curve_points``
+    bounds the points that the curve is fitted on, taken in hash order: more than it there
+    can only be when many rows share the sampled ids.
     """
 
     docs_per_class: int = 20_000
     max_words: int = 50_000
+    curve_points: int = 200_000
     prior_share: float = 0.05
     min_z: float = 3.0
     drift: float = 0.5
@@ -218,7 +221,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column,
     rows = (
         texts.join(F.broadcast(sample), "doc_id").select("text", "kind")
         .mapInArrow(examples, "x double, kind int").groupBy("x", "kind").count()
-        .orderBy("x", "kind").limit(4 * p.docs_per_class).collect()
+        .orderBy(F.xxhash64("x", "kind", F.lit(p.seed))).limit(p.curve_points).collect()
     )
     x = np.repeat([r.x for r in rows], [r["count"] for r in rows])
     y = np.repeat([r.kind for r in rows], [r["count"] for r in rows])
