@@ -10,6 +10,7 @@ from twinweave.operators.blocking import (
     Level, _pattern_rows, block_keys, candidate_pairs, instances, key_table, pair_load, partition_keys,
     unique_pairs,
 )
+from twinweave.operators.skew import split_from
 from twinweave.operators.words import rare_word_keys, tokenize, word_frequency
 
 PATTERN = "[^0-9A-Za-z.]+"
@@ -199,3 +200,16 @@ def test_three_levels_by_missing_pattern(kv, policy):
         ones = {(min(v["source"]), min(v["target"])) for v in table.values()
                 if len(v["source"]) == len(v["target"]) == 1}
         assert set(rows(unique_pairs(keys))) >= {p for p in ones if all(s[p[0]]) and all(t[p[1]])}
+
+
+def test_a_value_of_very_many_words_pairs_as_rows(spark, kv):
+    rare = [f"r{i}" for i in range(300)]
+    common = [f"c{i}" for i in range(40)]
+    both = kv([("hot", " ".join(rare + common)), ("b", " ".join(common)), ("c", "c0 c1")])
+    frequency = word_frequency(both)
+    with split_from(spark, 2, 4):
+        keys = rare_word_keys(both, frequency, 2)
+        plan = keys._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan and "collect_list" not in plan
+        got = {k for s, k in rows(keys) if s == "hot"}
+    assert got == {f"{a}@{b}" for a in rare for b in common[2:]}

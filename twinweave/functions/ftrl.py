@@ -63,6 +63,19 @@ def zero_state(dim: int) -> Column:
     )
 
 
+def batch_step(state: Column, g: Column, p: FtrlParams) -> Column:
+    """The state after one step of the summed gradient ``g``."""
+    n = F.zip_with(state["n"], g, lambda ni, gi: ni + gi * gi)
+    sigma = F.zip_with(state["n"], g, lambda ni, gi: (F.sqrt(ni + gi * gi) - F.sqrt(ni)) / p.alpha)
+
+    def stepped(w):
+        moved = F.zip_with(sigma, w, lambda a, b: a * b)
+        z = F.zip_with(F.zip_with(state["z"], g, lambda a, b: a + b), moved, lambda a, b: a - b)
+        return F.struct(z.alias("z"), n.alias("n"), w.alias("w"), F.lit(True).alias("trained"))
+
+    return let(weights(state["z"], state["n"], p), stepped)
+
+
 def _advance(state: Column, x: Column, y: Column, p: FtrlParams, body) -> Column:
     """One update; ``body(z, n, w, predicted)`` builds the result."""
     def with_output(w, predicted):

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinweave.schema import LEVEL_SEPARATOR, WORD_SEPARATOR
+from twinweave.schema import LEVEL_SEPARATOR
 
 _NEGATED_CLASS = re.compile(r"\[\^((?:[^\[\]\\&^]|\\[^QE])+)\]\+")
 
@@ -40,25 +40,6 @@ def value_id(value: Column) -> Column:
     return F.unhex(F.md5(value))
 
 
-def word_keys(words: Column) -> Column:
-    """Keys of one value from ``array<struct<cnt, word>>``, rarest ranks only.
-
-    One rank present: every word is a key.  Otherwise every pair ``a@b`` whose first
-    word is strictly rarer than its second.
-    """
-    ranks = F.array_distinct(F.transform(words, lambda w: w["cnt"]))
-    pairs = F.flatten(
-        F.transform(
-            words,
-            lambda a: F.transform(
-                F.filter(words, lambda b: b["cnt"] > a["cnt"]),
-                lambda b: F.concat(a["word"], F.lit(WORD_SEPARATOR), b["word"]),
-            ),
-        )
-    )
-    return F.when(F.size(ranks) == 1, F.transform(words, lambda w: w["word"])).otherwise(pairs)
-
-
 def render_key(path: Column) -> Column:
     """``$a$b`` for the path ``[a, b]``."""
     return F.concat(F.lit(LEVEL_SEPARATOR), F.array_join(path, LEVEL_SEPARATOR))

@@ -167,6 +167,30 @@ def ftrl_fit_distributed(labels: DataFrame, dim: int, params: FtrlParams = FtrlP
     return _rows(_averaged_epochs(examples, start, dim, epochs, shard_rows), dim, params, F.lit(1))
 
 
+def ftrl_fit_batch(labels: DataFrame, dim: int, params: FtrlParams = FtrlParams(),
+                   iterations: int = 20, seed: int = 0) -> DataFrame:
+    """Full-batch learner: one step per iteration from the summed gradient of all labels.
+
+    The sequential step with ``g`` the sum of ``(output - y) * x`` over the labels of a model.
+    An iteration is one aggregation of ``dim`` sums per model, pre-aggregated where the
+    labels lie, so no task holds a model's labels; only states are handed on.
+    """
+    examples = materialise(_examples(labels, dim, seed), "examples")
+    counts = materialise(examples.groupBy("model").agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    state = counts.select("model", ftrl.zero_state(dim).alias("state"))
+    for _ in range(iterations):
+        current = state.select("model", ftrl.weights(
+            F.col("state")["z"], F.col("state")["n"], params).alias("_w"),
+            F.col("state")["trained"].alias("_trained"))
+        error = ftrl.score(F.col("_w"), F.col("_trained"), F.col("x")) - F.col("y")
+        summed = lookup_join(examples, current, ["model"], ["ord"], counts=counts).select(
+            "model", "x", error.alias("_e")).groupBy("model").agg(
+            F.array(*[F.sum(F.col("_e") * F.col("x")[i]) for i in range(dim)]).alias("_g"))
+        state = materialise(state.join(summed, "model").select(
+            "model", ftrl.batch_step(F.col("state"), F.col("_g"), params).alias("state")), "batch-state")
+    return _rows(state, dim, params, F.lit(1))
+
+
 def _thinned(labels: DataFrame, dim: int, neg_rate: float, seed: int) -> DataFrame:
     kept = labels.where((F.col("is_match") > 0.5) | keep_fraction(neg_rate, *PAIR, seed=seed))
     return _examples(kept, dim, seed)

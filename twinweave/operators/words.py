@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.config import ASCII_TOKENS
-from twinweave.functions.text import tokens, value_id, word_keys
-from twinweave.operators.skew import default_tasks, lookup_join
+from twinweave.functions.text import tokens, value_id
+from twinweave.operators.skew import balanced_join, default_tasks, lookup_join
+from twinweave.schema import WORD_SEPARATOR
+from twinweave.sources.stage import materialise
 
 # A word is common when it makes up more than 1/COMMON_SHARE of all occurrences, so
 # there are fewer than COMMON_SHARE common words in any data.
@@ -90,9 +92,18 @@ def rare_word_keys(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
     words = rare_words(kv, frequency, max_len, pattern, keep)
     if max_len == 1:
         return words.select(*keep, "sub", F.col("word").alias("key")).distinct()
-    by_value = words.groupBy(*keep, "sub", "value").agg(
-        F.collect_set(F.struct("cnt", "word")).alias("words")
-    )
-    return by_value.select(
-        *keep, "sub", F.explode_outer(word_keys(F.col("words"))).alias("key")
-    ).where(F.col("key").isNotNull()).distinct()
+    # Words of several ranks pair as rows; a value of very many words is cut by hash.
+    of_value = Window.partitionBy(*keep, "sub", "value")
+    ranked = materialise(words.withColumns({
+        "_low": F.min("cnt").over(of_value), "_high": F.max("cnt").over(of_value)}), "rare-words")
+    single = ranked.where(F.col("_low") == F.col("_high")).select(*keep, "sub", F.col("word").alias("key"))
+    several = ranked.where(F.col("_low") < F.col("_high"))
+    here = [*keep, "sub", "value"]
+    first = several.where(F.col("cnt") < F.col("_high")).select(
+        *here, F.col("word").alias("_one"), F.col("cnt").alias("_n_one"))
+    second = several.where(F.col("cnt") > F.col("_low")).select(
+        *here, F.col("word").alias("_two"), F.col("cnt").alias("_n_two"))
+    paired = balanced_join(first, second, here, ["_one"], ["_two"]).where(
+        F.col("_n_one") < F.col("_n_two"))
+    return single.unionByName(paired.select(
+        *keep, "sub", F.concat("_one", F.lit(WORD_SEPARATOR), "_two").alias("key"))).distinct()

@@ -7,7 +7,7 @@ expanded keys.
 
 from __future__ import annotations
 
-from twinweave.plans.workload import FIT, MODEL_FITS, N_WORKERS, WEIGHTS
+from twinweave.plans.workload import BATCH_STEPS, FIT, MODEL_FITS, N_WORKERS, WEIGHTS
 
 _PATTERN = "[^0-9A-Za-z.]+"
 
@@ -280,6 +280,27 @@ _BEST_NATIVE = """
     SELECT *, rank() OVER (PARTITION BY source ORDER BY learned DESC) AS r FROM lm
     {of} WHERE learned > {above}) WHERE r = 1"""
 
+def _batch_steps(steps: int, n_dims: int = 3) -> str:
+    """``b<steps>(model, z.., n.., w..)``: the full-batch learner, unrolled."""
+    p, dims, x = FIT, range(n_dims), ("d", "q", "t")
+    zeros = ", ".join(f"0.0::DOUBLE AS z{i}, 0.0::DOUBLE AS n{i}" for i in dims)
+    parts = [f"b0 AS (SELECT DISTINCT flag AS model, {zeros} FROM op)"]
+    for k in range(steps):
+        weight = ", ".join(
+            f"CASE WHEN abs(z{i}) <= {p.l1} THEN 0.0 ELSE (sign(z{i}) * {p.l1} - z{i}) / "
+            f"({p.l2} + ({p.beta} + sqrt(n{i})) / {p.alpha}) END AS w{i}" for i in dims)
+        output = ("(2 / (1 + exp(-(" + " + ".join(f"w{i} * {x[i]}" for i in dims) + "))) - 1)"
+                  if k else "(d + q + t) / 3")
+        sums = ", ".join(f"sum(({output} - closed) * {x[i]}) AS g{i}" for i in dims)
+        step = ", ".join(
+            f"z{i} + g{i} - (sqrt(n{i} + g{i} * g{i}) - sqrt(n{i})) / {p.alpha} * w{i} AS z{i}, "
+            f"n{i} + g{i} * g{i} AS n{i}, w{i}" for i in dims)
+        parts += [f"v{k} AS (SELECT model, z0, n0, z1, n1, z2, n2, {weight} FROM b{k})",
+                  f"g{k} AS (SELECT model, {sums} FROM op JOIN v{k} ON flag = model GROUP BY model)",
+                  f"b{k + 1} AS (SELECT model, {step} FROM v{k} JOIN g{k} USING (model))"]
+    return ",\n".join(parts)
+
+
 ORACLE_SQL: dict[str, str] = {
     "kg_tokens": _with(_DOCS, _TEXT) + f"""
 SELECT sub, word, count(*) AS n FROM (
@@ -416,6 +437,8 @@ SELECT source, target, round(d, 6) AS d, round(q, 6) AS q, round(t, 6) AS t
 FROM ({_HIGH} UNION ALL {_LOW})""",
     "ftrl_fit_group": "WITH RECURSIVE " + _ORDERS + ",\n"
     + _learner(_FIT_EXAMPLES, _start("ex"), one_pass=False),
+    "ftrl_fit_batch": _with(_ORDERS, _batch_steps(BATCH_STEPS)) + "SELECT model, " + ", ".join(
+        f"round({a}{i}, 5) AS {a}{i}" for a in "znw" for i in range(3)) + f", 1::BIGINT AS version FROM b{BATCH_STEPS}",
     "ftrl_update_models": "WITH RECURSIVE " + _ORDERS + ",\n"
     + _learner(_MODELS_EXAMPLES, _start("ex"), one_pass=True, fits=MODEL_FITS),
     "model_round_trip": "WITH RECURSIVE " + _ORDERS + ",\n"

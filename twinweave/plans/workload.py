@@ -28,7 +28,7 @@ from twinweave.operators.labels import (
     correct, label_pairs, label_worklist, sample_training_pairs, uncertain, upsert_labels,
 )
 from twinweave.operators.learn import (
-    ftrl_fit, ftrl_fit_distributed, ftrl_score, ftrl_score_by, ftrl_update,
+    ftrl_fit, ftrl_fit_batch, ftrl_fit_distributed, ftrl_score, ftrl_score_by, ftrl_update,
 )
 from twinweave.operators.skew import balanced_join, load_report, split_from
 from twinweave.operators.words import rare_word_keys, tokenize, word_frequency
@@ -52,6 +52,7 @@ MODEL_FITS = {
     "N": FtrlParams(l1=0.0, l2=1.0, alpha=0.02, beta=0.1, max_iter=200, epochs=10),
 }
 N_WORKERS = 10
+BATCH_STEPS = 4
 
 
 def _vector(df: DataFrame, names: list[str], column: str = "sim_v") -> DataFrame:
@@ -440,6 +441,10 @@ def ftrl_fit_averaged(spark, d):
     return _model_row(ftrl_fit_distributed(_model_labels(spark, d), ORDER_DIM, FIT, seed=1))
 
 
+def ftrl_fit_full_batch(spark, d):
+    return _model_row(ftrl_fit_batch(_model_labels(spark, d), ORDER_DIM, FIT, BATCH_STEPS))
+
+
 def ftrl_update_batch(spark, d):
     chosen = order_scores(spark, d).withColumnRenamed("closed", "is_match")
     batch = label_worklist(chosen, 0.4, 0.6, 400, seed=5)
@@ -659,6 +664,7 @@ QUERIES: dict[str, Query] = {
     "training_sample": training_sample,
     "ftrl_fit_group": ftrl_fit_group,
     "ftrl_fit_distributed": ftrl_fit_averaged,
+    "ftrl_fit_batch": ftrl_fit_full_batch,
     "ftrl_update": ftrl_update_batch,
     "ftrl_update_models": ftrl_update_models,
     "model_round_trip": model_round_trip,
