@@ -4,9 +4,9 @@ from difflib import SequenceMatcher
 import pytest
 from conftest import rows
 
-from twinweave.functions.similarity import _soft_overlap
+from twinweave.functions.similarity import first_free
 from twinweave.operators.compare import (
-    Attribute, Relation, attribute_similarity, compare, relation_similarity,
+    Attribute, Relation, attribute_similarity, compare, fuzzy_matches, relation_similarity,
 )
 
 
@@ -26,13 +26,44 @@ def random_sets(rng, n):
     return [sorted(set(rng.sample(words, rng.randint(1, 8)))) for _ in range(n)]
 
 
-def test_soft_overlap_equals_plain_statement():
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 0.95])
+def test_fuzzy_matches_equal_plain_statement(kv, pairs, threshold):
     rng = random.Random(5)
-    xs, ys = random_sets(rng, 400), random_sets(rng, 400)
-    for x, y in zip(xs, ys):
-        got = _soft_overlap(x, y, 0.8)
-        assert got == plain_overlap(x, y)
-        assert 0.0 <= got <= 1.0
+    xs, ys = random_sets(rng, 60), random_sets(rng, 60)
+    texts = ["the quick brown fox", "a line of text that is long enough \U0001f600", ""]
+    for sets in (xs, ys):
+        for i in range(20):
+            near = [t[:rng.randint(0, 4)] + t[rng.randint(2, 6):] + rng.choice(["", "s", "ed"]) for t in texts]
+            sets[i] = sorted({*sets[i], *near})
+    s = kv([(f"s{i}", v) for i, vs in enumerate(xs) for v in vs])
+    t = kv([(f"t{i}", v) for i, vs in enumerate(ys) for v in vs])
+    met = [(i, j) for i in range(60) for j in (i, (7 * i + 3) % 60)]
+    got = relation_similarity(pairs([(f"s{i}", f"t{j}") for i, j in met]), s, t, threshold=threshold)
+    assert {(r[0], r[1]): pytest.approx(r[2], abs=1e-12) for r in rows(got)} == {
+        (f"s{i}", f"t{j}"): plain_overlap(xs[i], ys[j], threshold) for i, j in met}
+
+
+def test_many_similar_lines_take_a_fixed_number_of_stages(spark, monkeypatch):
+    """Every value is similar to its neighbours, so each choice hangs on the one before."""
+    from twinweave.operators import compare as module
+
+    def run(n):
+        stages = []
+        keep = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name: stages.append(name) or keep(df, name))
+        side = spark.range(n).selectExpr("'a' AS source", "'1' AS target", "lpad(id * 7919 % 1000003, 9, '0') AS v")
+        got = fuzzy_matches(side.withColumnRenamed("v", "x"), side.withColumnRenamed("v", "y"), 0.99).collect()
+        monkeypatch.undo()
+        return stages, [tuple(r) for r in got]
+
+    few, many = run(10), run(1000)
+    assert few[0] == many[0] and few[1] == [("a", "1", 10)] and many[1] == [("a", "1", 1000)]
+    # A chain: x takes the y before it, which leaves the next x its second choice.
+    edges = spark.range(20000).selectExpr(
+        "'a' AS source", "'1' AS target", "id AS x", "explode(array(id, id + 1, id + 2)) AS y")
+    out = edges.coalesce(1).sortWithinPartitions("x", "y").mapInArrow(
+        first_free, "source string, target string, d bigint")
+    assert rows(out) == [("a", "1", 20000)]
 
 
 def test_attribute_rules(kv, pairs):

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinweave.schema import SOURCE, TARGET
+
 # Send these small functions with the tasks, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,17 +34,30 @@ def _ratio(x: str, y: str, at_least: float = 0.0) -> float:
     return matcher.ratio()
 
 
-def _soft_overlap(xs, ys, threshold: float) -> float:
-    """Greedy fuzzy Jaccard of two sorted sets; every y is used at most once."""
-    free = list(ys)
-    matched = 0
-    for x in xs:
-        for i, y in enumerate(free):
-            if _ratio(x, y, threshold) >= threshold:
-                del free[i]
-                matched += 1
-                break
-    return matched / (len(xs) + len(ys) - matched)
+def first_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(source, target, d)`` from edges ``(source, target, x, y)`` in that order.
+
+    Every ``x`` takes its first ``y`` that is still free.  Edges stream past; what is held is
+    the taken ``y`` of the pair at hand.
+    """
+    at, last_x, taken = None, None, set()
+    for batch in batches:
+        done = {SOURCE: [], TARGET: [], "d": []}
+        for source, target, x, y in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            if (source, target) != at:
+                if at is not None:
+                    for held, value in zip(done.values(), (*at, len(taken))):
+                        held.append(value)
+                at, last_x, taken = (source, target), None, set()
+            if x != last_x and y not in taken:
+                taken.add(y)
+                last_x = x
+        types = (*batch.schema.types[:2], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v, t) for v, t in zip(done.values(), types)], names=list(done))
+    if at is not None:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], t) for v, t in zip((*at, len(taken)), types)], names=list(done))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -52,12 +71,29 @@ def ratio_grid(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([grid(s, t) for s, t in zip(xs, ys)])
 
 
-@F.pandas_udf(T.DoubleType())
-def soft_jaccard(xs: pd.Series, ys: pd.Series, threshold: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if s is None or t is None else _soft_overlap(s, t, h)
-        for s, t, h in zip(xs, ys, threshold)
-    ], dtype="float64")
+@F.pandas_udf(T.BooleanType())
+def reaches(xs: pd.Series, ys: pd.Series, threshold: pd.Series) -> pd.Series:
+    """Is the ratio of two texts at least ``threshold``?"""
+    return pd.Series([_ratio(x, y, h) >= h for x, y, h in zip(xs, ys, threshold)], dtype="bool")
+
+
+# Classes that characters are counted in; any number gives a valid bound.
+_CLASSES = 32
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def class_counts(values: pd.Series) -> pd.Series:
+    """Characters of a text per class, the class being the code point modulo ``_CLASSES``."""
+    def counts(value):
+        codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.bincount(codes % _CLASSES, minlength=_CLASSES).astype("int32")
+
+    return pd.Series([counts(v) for v in values], dtype="object")
+
+
+def at_most_shared(xs: Column, ys: Column) -> Column:
+    """Bound on the characters two texts can share, from their ``class_counts``."""
+    return reduce(Column.__add__, [F.least(xs[i], ys[i]) for i in range(_CLASSES)])
 
 
 def levenshtein_similarity(x: Column, y: Column) -> Column:

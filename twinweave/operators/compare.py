@@ -6,11 +6,13 @@ identity; each distinct pair of profiles is scored once, which is what keeps a l
 group of copies from being compared copy by copy.
 
 A profile is one row.  Instances with too many values for that are compared row by
-row instead, with the same result, see ``compare_rows``.
+row instead, with the same result, see ``compare_rows``.  Fuzzy value sets are always
+compared as rows, see ``fuzzy_matches``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 
 from twinweave.config import METRICS
 from twinweave.functions.similarity import (
-    exact_jaccard, levenshtein_similarity, ratio_grid, soft_jaccard,
+    at_most_shared, class_counts, exact_jaccard, first_free, levenshtein_similarity, ratio_grid,
+    reaches,
 )
-from twinweave.functions.text import clean
+from twinweave.functions.text import clean, value_id
 from twinweave.operators.skew import balanced_join, lookup_join
 from twinweave.schema import PAIR, SOURCE, TARGET
 from twinweave.sources.stage import materialise
@@ -124,29 +127,101 @@ def _grid(feature: Attribute, s: Column, t: Column) -> Column:
     return F.when(s.isNull() | t.isNull(), alone).otherwise(filled)
 
 
-def _overlap(feature: Relation, s: Column, t: Column) -> Column:
+def _overlap(feature: Relation, s: Column, t: Column, matched: Column | None) -> Column:
+    """Jaccard of two sets; ``matched`` counts the fuzzy matches of sets that differ."""
     default = F.lit(float(feature.default))
-    if feature.threshold >= 1.0:
+    if matched is None:
         scored = exact_jaccard(s, t)
     else:
-        open_ = s.isNotNull() & t.isNotNull() & (s != t)
-        udf = soft_jaccard(F.when(open_, s), F.when(open_, t), F.lit(float(feature.threshold)))
-        scored = F.when(s == t, F.lit(1.0)).otherwise(udf)
+        d = F.when(s == t, F.size(s)).otherwise(F.coalesce(matched, F.lit(0)))
+        scored = d / (F.size(s) + F.size(t) - d)
     return F.when(s.isNull() | t.isNull(), default).otherwise(scored)
 
 
+def _is_fuzzy(feature: Feature) -> bool:
+    return isinstance(feature, Relation) and feature.threshold < 1.0
+
+
 def _score_profiles(combos: DataFrame, features: list[Feature], multi: str) -> DataFrame:
     """``(s_pid, t_pid, sim_v)`` from rows that hold both profiles."""
     names = [f"f{i}" for i in range(len(features))]
-    scored = combos.select("s_pid", "t_pid", *[
-        (_grid if isinstance(f, Attribute) else _overlap)(f, F.col(f"s{i}"), F.col(f"t{i}")).alias(n)
+    pid = ["s_pid", "t_pid"]
+    if any(map(_is_fuzzy, features)):
+        combos = materialise(combos, "profile-pairs")
+    met = combos
+    for i, feature in enumerate(features):
+        if not _is_fuzzy(feature):
+            continue
+        s, t = F.col(f"s{i}"), F.col(f"t{i}")
+        open_ = combos.where(s.isNotNull() & t.isNotNull() & (s != t))
+        ids = [F.col("s_pid").alias(SOURCE), F.col("t_pid").alias(TARGET)]
+        d = fuzzy_matches(
+            open_.select(*ids, F.explode(s).alias("x")), open_.select(*ids, F.explode(t).alias("y")),
+            feature.threshold,
+        ).toDF(*pid, f"d{i}")
+        met = met.join(d, pid, "left")
+    scored = met.select(*pid, *[
+        (_grid(f, F.col(f"s{i}"), F.col(f"t{i}")) if isinstance(f, Attribute) else _overlap(
+            f, F.col(f"s{i}"), F.col(f"t{i}"), F.col(f"d{i}") if _is_fuzzy(f) else None)).alias(n)
         for i, (f, n) in enumerate(zip(features, names))
     ])
     for feature, name in zip(features, names):
         if isinstance(feature, Attribute):
             one = F.array_max(name) if multi == "max" else F.explode(F.col(name))
             scored = scored.withColumn(name, one)
-    return scored.select("s_pid", "t_pid", F.array(*names).alias("sim_v"))
+    return scored.select(*pid, F.array(*names).alias("sim_v"))
+
+
+def fuzzy_matches(xs: DataFrame, ys: DataFrame, threshold: float) -> DataFrame:
+    """``(source, target, d)``: greedy matches of values with a ratio from ``threshold`` on.
+
+    ``xs (source, target, x)`` and ``ys (source, target, y)`` hold distinct values of each
+    pair; values are taken in byte order, each ``x`` by its first free ``y``.  Pairs without
+    a match are absent.
+
+    A similarity join in a fixed number of stages.  Values meet within a pair by bands of
+    length, as 128-bit identities with their length and character counts; both bound the ratio
+    from above, so no match is lost.  Of what is left every distinct pair of texts is
+    compared once, wherever it occurs.  The greedy choice is one pass over the edges of a
+    pair in order, which spills and holds nothing but the taken values.
+    """
+    # Of two similar texts the longer has at most (2 - threshold) / threshold times the length.
+    width = math.log((2.0 - threshold) / threshold) * (1 + 1e-9)
+    texts = materialise(
+        xs.select(F.col("x").alias("v")).unionByName(ys.select(F.col("y").alias("v"))).distinct()
+        .orderBy("v").select(
+            value_id(F.col("v")).alias("id"), "v", F.monotonically_increasing_id().alias("at")),
+        "texts")
+
+    def narrow(df: DataFrame, name: str) -> DataFrame:
+        n = F.length(name)
+        band = F.when(n == 0, F.lit(-1)).otherwise(F.floor(F.log(n) / F.lit(width))).cast("int")
+        return df.select(
+            *PAIR, value_id(F.col(name)).alias(name), n.alias(f"n{name}"),
+            class_counts(F.col(name)).alias(f"c{name}"), band.alias("band"))
+
+    here, there = (materialise(narrow(df, name), "value-ids") for df, name in ((xs, "x"), (ys, "y")))
+    there = there.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    needed = F.lit(threshold / 2) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)
+    near = materialise(
+        balanced_join(here, there, [*PAIR, "band"], ["x"], ["y"])
+        .where((F.least("nx", "ny") >= needed) & (at_most_shared(F.col("cx"), F.col("cy")) >= needed))
+        .select(*PAIR, "x", "y"), "near")
+    met = materialise(_counted(near, "x", "y"), "near-texts")
+    both = met.select("x", "y")
+    for name, other in (("x", "y"), ("y", "x")):
+        both = lookup_join(
+            both, texts.select(F.col("id").alias(name), F.col("v").alias(f"v{name}"),
+                               F.col("at").alias(f"{name}_at")),
+            [name], [other], counts=_counted(met, name))
+    alike = materialise(
+        both.where((F.col("x") == F.col("y")) | reaches("vx", "vy", F.lit(float(threshold))))
+        .select("x", "y", "x_at", "y_at"), "alike")
+    edges = lookup_join(near, alike, ["x", "y"], PAIR, counts=met).select(
+        *PAIR, F.col("x_at").alias("x"), F.col("y_at").alias("y"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields[:2])
+    return edges.repartition(*PAIR).sortWithinPartitions(*PAIR, "x", "y").mapInArrow(
+        first_free, f"{types}, d bigint")
 
 
 def compare(pairs: DataFrame, features: list[Feature], multi: str = "fanout",
@@ -262,16 +337,10 @@ def _row_overlap(pairs: DataFrame, held: DataFrame, feature: Relation, name: str
     ys = held.where(F.col("db") == TARGET).select(F.col("sub").alias(TARGET), F.col("val").alias("y"))
     if feature.threshold >= 1.0:
         matched = xs.join(ys.withColumnRenamed("y", "x"), [TARGET, "x"], "left_semi")
+        found = matched.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("d"))
     else:
-        x, y = F.length("x"), F.length("y")
-        near = balanced_join(xs, ys, [TARGET], [SOURCE, "x"], ["y"]).where(
-            (F.col("x") == F.col("y"))
-            | (2 * F.least(x, y) >= F.lit(float(feature.threshold)) * (x + y))
-        )
-        ratio = _grid(Attribute(pairs, pairs), F.array("x"), F.array("y"))[0]
-        edges = materialise(near.where(ratio >= feature.threshold).select(*PAIR, "x", "y"), "edges")
-        matched = _greedy(edges)
-    found = matched.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("d"))
+        met = balanced_join(pairs, ys, [TARGET], [SOURCE], ["y"])
+        found = fuzzy_matches(xs, met.select(*PAIR, "y"), feature.threshold)
     sized = pairs.join(found, PAIR, "left")
     for side, other in ((SOURCE, TARGET), (TARGET, SOURCE)):
         sized = lookup_join(
@@ -282,22 +351,6 @@ def _row_overlap(pairs: DataFrame, held: DataFrame, feature: Relation, name: str
     return sized.select(*PAIR, F.coalesce(sim, F.lit(float(feature.default))).alias(name))
 
 
-def _greedy(edges: DataFrame) -> DataFrame:
-    """One ``y`` per ``x``: values of the source in order take their first free match.
-
-    Every ``x`` asks for its first ``y`` and every ``y`` keeps its first ``x``; refused
-    edges are struck out until none is refused.  All ``y`` share the order of ``x``, so
-    this ends in the same matching as going through ``x`` one after the other.
-    """
-    while True:
-        asked = edges.groupBy(*PAIR, "x").agg(F.min("y").alias("y"))
-        kept = asked.groupBy(*PAIR, "y").agg(F.min("x").alias("x"))
-        refused = materialise(asked.join(kept, [*PAIR, "x", "y"], "left_anti"), "refused")
-        if refused.isEmpty():
-            return kept
-        edges = materialise(edges.join(refused, [*PAIR, "x", "y"], "left_anti"), "edges")
-
-
 def attribute_similarity(pairs: DataFrame, source: DataFrame, target: DataFrame,
                          default: float = 0.0, ignore: str = "", metric: str = "ratio",
                          multi: str = "fanout",

@@ -227,6 +227,95 @@ jac AS (
   LEFT JOIN ls t ON t.sub = p.target AND t.db = 'target')"""
 
 
+# ``vp(x, y)``, pairs of non-empty texts, to ``ratio(x, y, r)``: the longest common run of an area,
+# first in ``x`` and then in ``y``, then the areas before and behind it.  In a ``y`` of 200
+# characters and more the common ones (over 1/100 of it) start no run but may continue one; where
+# no other is left, only what both areas begin with counts.
+_RATIO = """vn AS (SELECT *, row_number() OVER () AS id, length(x) AS nx, length(y) AS ny FROM vp),
+cx AS (SELECT id, i, substr(x, i + 1, 1) AS c FROM (SELECT id, x, unnest(range(nx)) AS i FROM vn)),
+cy AS (SELECT id, ny, j, substr(y, j + 1, 1) AS c FROM (SELECT id, y, ny, unnest(range(ny)) AS j FROM vn)),
+common AS (SELECT id, c FROM cy GROUP BY id, c HAVING any_value(ny) >= 200 AND count(*) > any_value(ny) // 100 + 1),
+cell AS (
+  SELECT cx.id, i, j - i AS d, common.c IS NULL AS rare
+  FROM cx JOIN cy ON cx.id = cy.id AND cx.c = cy.c LEFT JOIN common ON common.id = cy.id AND common.c = cy.c),
+diag AS (SELECT *, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS g FROM cell),
+held AS (
+  SELECT *, min(i) OVER (PARTITION BY id, d, g) AS lo, max(i) OVER (PARTITION BY id, d, g) + 1 AS hi,
+         i - row_number() OVER (PARTITION BY id, d, rare ORDER BY i) AS h FROM diag),
+run AS (
+  SELECT id, d, min(i) AS i0, max(i) + 1 AS i1, any_value(lo) AS lo, any_value(hi) AS hi, false AS weak
+  FROM held WHERE rare GROUP BY id, d, h
+  UNION ALL SELECT id, d, min(i), max(i) + 1, min(i), max(i) + 1, true FROM diag
+  WHERE id IN (SELECT id FROM common) GROUP BY id, d, g),
+area(id, xlo, xhi, ylo, yhi, k) AS (
+  SELECT id, 0::BIGINT, nx, 0::BIGINT, ny, 0::BIGINT FROM vn
+  UNION ALL
+  SELECT id, CASE s WHEN 0 THEN xlo ELSE b[5] END, CASE s WHEN 0 THEN b[4] ELSE xhi END,
+         CASE s WHEN 0 THEN ylo ELSE b[5] + b[3] - b[2] END, CASE s WHEN 0 THEN b[4] + b[3] - b[2] ELSE yhi END,
+         CASE s WHEN 0 THEN b[5] - b[4] ELSE 0 END
+  FROM (
+    SELECT id, xlo, xhi, ylo, yhi, min([CASE WHEN weak THEN 0 ELSE i - e END, i, i + d, greatest(lo, xlo, ylo - d), least(hi, xhi, yhi - d)]) AS b
+    FROM (
+      SELECT area.*, d, lo, hi, weak, greatest(i0, xlo, ylo - d) AS i, least(i1, xhi, yhi - d) AS e
+      FROM area JOIN run USING (id))
+    WHERE xlo < xhi AND ylo < yhi AND i < e AND (NOT weak OR (i = xlo AND i + d = ylo)) GROUP BY id, xlo, xhi, ylo, yhi)
+  CROSS JOIN (VALUES (0), (1)) AS side(s)),
+ratio AS (
+  SELECT x, y, 2.0::DOUBLE * m / (nx + ny) AS r
+  FROM vn JOIN (SELECT id, sum(k)::BIGINT AS m FROM area GROUP BY id) USING (id))"""
+
+
+def _soft_jaccard(threshold: float = 0.8, default: float = 0.0) -> str:
+    """``soft(source, target, sim)``: every line takes its first free similar line.
+
+    Characters outside the common runs must be deleted or inserted, so the edit distance
+    (of bytes) bounds the ratio and spares most pairs of lines the recursion.
+    """
+    return f"""lv AS (
+  SELECT *, row_number() OVER (PARTITION BY sub, db ORDER BY v) AS at FROM (
+    SELECT DISTINCT sub, db, lower(obj) AS v FROM lines)),
+ln AS (SELECT sub, db, count(*) AS n FROM lv GROUP BY sub, db),
+vm AS (
+  SELECT p.source, p.target, s.v AS x, t.v AS y, s.at AS i, t.at AS j FROM pairs p
+  JOIN lv s ON s.sub = p.source AND s.db = 'source' JOIN lv t ON t.sub = p.target AND t.db = 'target'
+  WHERE 2 * least(length(s.v), length(t.v)) >= {threshold} * (length(s.v) + length(t.v))),
+vp AS (
+  SELECT DISTINCT x, y FROM vm WHERE x <> y
+  AND levenshtein(x, y) <= strlen(x) + strlen(y) - {threshold} * (length(x) + length(y))),
+{_RATIO},
+nb AS (
+  SELECT source, target, i, list(j ORDER BY j) AS js,
+         row_number() OVER (PARTITION BY source, target ORDER BY i) AS k
+  FROM vm LEFT JOIN ratio USING (x, y) WHERE x = y OR r >= {threshold}::DOUBLE GROUP BY source, target, i),
+taking(source, target, k, taken) AS (
+  SELECT DISTINCT source, target, 0::BIGINT, []::BIGINT[] FROM nb
+  UNION ALL
+  SELECT source, target, nb.k, list_concat(taken, list_filter(js, lambda j: NOT list_contains(taken, j))[1:1])
+  FROM taking JOIN nb USING (source, target) WHERE nb.k = taking.k + 1),
+greedy AS (SELECT source, target, max(len(taken)) AS d FROM taking GROUP BY source, target),
+soft AS (
+  SELECT source, target, CASE WHEN s.n IS NULL OR t.n IS NULL THEN {default}
+    ELSE coalesce(d, 0)::DOUBLE / (s.n + t.n - coalesce(d, 0)) END AS sim
+  FROM pairs LEFT JOIN greedy USING (source, target)
+  LEFT JOIN ln s ON s.sub = source AND s.db = 'source' LEFT JOIN ln t ON t.sub = target AND t.db = 'target')"""
+
+
+def _ratio_of(view: str) -> str:
+    """``rt(source, target, sim)`` of the single values ``view(sub, db, u)`` of every pair."""
+    return f"""uv AS (
+  SELECT source, target, s.u AS x, t.u AS y FROM pairs
+  LEFT JOIN {view} s ON s.sub = source AND s.db = 'source' LEFT JOIN {view} t ON t.sub = target AND t.db = 'target'),
+vp AS (SELECT DISTINCT x, y FROM uv WHERE x <> y AND x <> '' AND y <> ''),
+{_RATIO},
+rt AS (
+  SELECT source, target, CASE WHEN x = y THEN 1 WHEN x IS NULL OR y IS NULL THEN 0 ELSE coalesce(r, 0) END AS sim
+  FROM uv LEFT JOIN ratio USING (x, y))"""
+
+
+def _with_recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
 def _equal(view: str, name: str, default: float) -> str:
     return f"""{name} AS (
   SELECT p.source, p.target, coalesce(CAST(lower(s.obj) = lower(t.obj) AS INT)::DOUBLE, {default}) AS sim
@@ -359,6 +448,15 @@ FROM lineitem s JOIN lineitem t ON s.l_orderkey = t.l_orderkey
 WHERE s.l_linestatus = 'O' AND t.l_linestatus = 'F' GROUP BY s.l_orderkey""",
     "compare_exact_jaccard": _with(*_DOC_PAIRS, _LINES, _jaccard())
     + "SELECT source, target, round(sim, 6) AS sim FROM jac",
+    "compare_soft_jaccard": _with_recursive(*_DOC_PAIRS, _LINES, _soft_jaccard())
+    + "SELECT source, target, round(sim, 6) AS sim FROM soft",
+    "compare_ratio": _with_recursive(
+        *_DOC_PAIRS, "low AS (SELECT sub, db, lower(text) AS u FROM docs)", _ratio_of("low"))
+    + "SELECT source, target, round(sim, 6) AS sim FROM rt",
+    "compare_ratio_urls": _with_recursive(
+        *_PAGE_PAIRS, "low AS (SELECT sub, db, regexp_replace(lower(url), 'https?://', '', 'g') AS u FROM titles)",
+        _ratio_of("low"))
+    + "SELECT source, target, round(sim, 6) AS sim FROM rt",
     "compare_empty_values": _with(*_PAGE_PAIRS, """bare AS (
   SELECT sub, db, regexp_replace(CASE WHEN db = 'target' OR contains(url, 'www.') THEN lower(url) END,
                                  'https://.*[0-4]$', '', 'g') AS u FROM titles)""") + """

@@ -271,6 +271,12 @@ def compare_ratio(spark, d):
     return _rounded(out, "sim")
 
 
+def compare_ratio_urls(spark, d):
+    s, t = pages(spark, d)["url"]
+    out = attribute_similarity(_page_pairs(spark, d), s, t, ignore="https?://")
+    return _rounded(out, "sim")
+
+
 def compare_soft_jaccard(spark, d):
     out = relation_similarity(_document_pairs(spark, d), *Documents(spark, d).lines())
     return _rounded(out, "sim")
@@ -639,6 +645,7 @@ QUERIES: dict[str, Query] = {
     "compare_empty_values": compare_empty_values,
     "compare_levenshtein": compare_levenshtein,
     "compare_ratio": compare_ratio,
+    "compare_ratio_urls": compare_ratio_urls,
     "compare_soft_jaccard": compare_soft_jaccard,
     "attribute_default_fill": attribute_default_fill,
     "attribute_fanout": attribute_fanout,
