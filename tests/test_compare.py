@@ -26,7 +26,7 @@ def random_sets(rng, n):
     return [sorted(set(rng.sample(words, rng.randint(1, 8)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.8, 0.95])
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
 def test_fuzzy_matches_equal_plain_statement(kv, pairs, threshold):
     rng = random.Random(5)
     xs, ys = random_sets(rng, 60), random_sets(rng, 60)

@@ -200,8 +200,8 @@ def fuzzy_matches(xs: DataFrame, ys: DataFrame, threshold: float) -> DataFrame:
             *PAIR, value_id(F.col(name)).alias(name), n.alias(f"n{name}"),
             class_counts(F.col(name)).alias(f"c{name}"), band.alias("band"))
 
-    here, there = (materialise(narrow(df, name), "value-ids") for df, name in ((xs, "x"), (ys, "y")))
-    there = there.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    here = narrow(xs, "x")
+    there = narrow(ys, "y").withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
     needed = F.lit(threshold / 2) * (F.col("nx") + F.col("ny")) - F.lit(1e-6)
     near = materialise(
         balanced_join(here, there, [*PAIR, "band"], ["x"], ["y"])
@@ -214,9 +214,9 @@ def fuzzy_matches(xs: DataFrame, ys: DataFrame, threshold: float) -> DataFrame:
             both, texts.select(F.col("id").alias(name), F.col("v").alias(f"v{name}"),
                                F.col("at").alias(f"{name}_at")),
             [name], [other], counts=_counted(met, name))
-    alike = materialise(
-        both.where((F.col("x") == F.col("y")) | reaches("vx", "vy", F.lit(float(threshold))))
-        .select("x", "y", "x_at", "y_at"), "alike")
+    alike = both.where(
+        (F.col("x") == F.col("y")) | reaches("vx", "vy", F.lit(float(threshold)))
+    ).select("x", "y", "x_at", "y_at")
     edges = lookup_join(near, alike, ["x", "y"], PAIR, counts=met).select(
         *PAIR, F.col("x_at").alias("x"), F.col("y_at").alias("y"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields[:2])
