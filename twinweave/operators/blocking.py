@@ -223,7 +223,7 @@ def _side(df: DataFrame, db: str) -> DataFrame:
     return df.where(F.col("db") == db).withColumnRenamed("sub", db).drop("db")
 
 
-def _valued(keys: BlockKeys) -> DataFrame:
+def valued(keys: BlockKeys) -> DataFrame:
     """``(sub, db, path, mask, v0..)``: a row per combination of an instance's values.
 
     ``v<i>`` is null and bit ``i`` of ``mask`` unset where the instance has no value at level i.
@@ -241,16 +241,16 @@ def _valued(keys: BlockKeys) -> DataFrame:
     return materialise(rows.withColumn("mask", reduce(Column.__add__, bits)), "valued")
 
 
-def _pattern_rows(keys: BlockKeys) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """``(sub, db, path, new_key)`` for the join by missing pattern, and its patterns.
+def pattern_rows(rows: DataFrame, n: int, policy: str,
+                 keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``(sub, db, keep..., path, new_key)`` for the join by missing pattern, and its patterns.
 
-    A pattern is a source mask and the set of levels known on both sides.  Under it a source
-    of that mask meets the targets that share just these levels with it; every pair of
-    masks has one pattern, so a pair meets under one.  An instance takes part in at most
-    ``2 ** levels`` patterns, however many keys the other side has.
+    ``rows`` are those of ``valued`` over ``n`` levels.  A pattern is a source mask and the
+    set of levels known on both sides.  Under it a source of that mask meets the targets that
+    share just these levels with it; every pair of masks has one pattern, so a pair meets
+    under one.  An instance takes part in at most ``2 ** levels`` patterns, however many keys
+    the other side has.
     """
-    rows = _valued(keys)
-    n = len(keys.values)
     # At most two rows per mask.
     masks = {db: set() for db in PAIR}
     for r in rows.select("db", "mask").distinct().collect():
@@ -258,7 +258,7 @@ def _pattern_rows(keys: BlockKeys) -> tuple[DataFrame, list[tuple[int, int]]]:
     every = (1 << n) - 1
 
     def meets(s: int, t: int) -> bool:
-        return {"wildcard": True, "null_block": s == t, "drop": s == t == every}[keys.policy]
+        return {"wildcard": True, "null_block": s == t, "drop": s == t == every}[policy]
 
     patterns: dict[tuple[int, int], set[int]] = {}
     for s in masks[SOURCE]:
@@ -272,15 +272,19 @@ def _pattern_rows(keys: BlockKeys) -> tuple[DataFrame, list[tuple[int, int]]]:
         new_key = shared[-1] if shared else F.lit("")
         for db, held in ((SOURCE, {s}), (TARGET, targets)):
             here = rows.where((F.col("db") == db) & F.col("mask").isin(*held))
-            part = here.select("sub", "db", path.alias("path"), new_key.alias("new_key"))
+            part = here.select("sub", "db", *keep, path.alias("path"), new_key.alias("new_key"))
             # Values of levels that are not shared fall away, and with them repeated rows.
             parts.append(part if held == {common} else part.distinct())
     if not parts:
-        return rows.where("false").select("sub", "db", "path", F.lit("").alias("new_key")), []
+        return rows.where("false").select("sub", "db", *keep, "path", F.lit("").alias("new_key")), []
     return reduce(DataFrame.unionByName, parts), sorted(patterns)
 
 
-def _met_pairs(known: DataFrame, n_workers: int | None) -> DataFrame:
+def _pattern_rows(keys: BlockKeys) -> tuple[DataFrame, list[tuple[int, int]]]:
+    return pattern_rows(valued(keys), len(keys.values), keys.policy)
+
+
+def met_pairs(known: DataFrame, n_workers: int | None) -> DataFrame:
     """Pairs of instances under one key; keys that hold the same instances meet once."""
     counts = materialise(_two_sided(known), "two-sided")
     met = materialise(
@@ -300,7 +304,7 @@ def candidate_pairs(keys: BlockKeys, n_workers: int | None = None) -> DataFrame:
     rows, patterns = _pattern_rows(keys)
     if len(patterns) > 1 or len(keys.values) > 1:
         rows = materialise(rows, "pattern-rows")
-    return _met_pairs(rows, n_workers).distinct()
+    return met_pairs(rows, n_workers).distinct()
 
 
 def pair_load(keys: BlockKeys, n_workers: int | None = None) -> DataFrame:
