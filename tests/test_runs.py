@@ -14,7 +14,7 @@ DUCKDB = pytest.importorskip("duckdb")
 
 # A few registered queries, the rest runs in the driver's check.
 CHECKED = ["rare_word_keys_2", "balanced_join_lines", "mutual_best_matches", "one_to_one_matches", "label_correct",
-           "training_sample", "ftrl_fit_group", "eval_heldout", "candidate_pairs"]
+           "training_sample", "ftrl_fit_group", "eval_heldout", "candidate_pairs", "label_log", "stream_candidate_pairs"]
 
 
 @pytest.fixture(scope="module")

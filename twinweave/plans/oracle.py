@@ -410,6 +410,8 @@ UNION ALL SELECT target, 'target', '$' || key FROM ones""",
     "candidate_pairs": _with(*_DOC_PAIRS) + "SELECT source, target FROM pairs",
     "multi_level_block": _levels(
         "s.lang = t.lang AND (s.quality = t.quality OR s.quality IS NULL OR t.quality IS NULL)"),
+    "stream_candidate_pairs": _levels(
+        "s.quality = t.quality OR s.quality IS NULL OR t.quality IS NULL"),
     "multi_level_unique": _with(*_DOC_KEYS, *_WILD_QUALITY[1:], """k2 AS (
   SELECT wild.sub, wild.db, obj || '$' || key AS key FROM wild JOIN keys USING (sub, db)
   UNION ALL SELECT sub, db, obj FROM known)""") + """
@@ -523,6 +525,11 @@ FROM op LEFT JOIN ref USING (source, target) LEFT JOIN lab USING (source, target
 SELECT source, target, CASE WHEN op.source IS NULL THEN 0::INT ELSE 3::INT END AS dim,
        coalesce(dec.is_match, CASE WHEN ref.source IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS is_match
 FROM op FULL JOIN dec USING (source, target) LEFT JOIN ref USING (source, target)""",
+    "label_log": _with(_ORDERS, _ORDER_REF) + """
+SELECT source, target, 3::INT AS dim,
+       (CASE WHEN d < 0.25 THEN flag = 'A' WHEN t > 0.5 THEN flag = 'N' WHEN q > 0.5 THEN closed = 1
+             ELSE ref.source IS NOT NULL END)::INT::DOUBLE AS is_match
+FROM op LEFT JOIN ref USING (source, target)""",
     "uncertain_band": _with(_ORDERS)
     + "SELECT source, target, round(score, 6) AS score FROM sc WHERE score BETWEEN 0.4 AND 0.6",
     "label_worklist": _with(_ORDERS) + f"""

@@ -30,7 +30,7 @@ from twinweave.operators.labels import (
 from twinweave.operators.learn import (
     ftrl_fit, ftrl_fit_batch, ftrl_fit_distributed, ftrl_score, ftrl_score_by, ftrl_update,
 )
-from twinweave.operators.skew import balanced_join, load_report, split_from
+from twinweave.operators.skew import balanced_join, default_tasks, load_report, split_from
 from twinweave.operators.words import rare_word_keys, tokenize, word_frequency
 from twinweave.plans.graphs import (
     ORDER_DIM, Documents, order_labels, order_parts, order_ref, order_scores, pages, parties,
@@ -39,6 +39,8 @@ from twinweave.plans.graphs import (
 from twinweave.plans.matching import run_matching
 from twinweave.schema import PAIR
 from twinweave.sources import Catalog, load_model, materialise, new_model, save_model, stage_root
+from twinweave.streaming.candidate_feed import ARRIVING, FeedLevel, follow_instances, pair_log, seed_feed
+from twinweave.streaming.label_feed import append_labels, compact_labels, label_log, merged_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +55,8 @@ MODEL_FITS = {
 }
 N_WORKERS = 10
 BATCH_STEPS = 4
+# Batches in which instances arrive.
+BATCHES = 3
 
 
 def _vector(df: DataFrame, names: list[str], column: str = "sim_v") -> DataFrame:
@@ -186,6 +190,32 @@ def wildcard_load(spark, d):
     return pair_load(_partition(spark, d, "quality"), N_WORKERS)
 
 
+def stream_candidate_pairs(spark, d):
+    """Quality and rare words, instances arriving in three batches; the pairs of the batch run."""
+    docs = Documents(spark, d)
+    text = docs.text()
+    frequency = materialise(word_frequency(*text), "word-frequency")
+    sides = []
+    for db, kv, known in zip(PAIR, text, docs.quality()):
+        quality = known.groupBy("sub").agg(F.collect_set("obj").alias("quality"))
+        sides.append(kv.join(quality, "sub", "left").select(
+            "sub", F.lit(db).alias("db"), F.array("quality", F.array("obj")).alias("values")))
+    root = f"{stage_root(spark)}/twinweave/feed-{uuid.uuid4().hex}"
+    sides[0].unionByName(sides[1]).repartition(max(BATCHES, default_tasks(spark)), "sub").write.parquet(
+        f"{root}/arrived")
+    files = len(spark.read.schema(ARRIVING).parquet(f"{root}/arrived").inputFiles())
+    arriving = (
+        spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", -(-files // BATCHES))
+        .parquet(f"{root}/arrived")
+    )
+    seed_feed(spark, root, 2)
+    query = follow_instances(arriving, [FeedLevel(), FeedLevel(frequency)], root, f"{root}/checkpoint")
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return pair_log(spark, root).read(BATCHES)
+
+
 # -- balanced join ----------------------------------------------------------
 
 
@@ -413,6 +443,21 @@ def label_correct(spark, d):
     return out.select(*PAIR, F.size("sim_v").alias("dim"), "is_match")
 
 
+def label_history(spark, d):
+    """Labels of three batches, the first run twice, compacted between the second and third."""
+    log = label_log(spark, f"{stage_root(spark)}/twinweave/labels-{uuid.uuid4().hex}")
+    log.seed(_ref_labels(spark, d))
+    closed = order_labels(spark, d)
+    for _ in range(2):
+        append_labels(log, closed, 1)
+    taxed = order_parts(spark, d).where(F.col("sim_v")[2] > 0.5)
+    append_labels(log, taxed.withColumn("is_match", (F.col("flag") == "N").cast("double")), 2)
+    compact_labels(log, 2)
+    cheap = order_parts(spark, d).where(F.col("sim_v")[0] < 0.25)
+    append_labels(log, cheap.withColumn("is_match", (F.col("flag") == "A").cast("double")), 3)
+    return merged_labels(log, 3).select(*PAIR, F.size("sim_v").alias("dim"), "is_match")
+
+
 def uncertain_band(spark, d):
     return _rounded(uncertain(order_scores(spark, d), 0.4, 0.6).select(*PAIR, "score"), "score")
 
@@ -636,6 +681,7 @@ QUERIES: dict[str, Query] = {
     "missing_null_block": missing_null_block,
     "missing_drop": missing_drop,
     "wildcard_load": wildcard_load,
+    "stream_candidate_pairs": stream_candidate_pairs,
     "block_load_report": block_load_report,
     "prefix_table_block": prefix_table_block,
     "balanced_join_parts": balanced_join_parts,
@@ -666,6 +712,7 @@ QUERIES: dict[str, Query] = {
     "label_pairs": label_alignment,
     "label_upsert": label_upsert,
     "label_correct": label_correct,
+    "label_log": label_history,
     "uncertain_band": uncertain_band,
     "label_worklist": label_work,
     "training_sample": training_sample,
