@@ -196,3 +196,19 @@ def test_smallest_by_hash_is_the_nth_smallest(spark, n):
     got = {r.k: r.limit for r in smallest_by_hash(
         spark.createDataFrame(rows, "k string, h long"), "k", "h", n).collect()}
     assert got == {k: sorted(h for x, h in rows if x == k)[:n][-1] for k in "abcde"}
+
+
+def test_chat_digest_is_read_from_the_written_examples(spark):
+    """Counts and lengths are those of the prefixes, a long conversation over several runs included."""
+    told = [("user" if i % 2 == 0 else "assistant", f"turn {i} " + "x" * (i % 7)) for i in range(150)]
+    turns = [(1, i, role, text) for i, (role, text) in enumerate(told)] + [(2, 0, "user", "alone"), (3, 0, "assistant", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.examples, r.example_chars, r.loss_chars) for r in chat_digest(df).collect()}
+    at, ends = 0, []
+    for role, text in told:
+        at += len(f"### {role}: {text}</turn>\n")
+        if role == "assistant":
+            ends.append(at)
+    assert got[1] == (75, sum(ends), sum(len(t) for r, t in told if r == "assistant"))
+    assert got[2] == (0, 0, 0)
+    assert got[3] == (1, len("### assistant: </turn>\n"), 0)

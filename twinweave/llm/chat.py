@@ -93,18 +93,22 @@ def _spans(t: Column, length) -> Column:
         .otherwise(acc["all"]).alias("all")), lambda acc: acc["all"])
 
 
-def expand_examples(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, formatted, example, context, begin, length)``: a row per assistant turn."""
+def expand_examples(conversations: DataFrame, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """``(conv_id, keep..., formatted, example, context, begin, length)``: a row per assistant turn.
+
+    With ``outer`` a conversation without one has a row whose example is null.
+    """
+    explode = F.posexplode_outer if outer else F.posexplode
     return conversations.select(
-        "conv_id", "formatted", F.posexplode("examples").alias("example", "span")
-    ).select("conv_id", "formatted", "example", "span.context", "span.begin", "span.length")
+        "conv_id", *keep, "formatted", explode("examples").alias("example", "span")
+    ).select("conv_id", *keep, "formatted", "example", "span.context", "span.begin", "span.length")
 
 
-def example_texts(examples: DataFrame) -> DataFrame:
-    """``(conv_id, example, text, loss_begin, loss_length)``: each example written out."""
+def example_texts(examples: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(conv_id, keep..., example, text, loss_begin, loss_length)``: each example written out."""
     end = F.col("begin") + F.col("length") - 1 + len(CLOSE) + 1
     return examples.select(
-        "conv_id", "example",
+        "conv_id", *keep, "example",
         F.substring("formatted", F.lit(1), end.cast("int")).alias("text"),
         F.col("begin").alias("loss_begin"), F.col("length").alias("loss_length"),
     )
@@ -122,24 +126,31 @@ def read_turns(formatted: Column) -> Column:
 
 
 def chat_digest(turns: DataFrame) -> DataFrame:
-    """Counts and digests per conversation, read back from the formatted output."""
-    formatted = format_conversations(turns)
+    """Counts and digests per conversation, read back from the written examples.
+
+    Turns are read from the formatted conversation, replies from the text of each example
+    under its loss mask.  ``examples`` counts them and ``example_chars`` is the length of their
+    texts, contexts included.
+    """
     all_turns = F.array_join(F.transform("t", lambda x: F.concat(
         x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    replies = F.transform("examples", lambda e: unescape(F.substring(
-        F.col("formatted"), e["begin"].cast("int"), e["length"].cast("int"))))
-    back = formatted.select("*", read_turns(F.col("formatted")).alias("t")).select(
-        "conv_id", F.size("t").cast("bigint").alias("n_turns"),
+    read = format_conversations(turns).withColumn("t", read_turns(F.col("formatted"))).select(
+        "conv_id", "formatted", "examples", F.size("t").cast("bigint").alias("n_turns"),
         F.sha2(all_turns, 256).alias("turns_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"),
-        F.posexplode_outer(replies).alias("example", "reply"),
     )
-    per = back.groupBy("conv_id", "n_turns", "turns_sha256", "formatted_chars").agg(
-        F.array_sort(F.collect_list(
-            F.when(F.col("example").isNotNull(), F.struct("example", "reply")))).alias("e"))
-    loss = F.array_join(F.transform("e", lambda x: x["reply"]), "")
-    return per.withColumn("loss", loss).select(
+    whole = ("n_turns", "turns_sha256", "formatted_chars")
+    written = example_texts(expand_examples(read, whole, outer=True), whole)
+    reply = unescape(F.substring("text", F.col("loss_begin").cast("int"), F.col("loss_length").cast("int")))
+    per = written.select(
+        "conv_id", *whole, F.char_length("text").cast("bigint").alias("chars"),
+        F.when(F.col("example").isNotNull(), F.struct("example", reply.alias("reply"))).alias("e"),
+    ).groupBy("conv_id", *whole).agg(
+        F.array_sort(F.collect_list("e")).alias("e"),
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("example_chars"))
+    return per.withColumn("loss", F.array_join(F.transform("e", lambda x: x["reply"]), "")).select(
         "conv_id", "n_turns", "turns_sha256",
         F.char_length("loss").cast("bigint").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+        F.size("e").cast("bigint").alias("examples"), "example_chars",
     )

@@ -85,13 +85,19 @@ OP9 = rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+),
+e AS (
+  SELECT *, sum(length({_ROLE}) + length({_ESC}) + 14) OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length({_ROLE}) + length({_ESC}) + 14)::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+  sum(length({_ROLE}) + length({_ESC}) + 14)::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'assistant') AS examples,
+  coalesce(sum(upto) FILTER (role = 'assistant'), 0)::BIGINT AS example_chars
+FROM e GROUP BY conv_id
 """
 
 OP11 = r"""
