@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinweave.llm.mixing import MixParams, mix_sources, mixed_documents, source_targets, words_taken
+from twinweave.llm.mixing import MixParams, mix_sources, mixed_blocks, mixed_documents, source_targets, words_taken
 from twinweave.llm.neighbours import LshParams, nearest
 from twinweave.llm.packing import PackParams, best_fit, pack_documents, pack_shard
 from twinweave.llm.search import SearchParams, top_k
@@ -148,6 +148,42 @@ def test_mix_stays_near_targets_and_within_limits(spark):
     assert words_taken(empty).collect() == []
 
 
+def test_output_shards_hold_the_blocks_of_their_drawn_slots(spark):
+    """Counts per shard add up to a source's slots, which follow on each other shard by shard."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), f"s{i % 3}") for i in range(120)]
+    p = MixParams(block=4, slots_per_shard=64)
+    mix = mix_sources(docs(spark, rows), p)
+    sources = {r.sid: r for r in mix.sources.collect()}
+    counts = {}
+    for r in mix.counts.collect():
+        counts.setdefault(r.sid, {})[r.shard] = (r.first, r.n)
+    shards = -(-sum(r.slots for r in sources.values()) // 64)
+    assert shards > 10
+    slots = {}
+    for r in mix.slots.collect():
+        slots.setdefault((r.sid, r.shard), []).append((r.slot, r.block))
+    held = {}
+    for r in mixed_blocks(mix).collect():
+        held[r.sid, r.slot] = held.get((r.sid, r.slot), 0) + r.words
+    for sid, s in sources.items():
+        drawn = counts[sid]
+        assert sum(n for _, n in drawn.values()) == s.slots and set(drawn) <= set(range(shards))
+        # Multinomial with even shares: no shard is far from its mean.
+        mean = s.slots / shards
+        assert all(abs(drawn.get(k, (0, 0))[1] - mean) < 6 * mean ** 0.5 + 6 for k in range(shards))
+        numbers = []
+        for shard, (first, n) in drawn.items():
+            here = sorted(slots[sid, shard])
+            assert [x for x, _ in here] == list(range(first, first + n))
+            numbers += here
+        assert [x for x, _ in sorted(numbers)] == list(range(s.slots))
+        once = [b for x, b in numbers if x < s.blocks]
+        assert len(set(once)) == len(once) and all(s.base <= b < s.base + s.blocks for b in once)
+        full = [held[sid, x] for x, b in numbers if b != s.base + s.blocks - 1]
+        assert set(full) == {p.block}
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     rows = [(i, " ".join(f"d{i}w{j}" for j in range(i % 50)) + "\n", "ab"[i % 2]) for i in range(120)]
     p = MixParams(block=8)

@@ -2,10 +2,10 @@
 
 The texts of a source lie end to end and are cut into blocks of ``block`` words.  A source
 gets as many slots as its target needs; every slot draws its output shard, so the counts of
-a source over the shards are multinomial given its total.  A source's slots run through
-pseudorandom permutations of its block indexes, one per pass over the source, and each
-block's count is joined back by its index.  Nothing reads the drawn shard or the order of
-slots yet.  All of it is DataFrame work on sizes and positions; texts stay where they are.
+a source over the shards are multinomial given its total.  The slots are unfolded from these
+counts, shard after shard, and mapped through pseudorandom permutations of the source's block
+indexes, one per pass over the source; block contents are joined to the slots by index.
+All of it is DataFrame work on sizes and positions; texts stay where they are.
 """
 
 from __future__ import annotations
@@ -38,12 +38,15 @@ class MixParams:
 @dataclass(frozen=True)
 class Mix:
     """``sources``: one row per source with size, weight, target, blocks and slots.
-    ``slots``: ``(shard, slot, block)`` of the mix.  ``parts``: ``(row_id, block, begin,
-    words, times)``, which words of which row a block holds and how often it is taken.
+    ``counts``: ``(sid, shard, n, first)``, how many slots of a source a shard drew and the
+    number of the first.  ``slots``: ``(shard, sid, slot, block)`` of the mix.  ``parts``:
+    ``(row_id, doc_id, size, sid, start, block, begin, words)``, which words of which row a
+    block holds.
     """
 
     rows: DataFrame
     sources: DataFrame
+    counts: DataFrame
     slots: DataFrame
     parts: DataFrame
 
@@ -102,24 +105,35 @@ def _with_blocks(targets: DataFrame, p: MixParams) -> DataFrame:
     ])).withColumn("shifts", F.array(*[draw("shift", e) for e in range(p.limit)]))
 
 
-def _slots(sources: DataFrame, p: MixParams) -> DataFrame:
-    """One row per slot; slots are unfolded in runs, so no array grows with a source."""
+def _shard_counts(sources: DataFrame, p: MixParams) -> DataFrame:
+    """Multinomial counts of each source over the shards; slots draw in runs of bounded length."""
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // p.slots_per_shard))
     run = p.slots_per_shard
-    rows = sources.where(F.col("slots") > 0).select(
-        "sid", "base", "blocks", "slots", "steps", "shifts",
+    draws = sources.where(F.col("slots") > 0).select(
+        "sid", "slots",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / run))).alias("run"),
-    ).repartition("sid", "run")
-    slot = F.explode(F.sequence(F.col("run") * run,
-                                F.least(F.col("run") * run + run, "slots") - 1)).alias("slot")
+    ).repartition("sid", "run").select("sid", F.explode(F.sequence(
+        F.col("run") * run, F.least(F.col("run") * run + run, "slots") - 1)).alias("draw"))
+    shard = F.pmod(F.xxhash64("sid", "draw", F.lit(p.seed)), F.lit(shards)).alias("shard")
+    drawn = draws.select("sid", shard).groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(drawn.withColumn("_hash", F.xxhash64("sid", "shard")), "mix-draws")
+    return materialise(running(counts, ["sid"], ["shard"], "first", value="n").drop("_hash"), "mix-counts")
+
+
+def _slots(sources: DataFrame, counts: DataFrame, p: MixParams) -> DataFrame:
+    """One row per slot: the slots of a source in a shard follow on each other.
+
+    A shard draws about ``slots_per_shard`` slots over all sources, so no array grows.
+    """
+    slot = F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("int")
     index = (F.col("slot") % F.col("blocks") * F.get("steps", turn)
              + F.get("shifts", turn)) % F.col("blocks")
-    return rows.select("sid", "base", "blocks", "steps", "shifts", slot).select(
-        F.pmod(F.xxhash64("sid", "slot", F.lit(p.seed)), F.lit(shards)).alias("shard"),
-        "sid", "slot", (F.col("base") + index).alias("block"),
-    )
+    how = sources.select("sid", "base", "blocks", "steps", "shifts")
+    return counts.repartition("sid", "shard").join(how, "sid").select(
+        "shard", "sid", "base", "blocks", "steps", "shifts", slot
+    ).select("shard", "sid", "slot", (F.col("base") + index).alias("block"))
 
 
 def mix_sources(docs: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_id",
@@ -140,8 +154,7 @@ def mix_sources(docs: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_
         "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = materialise(_with_blocks(source_targets(sizes, p), p), "mix-sources")
-    slots = _slots(sources, p)
-    times = slots.groupBy("block").agg(F.count(F.lit(1)).alias("times"))
+    counts = _shard_counts(sources, p)
     placed = running(rows, ["source"], ["_hash", "doc_id", "size"], "start", value="size")
     known = null_safe_join(
         placed.where(F.col("size") > 0), sources.select("source", "sid", "base"), ["source"]
@@ -151,19 +164,28 @@ def mix_sources(docs: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_
         F.floor(at / p.block), F.floor((end - 1) / p.block))))
     low = F.greatest(at, F.col("index") * p.block)
     high = F.least(end, (F.col("index") + 1) * p.block)
-    pieces = cut.select(
+    parts = cut.select(
         "row_id", "doc_id", "size", "sid", "start", (F.col("base") + F.col("index")).alias("block"),
         (low - at).alias("begin"), (high - low).alias("words"),
     )
-    # Spark judges ``times`` by the few sources it unfolds from and would broadcast it.
-    parts = pieces.join(times.hint("merge"), "block", "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    return Mix(rows, sources, slots, parts)
+    return Mix(rows, sources, counts, _slots(sources, counts, p), parts)
+
+
+def mixed_blocks(mix: Mix) -> DataFrame:
+    """``(shard, sid, slot, block, row_id, doc_id, size, begin, words)``: what the shards hold.
+
+    Parts are joined to the slots by block index, which no more than ``limit`` slots name.
+    """
+    # Spark judges the slots by the few sources they unfold from and would broadcast them.
+    return mix.slots.select("shard", "slot", "block").hint("merge").join(mix.parts, "block").select(
+        "shard", "sid", "slot", "block", "row_id", "doc_id", "size", "begin", "words")
 
 
 def words_taken(mix: Mix) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)``, one row per row of the input."""
-    taken = mix.parts.groupBy("sid", "start", "doc_id", "size").agg(
-        F.sum(F.col("words") * F.col("times")).alias("taken")
+    placed = mix.parts.join(mix.slots.select("block", "slot").hint("merge"), "block", "left")
+    taken = placed.groupBy("sid", "start", "doc_id", "size").agg(
+        F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).alias("taken")
     )
     info = mix.sources.select("sid", "source", "source_size", "target")
     some = taken.join(info, "sid")
@@ -181,7 +203,9 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """
     numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
     mix = mix_sources(numbered, p, row_id="_row")
-    plans = mix.parts.where(F.col("times") > 0).groupBy("row_id", "size").agg(
+    taken = mixed_blocks(mix).groupBy("row_id", "size", "begin", "words").agg(
+        F.count(F.lit(1)).alias("times"))
+    plans = taken.groupBy("row_id", "size").agg(
         F.array_sort(F.collect_list(F.struct("begin", "words", "times"))).alias("pieces")
     )
     turns = plans.withColumn("turn", F.explode(F.sequence(
