@@ -290,6 +290,30 @@ def test_rare_lengths_and_outliers_are_never_short(spark):
 
 # URL rules
 
+def test_mined_rules_leave_out_no_token_of_a_deep_url(spark):
+    """Rows of more tokens than FP-growth is given: still all rules of counting all subsets."""
+    rng = random.Random(5)
+    names = list("abcdefg")
+    rows = []
+    for _ in range(300):
+        items = sorted(set(rng.choices(names, k=rng.randint(0, 9))))
+        bad = rng.random() < (0.9 if {"a", "b"} <= set(items) else 0.8 if {"e", "f", "g"} <= set(items) else 0.3)
+        rows.append((items, bad))
+    p = UrlRuleParams(min_support=0.02, min_count=4, min_confidence=0.6, row_tokens=2)
+    got = {tuple(r["items"]): (r.support, round(r.confidence, 9))
+           for r in mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), p).collect()}
+    full = [r for r in rows if r[0]]
+    rules = {}
+    for n in range(1, 8):
+        for items in combinations(names, n):
+            hit = [b for t, b in full if set(items) <= set(t)]
+            if sum(hit) >= max(0.02 * len(full), 4) and sum(hit) / len(hit) >= 0.6:
+                rules[items] = (sum(hit), round(sum(hit) / len(hit), 9))
+    want = {i: v for i, v in rules.items()
+            if not any(set(j) < set(i) and w[1] >= v[1] for j, w in rules.items())}
+    assert got == want and any(len(r) > 2 for r in want)
+
+
 def test_mined_rules_equal_counting_all_subsets(spark):
     rng = random.Random(8)
     names = list("abcdefg")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -34,9 +35,10 @@ HOST_RULES = (
 class UrlRuleParams:
     """Support is a share of the labelled URLs; ``min_count`` rows are needed besides.
 
-    A rule is a combination of those ``row_tokens`` tokens of a URL that go most surely with
-    bad pages, tokens that always stand together counting as one.  Without that bound a
-    URL of many segments would have a combination for every subset of them.
+    FP-growth is given the ``row_tokens`` tokens of a URL that go most surely with bad pages,
+    as it makes a combination for every subset of them; tokens that always stand together count
+    as one, and one that only bad pages have is a rule by itself.  What URLs of more tokens hold
+    besides is found level by level (``longer_sets``), so the bound leaves out no rule.
     """
 
     min_support: float = 0.002
@@ -87,6 +89,38 @@ def host_rule(host: Column, path: Column, rules=HOST_RULES) -> tuple[Column, Col
     return rule, verdict
 
 
+def longer_sets(wide: DataFrame, front: DataFrame, least: float, row_tokens: int) -> DataFrame | None:
+    """``(items)``: combinations with ``least`` bad rows that a row of over ``row_tokens`` tokens holds.
+
+    ``wide (items, n, b)`` are all rows and ``front (items, n, b, key)`` the single tokens, ``key``
+    being the rarest token with its rows.  A combination that has the rows of a shorter one, or
+    that holds one which only bad rows have, can be no rule beside that one, and neither can any
+    that holds it; so only the others grow.
+    """
+    found, size = [], 1
+    while True:
+        a, b = (front.select(F.col("items").alias(x), F.slice("items", 1, size - 1).alias("start"),
+                             F.col("key").alias(f"{x}_key")) for x in "ab")
+        last = lambda x: F.element_at(x, -1)
+        grown = a.join(b, "start").where(last("a") < last("b")).select(
+            F.array_append("a", last("b")).alias("set"), F.least("a_key", "b_key").alias("key"))
+        subsets = F.transform("set", lambda x: F.array_remove("set", x))
+        size += 1
+        tried = materialise(grown.select("set", "key", F.explode(subsets).alias("items")).join(
+            front.select("items", F.col("n").alias("_n")), "items").groupBy("set", "key").agg(
+            F.count(F.lit(1)).alias("_in"), F.min("_n").alias("_n")).where(F.col("_in") == size), "url-tried")
+        held = wide.where(F.size("items") >= size).select("items", "n", "b", F.explode("items").alias("token"))
+        cut = F.when(F.size("items") > row_tokens, F.col("b")).otherwise(0)
+        front = materialise(held.join(tried.withColumn("token", F.col("key.token")), "token").where(
+            F.size(F.array_except("set", "items")) == 0).groupBy(F.col("set").alias("items"), "key", "_n").agg(
+            F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum(cut).alias("_cut")).where(
+            (F.col("b") >= least) & (F.col("_cut") > 0) & (F.col("n") < F.col("_n"))), "url-longer")
+        if front.isEmpty():
+            return reduce(DataFrame.unionByName, found) if found else None
+        found.append(front.select("items"))
+        front = front.where(F.col("b") < F.col("n"))
+
+
 def mine_rules(labelled: DataFrame, p: UrlRuleParams = UrlRuleParams()) -> DataFrame:
     """``(items, confidence, support, key)`` from ``labelled (tokens, bad)``.
 
@@ -112,28 +146,43 @@ def mine_rules(labelled: DataFrame, p: UrlRuleParams = UrlRuleParams()) -> DataF
     single = materialise(tokens.groupBy("token").agg(
         F.sum("n").alias("rows"), F.sum("b").alias("bad"), F.sum("_h").alias("_h")), "url-tokens")
     kept = single.where(F.col("bad") >= least).groupBy("rows", "bad", "_h").agg(
-        F.min("token").alias("token")).select("token", (F.col("bad") / F.col("rows")).alias("sure"), "bad")
-    first = F.slice(F.array_sort(F.collect_list(F.struct(
-        (-F.col("sure")).alias("a"), (-F.col("bad")).alias("c"), "token"))), 1, p.row_tokens)
-    narrow = materialise(
-        rows.select("tokens", "n", "b", F.explode("tokens").alias("token")).join(kept, "token")
-        .groupBy("tokens").agg(F.first("n").alias("n"), F.first("b").alias("b"), first.alias("_first"))
-        .select(F.transform("_first", lambda x: x["token"]).alias("items"), "n", "b")
-        .groupBy("items").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "url-narrow")
+        F.min("token").alias("token")).select(
+        "token", (F.col("bad") / F.col("rows")).alias("sure"), "bad", "rows")
+    kept = materialise(kept, "url-kept")
+    # With a token that only bad rows have no longer combination is a rule.
+    unsure = kept.where(F.col("bad") < F.col("rows"))
+    surest = F.array_sort(F.collect_list(F.struct(
+        (-F.col("sure")).alias("a"), (-F.col("bad")).alias("c"), "token")))
+    wide = materialise(
+        rows.select("tokens", "n", "b", F.explode("tokens").alias("token"))
+        .join(unsure.drop("rows"), "token")
+        .groupBy("tokens").agg(F.first("n").alias("n"), F.first("b").alias("b"), surest.alias("_surest"))
+        .select(F.transform("_surest", lambda x: x["token"]).alias("items"), "n", "b")
+        .groupBy("items").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "url-wide")
+    narrow = materialise(wide.groupBy(F.slice("items", 1, p.row_tokens).alias("items")).agg(
+        F.sum("n").alias("n"), F.sum("b").alias("b")), "url-narrow")
+    sets = [kept.select(F.array("token").alias("items"))]
+    cut = wide.where((F.size("items") > p.row_tokens) & (F.col("b") > 0))
+    if not cut.isEmpty():
+        rest = cut.select(F.explode("items").alias("token")).distinct().join(unsure, "token").select(
+            F.array("token").alias("items"), F.col("rows").alias("n"), F.col("bad").alias("b"),
+            F.struct("rows", "token").alias("key"))
+        longer = longer_sets(wide, materialise(rest, "url-longer"), least, p.row_tokens)
+        sets += [] if longer is None else [longer]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Only bad rows propose; a combination's confidence is counted over all rows below.  More
     # equal rows than make a combination frequent change nothing, so no more are written.
     enough = narrow.where(F.col("b") > 0).withColumn("m", F.least("b", F.lit(math.ceil(least))))
     n_bad = enough.agg(F.sum("m")).first()[0]
-    if not n_bad:
-        return spark.createDataFrame([], empty)
     proposing = enough.select("items", "m", F.explode(
         F.sequence(F.lit(0), F.floor((F.col("m") - 1) / WRITTEN))).alias("c")).select(
         "items", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(WRITTEN), F.col("m") - F.col("c") * WRITTEN)
                                           .cast("int")))).select("items")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 1e-6) / n_bad),
-                     minConfidence=p.min_confidence, numPartitions=parts).fit(proposing)
-    proposed = materialise(model.freqItemsets.select(F.array_sort("items").alias("items")), "url-sets")
+    if n_bad:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 1e-6) / n_bad),
+                         minConfidence=p.min_confidence, numPartitions=parts).fit(proposing)
+        sets.append(model.freqItemsets.select(F.array_sort("items").alias("items")))
+    proposed = materialise(reduce(DataFrame.unionByName, sets).distinct(), "url-sets")
     index = proposed.select("items", F.explode("items").alias("token")).join(
         single.select("token", "rows"), "token").groupBy("items").agg(
         F.min(F.struct("rows", "token")).getField("token").alias("key"))
