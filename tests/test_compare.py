@@ -127,3 +127,17 @@ def test_levenshtein_of_null_and_empty(spark):
     df = spark.createDataFrame([(None, ""), ("", None), ("", ""), ("ab", "")], "x string, y string")
     got = [r[0] for r in df.select(levenshtein_similarity(df.x, df.y)).collect()]
     assert got == [None, None, 1.0, 0.0]
+
+
+def test_combinations_become_rows_behind_the_join(kv, pairs, monkeypatch):
+    """The scored stage has a row per pair of profiles and is not broadcast by its file's size."""
+    from twinweave.operators import compare as module
+
+    stages = {}
+    kept = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: stages.setdefault(name, kept(df, name)))
+    s = kv([("a", f"v{i}") for i in range(30)])
+    t = kv([(x, f"v{i}") for x in ("1", "2") for i in range(20)])
+    out = compare(pairs([("a", "1"), ("a", "2")]), [Attribute(s, t, metric="equal")])
+    assert out.count() == 2 * 30 * 20 and stages["scored"].count() == 1
+    assert "merge" in out._jdf.queryExecution().optimizedPlan().toString()

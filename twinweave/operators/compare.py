@@ -143,7 +143,10 @@ def _is_fuzzy(feature: Feature) -> bool:
 
 
 def _score_profiles(combos: DataFrame, features: list[Feature], multi: str) -> DataFrame:
-    """``(s_pid, t_pid, sim_v)`` from rows that hold both profiles."""
+    """``(s_pid, t_pid, f0..)`` from rows that hold both profiles.
+
+    An attribute's column is its best combination, or with ``fanout`` all of them in an array.
+    """
     names = [f"f{i}" for i in range(len(features))]
     pid = ["s_pid", "t_pid"]
     if any(map(_is_fuzzy, features)):
@@ -165,11 +168,10 @@ def _score_profiles(combos: DataFrame, features: list[Feature], multi: str) -> D
             f, F.col(f"s{i}"), F.col(f"t{i}"), F.col(f"d{i}") if _is_fuzzy(f) else None)).alias(n)
         for i, (f, n) in enumerate(zip(features, names))
     ])
-    for feature, name in zip(features, names):
-        if isinstance(feature, Attribute):
-            one = F.array_max(name) if multi == "max" else F.explode(F.col(name))
-            scored = scored.withColumn(name, one)
-    return scored.select(*pid, F.array(*names).alias("sim_v"))
+    if multi == "max":
+        scored = scored.withColumns({
+            n: F.array_max(n) for f, n in zip(features, names) if isinstance(f, Attribute)})
+    return scored
 
 
 def fuzzy_matches(xs: DataFrame, ys: DataFrame, threshold: float) -> DataFrame:
@@ -282,10 +284,15 @@ def _compare_profiles(pairs: DataFrame, values: DataFrame, features: list[Featur
             F.col("pid").alias(pid), *[F.col(n).alias(prefix + n[1:]) for n in names]
         )
         both = lookup_join(both, side, [pid], [other], "left", counts=_counted(combos, pid))
-    scored = materialise(_score_profiles(both, features, multi), "scored")
-    return lookup_join(links, scored, ["s_pid", "t_pid"], PAIR, counts=combos).select(
-        *PAIR, "sim_v"
-    )
+    # Combinations become rows behind the join.  Their files are much smaller than what they
+    # hold, so by size they would be broadcast: the hint has both sides dealt out instead.
+    scored = materialise(_score_profiles(both, features, multi), "scored").hint("merge")
+    vectors = lookup_join(links, scored, ["s_pid", "t_pid"], PAIR, counts=combos).select(*PAIR, *names)
+    if multi == "fanout":
+        for feature, name in zip(features, names):
+            if isinstance(feature, Attribute):
+                vectors = vectors.withColumn(name, F.explode(F.col(name)))
+    return vectors.select(*PAIR, F.array(*names).alias("sim_v"))
 
 
 def _counted(df: DataFrame, *by: str) -> DataFrame:
