@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from twinweave.schema import LEVEL_SEPARATOR
 
+# Send these small functions with the tasks, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NEGATED_CLASS = re.compile(r"\[\^((?:[^\[\]\\&^]|\\[^QE])+)\]\+")
 
 
@@ -63,3 +72,36 @@ def keep_fraction(rate: float, *columns: str, seed: int) -> Column:
         return F.lit(True)
     limit = format(int(rate * 16**8), "08x")
     return F.substring(pair_order(*columns, seed=seed, use="thin"), 1, 8) < limit
+
+
+def low_ranks(words: pa.Array, counts: np.ndarray, max_len: int) -> Callable:
+    """Task that writes a row per word of the last column that can be of the ``max_len`` rarest.
+
+    ``words`` are known words and ``counts`` how often they occur.  Of them only those of a row's
+    ``max_len`` lowest counts are written; words that are not known always are.
+    """
+    none = np.iinfo(np.int64).max
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(batch.num_columns - 1)), 0))
+            if not batch.num_rows:
+                continue
+            lists = batch.column(batch.num_columns - 1)
+            n = pc.list_value_length(lists).to_numpy()
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=words)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            cnt = np.full(len(flat), none)
+            cnt[known] = counts[at.drop_null().to_numpy()]
+            starts = np.cumsum(n) - n
+            bound = np.full(len(n), -1)
+            for _ in range(max_len):
+                bound = np.minimum.reduceat(np.where(cnt > np.repeat(bound, n), cnt, none), starts)
+            kept = np.flatnonzero(~known | (cnt <= np.repeat(bound, n)))
+            row = pa.array(np.repeat(np.arange(len(n)), n)[kept])
+            columns = [batch.column(i).take(row) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, flat.take(pa.array(kept))], names=[*batch.schema.names[:-1], "word"])
+
+    return written

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinweave.config import ASCII_TOKENS
-from twinweave.functions.text import tokens, value_id
+from twinweave.functions.text import low_ranks, tokens, value_id
 from twinweave.operators.skew import balanced_join, default_tasks, lookup_join
 from twinweave.schema import WORD_SEPARATOR
 from twinweave.sources.stage import materialise
 
-# A word is common when it makes up more than 1/COMMON_SHARE of all occurrences, so
-# there are fewer than COMMON_SHARE common words in any data.
-COMMON_SHARE = 1000
+# Words whose counts every task is told, in some 10 MB, before it hands on any.
+KNOWN_WORDS = 500_000
 
 
 def tokenize(kv: DataFrame, pattern: str = ASCII_TOKENS) -> DataFrame:
@@ -39,17 +41,32 @@ def word_frequency(*sides: tuple[DataFrame, str] | DataFrame) -> DataFrame:
     )
 
 
+def commonest(frequency: DataFrame, n: int) -> tuple[pa.Array, np.ndarray]:
+    """At most ``n`` of the commonest words, and their counts; what a task is told beforehand."""
+    step = F.floor(F.log2("cnt") * 16)
+    least, total = None, 0
+    for r in sorted(frequency.where(F.col("cnt") > 0).groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > n:
+            break
+        least = r["step"]
+    found = frequency.where(F.lit(False) if least is None else (F.col("cnt") > 0) & (step >= least)).groupBy(
+        "word").agg(F.min("cnt").cast("bigint").alias("cnt")).toArrow()
+    return found.column("word").combine_chunks().cast(pa.string()), found.column("cnt").to_numpy()
+
+
 def rare_words(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
-               pattern: str = ASCII_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+               pattern: str = ASCII_TOKENS, keep: tuple[str, ...] = (),
+               known_words: int = KNOWN_WORDS) -> DataFrame:
     """``(keep..., sub, value, word, cnt)``: the words of the ``max_len`` rarest ranks.
 
     Words of equal frequency share a rank.  ``frequency`` should be a stage: it is read
     several times.
 
-    Two measures keep frequent words from dominating the shuffle.  With
-    ``max_len == 1`` a value that holds any uncommon word needs none of its common
-    ones, and they are dropped before the explode; words that still hold more than a
-    task's share are spread over tasks.
+    Two measures keep frequent words from dominating the shuffle.  Of the commonest words,
+    ``known_words`` at most, every task knows the counts, and of a value's it hands on only
+    the ``max_len`` lowest ranks; the others are ranked after a join.  Words that still hold
+    more than a task's share are spread over tasks.
     """
     if max_len < 1:
         raise ValueError("max_len must be at least 1")
@@ -57,21 +74,11 @@ def rare_words(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
         *keep, "sub", value_id(F.lower("obj")).alias("value"),
         F.array_distinct(tokens(F.col("obj"), pattern)).alias("found"),
     )
-    if max_len == 1:
-        total = frequency.agg(F.sum("cnt")).scalar()
-        common = (
-            frequency.where(F.col("cnt") * COMMON_SHARE > total)
-            .agg(F.collect_list("word").alias("common")).scalar()
-        )
-        values = values.withColumn("rest", F.array_except("found", common)).withColumn(
-            "found", F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.col("found"))
-        )
-    # explode_outer: for explode the optimizer adds a filter that tokenizes again.
-    exploded = values.select(
-        *keep, "sub", "value", F.explode_outer("found").alias("word")
-    ).where(F.col("word").isNotNull())
+    words, counts = commonest(frequency, known_words)
+    fields = [*values.schema.fields[:-1], T.StructField("word", T.StringType())]
+    handed = values.mapInArrow(low_ranks(words, counts, max_len), T.StructType(fields))
     counted = lookup_join(
-        exploded, frequency, ["word"], ["sub", "value"],
+        handed, frequency, ["word"], ["sub", "value"],
         counts=frequency.select("word", F.col("cnt").alias("n")),
         n_tasks=default_tasks(kv.sparkSession),
     )
