@@ -85,3 +85,13 @@ def test_empty_inputs(spark, skewed):
     none = left.where("a < 0")
     assert balanced_join(none, right, ["key"], ["a"], ["b"], 4, 0.0).count() == 0
     assert load_report(none, right, ["key"], 4).count() == 0
+
+
+def test_few_rows_of_many_pairs_make_them_in_several_tasks(spark, monkeypatch):
+    from twinweave.operators import skew
+
+    monkeypatch.setattr(skew, "TASK_PAIRS", 500)
+    left = spark.createDataFrame([(i, f"k{i % 3}") for i in range(300)], "a int, key string")
+    joined = balanced_join(left, left.withColumnRenamed("a", "b"), ["key"], ["a"], ["b"], 40, 0.0)
+    assert joined.count() == 3 * 100 * 100
+    assert joined.select(F.spark_partition_id()).distinct().count() > 8
