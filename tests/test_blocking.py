@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from twinweave.operators.blocking import (
     Level, _pattern_rows, block_keys, candidate_pairs, instances, key_table, pair_load, partition_keys,
@@ -213,3 +214,34 @@ def test_a_value_of_very_many_words_pairs_as_rows(spark, kv):
         assert "collect_set" not in plan and "collect_list" not in plan
         got = {k for s, k in rows(keys) if s == "hot"}
     assert got == {f"{a}@{b}" for a in rare for b in common[2:]}
+
+
+def test_pairs_ask_for_tasks_whatever_the_rows(spark, kv, monkeypatch):
+    from twinweave.operators import blocking, skew
+
+    for module in (blocking, skew):
+        monkeypatch.setattr(module, "TASK_PAIRS", 100)
+    s, t = kv([(f"s{i}", "same title") for i in range(40)]), kv([(f"t{i}", "same title") for i in range(40)])
+    with split_from(spark, 1_000, 100):
+        keys = block_keys(s, t, [Level(s, t, None)])
+        met = blocking.met_pairs(blocking._pattern_rows(keys)[0], None)
+        assert met.select(F.spark_partition_id()).distinct().count() > 8
+        assert candidate_pairs(keys).count() == 1_600
+
+
+def test_words_that_can_be_no_key_are_not_handed_on(kv, monkeypatch):
+    from twinweave.operators import words
+
+    handed = []
+    joined = words.lookup_join
+    monkeypatch.setattr(words, "lookup_join", lambda left, *a, **b: handed.append(left) or joined(left, *a, **b))
+    common = [f"w{i}" for i in range(50)]
+    df = kv([(f"s{j}", " ".join([f"r{j}", *common])) for j in range(20)]
+            + [("z", " ".join(w for i, w in enumerate(common) for _ in range(i + 1))), ("n", None), ("e", "")])
+    frequency = word_frequency(df)
+    want = rows(rare_word_keys(df, frequency, 2))
+    assert handed[0].count() == 2 * 21 and len(want) == 21
+    for max_len in (1, 2, 3):
+        every, few, none = (
+            rows(words.rare_words(df, frequency, max_len, known_words=n)) for n in (1_000, 10, 0))
+        assert every == few == none and every
