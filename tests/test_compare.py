@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from conftest import rows
 
-from twinweave.functions.similarity import first_free
+from twinweave.functions.similarity import first_free, short_ratios
 from twinweave.operators.compare import (
     Attribute, Relation, attribute_similarity, compare, fuzzy_matches, relation_similarity,
 )
@@ -141,3 +141,24 @@ def test_combinations_become_rows_behind_the_join(kv, pairs, monkeypatch):
     out = compare(pairs([("a", "1"), ("a", "2")]), [Attribute(s, t, metric="equal")])
     assert out.count() == 2 * 30 * 20 and stages["scored"].count() == 1
     assert "merge" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_ratios_equal_the_matcher():
+    rng = random.Random(11)
+    for alphabet, longest in (("ab", 9), ("abcde/.", 50), ("abcdefghij\U0001f600\u00e9", 199)):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, longest))) for _ in range(400)]
+        met = [(x, y) for x, y in zip(texts, texts[::-1]) if x != y]
+        expected = [SequenceMatcher(None, x, y).ratio() for x, y in met]
+        assert short_ratios(*map(list, zip(*met)), together=64).tolist() == expected
+
+
+def test_ratio_of_short_long_null_and_equal_values(kv, pairs):
+    rng = random.Random(12)
+    sides = [[None if i % 9 == 0 else "".join(rng.choice("abcdef") for _ in range(rng.choice([0, 7, 40, 199, 200, 260])))
+              for i in range(60)] for _ in range(2)]
+    sides[1][5] = sides[0][5]
+    s, t = (kv([(f"{n}{i // 2}", v) for i, v in enumerate(vs)]) for n, vs in zip("st", sides))
+    got = attribute_similarity(pairs([(f"s{i}", f"t{i}") for i in range(30)]), s, t, default=0.3)
+    assert rows(got) == sorted(((
+        f"s{i}", f"t{i}", 0.3 if x is None or y is None else SequenceMatcher(None, x, y).ratio())
+        for i in range(30) for x in sides[0][2 * i:2 * i + 2] for y in sides[1][2 * i:2 * i + 2]), key=repr)
