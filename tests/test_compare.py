@@ -162,3 +162,29 @@ def test_ratio_of_short_long_null_and_equal_values(kv, pairs):
     assert rows(got) == sorted(((
         f"s{i}", f"t{i}", 0.3 if x is None or y is None else SequenceMatcher(None, x, y).ratio())
         for i in range(30) for x in sides[0][2 * i:2 * i + 2] for y in sides[1][2 * i:2 * i + 2]), key=repr)
+
+
+def test_few_bytes_for_the_matcher_are_dealt_to_several_tasks(spark, kv, pairs, monkeypatch):
+    """Behind a join by the same columns too, where the planner would drop a plain repartition."""
+    from twinweave.operators import compare as module
+
+    tasks = {}
+    keep = module.materialise
+
+    def noted(df, name):
+        out = keep(df, name)
+        tasks[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(module, "materialise", noted)
+    monkeypatch.setattr(module, "TASK_MATCHES", 10)
+    s, t = kv([(f"s{i}", f"left {i}") for i in range(20)]), kv([(f"t{i}", f"right {i}") for i in range(20)])
+    met = pairs([(f"s{i}", f"t{j}") for i in range(20) for j in range(20)])
+    assert attribute_similarity(met, s, t).count() == 400
+    assert tasks["scored"] == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert compare(met, [Attribute(s, t), Relation(s, t)]).count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tasks["scored"] == 4
