@@ -245,3 +245,35 @@ def test_words_that_can_be_no_key_are_not_handed_on(kv, monkeypatch):
         every, few, none = (
             rows(words.rare_words(df, frequency, max_len, known_words=n)) for n in (1_000, 10, 0))
         assert every == few == none and every
+
+
+def test_words_are_counted_over_bytes(kv, monkeypatch):
+    """Every plain pattern gives the words of its regular expression, each once per task and text."""
+    from twinweave.functions import text as functions
+    from twinweave.operators import words
+
+    odd = ["", None, "a", "b", ".", "A-b..c A", "\u0130x K\u212a \u00e9t\u00e9 9", "x" * 40, " y", "y ", "tail", "a a\ta\nb"]
+    df = kv([(f"s{i}", v) for i, v in enumerate(odd * 2)] + [("s0", "a b"), ("s0", "b c")])
+    for pattern in (PATTERN, "[^a-z]+", "[^0-9._]+"):
+        counted = word_frequency((df, pattern))
+        assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+        lowered = [r[0] for r in df.select(F.lower("obj")).collect() if r[0]]
+        want = Counter(w for v in lowered for w in re.split(pattern, v) if w)
+        assert {r.word: r.cnt for r in counted.collect()} == want
+        many = [rows(words.rare_words(df, counted, n, pattern)) for n in (1, 2)]
+        assert all(many)
+        # The same of a pattern that is left to the regular expression.
+        spelt = pattern.replace("]+", "\\x00]+")
+        assert functions.word_bytes(pattern) is not None and functions.word_bytes(spelt) is None
+        assert rows(word_frequency((df, spelt))) == rows(counted)
+        assert [rows(words.rare_words(df, counted, n, spelt).distinct()) for n in (1, 2)] == [
+            sorted(set(m), key=repr) for m in many]
+    monkeypatch.setattr(functions, "WINDOW", 4)
+    monkeypatch.setattr(functions, "HELD_WORDS", 2)
+    task = functions.count_words(functions.word_bytes(PATTERN))
+    import pyarrow as pa
+    texts = pa.array(["ab cd ef", "", "gh", "ij ab", "ab"]).slice(1)
+    sums = Counter()
+    for batch in task([pa.record_batch([texts], names=["text"])]):
+        sums.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+    assert sums == {"gh": 1, "ij": 1, "ab": 2}
