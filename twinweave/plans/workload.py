@@ -195,14 +195,16 @@ def stream_candidate_pairs(spark, d):
     docs = Documents(spark, d)
     text = docs.text()
     frequency = materialise(word_frequency(*text), "word-frequency")
-    sides = []
-    for db, kv, known in zip(PAIR, text, docs.quality()):
-        quality = known.groupBy("sub").agg(F.collect_set("obj").alias("quality"))
-        sides.append(kv.join(quality, "sub", "left").select(
-            "sub", F.lit(db).alias("db"), F.array("quality", F.array("obj")).alias("values")))
+    both, known = (
+        side[0].withColumn("db", F.lit("source")).unionByName(side[1].withColumn("db", F.lit("target")))
+        for side in (text, docs.quality())
+    )
+    # A label is one of its document, on whichever side that stands; texts travel once.
+    quality = known.groupBy("sub").agg(F.collect_set("obj").alias("quality"))
+    arrived = both.repartition(max(BATCHES, default_tasks(spark)), "sub").join(quality, "sub", "left").select(
+        "sub", "db", F.array("quality", F.array("obj")).alias("values"))
     root = f"{stage_root(spark)}/twinweave/feed-{uuid.uuid4().hex}"
-    sides[0].unionByName(sides[1]).repartition(max(BATCHES, default_tasks(spark)), "sub").write.parquet(
-        f"{root}/arrived")
+    arrived.write.parquet(f"{root}/arrived")
     files = len(spark.read.schema(ARRIVING).parquet(f"{root}/arrived").inputFiles())
     arriving = (
         spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", -(-files // BATCHES))

@@ -90,8 +90,11 @@ def _level_values(arrived: DataFrame, i: int, level: FeedLevel) -> DataFrame:
 def batch_keys(batch: DataFrame, standing: DataFrame, levels: list[FeedLevel], missing: str) -> DataFrame:
     """Rows of the key log for the instances of ``batch`` that are not standing yet."""
     usable = batch.where(F.col("sub").isNotNull() & F.col("db").isin(*PAIR))
-    arrived = materialise(
-        usable.join(standing.select("sub", "db"), ["sub", "db"], "left_anti"), "arrived")
+    # Only names meet the standing ones; texts need not travel while few instances come again.
+    again = materialise(
+        standing.select("sub", "db").join(usable.select("sub", "db"), ["sub", "db"], "left_semi").distinct(),
+        "standing-instances")
+    arrived = materialise(usable.join(again, ["sub", "db"], "left_anti"), "arrived")
     start = arrived.select("sub", "db", F.array().cast("array<string>").alias("path")).distinct()
     values = tuple(materialise(_level_values(arrived, i, level), "level-values")
                    for i, level in enumerate(levels))
