@@ -5,6 +5,7 @@ from conftest import rows
 
 from twinweave.operators.blocking import Level, block_keys, candidate_pairs
 from twinweave.schema import LABELS, PAIR
+from twinweave.sources import stage_root
 from twinweave.streaming.candidate_feed import (
     ARRIVING, FeedLevel, compact_feed, follow_instances, key_log, new_pairs, pair_log, seed_feed,
 )
@@ -161,3 +162,30 @@ def test_no_pairs_without_new_instances(spark, tmp_path):
     log = key_log(spark, str(tmp_path), 1)
     log.seed(spark.createDataFrame([("a", "source", [], 1, "k"), ("b", "target", [], 1, "k")], log.schema))
     assert new_pairs(log.delta(0), log.read(0), 1).count() == 0
+
+
+def test_texts_of_new_instances_are_not_shuffled(spark, monkeypatch):
+    from twinweave.streaming import candidate_feed
+
+    plans = []
+    written = candidate_feed.materialise
+
+    def kept(df, name):
+        if name == "arrived":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(candidate_feed, "materialise", kept)
+    log = key_log(spark, f"{stage_root(spark)}/texts-not-shuffled", 1)
+    log.seed(spark.createDataFrame(
+        [(f"old{i:05d}", "source", [], 1, f"k{i}") for i in range(3_000)], log.schema))
+    batch = spark.createDataFrame([("old00007", "source", [["k"]]), ("new", "source", [["k"]]), (None, "source", [["k"]])],
+                                  ARRIVING)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8192")
+    try:
+        keys = candidate_feed.batch_keys(batch, log.read(0), [FeedLevel()], "wildcard")
+        assert [r.sub for r in keys.collect()] == ["new"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(sub" not in plans[0], plans[0]
