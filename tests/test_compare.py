@@ -188,3 +188,25 @@ def test_few_bytes_for_the_matcher_are_dealt_to_several_tasks(spark, kv, pairs,
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert tasks["scored"] == 4
+
+
+@pytest.mark.parametrize("multi", ["fanout", "max"])
+def test_row_form_compares_copies_once(kv, pairs, monkeypatch, multi):
+    from twinweave.operators import compare as module
+
+    asked = []
+    overlap = module._row_overlap
+    monkeypatch.setattr(
+        module, "_row_overlap", lambda met, *a: asked.append((met.count(), a[0].count())) or overlap(met, *a))
+    lines = ["x", "y", "z", "z"]
+    s = kv([(f"s{i}", v) for i in range(5) for v in lines] + [("few", "x"), ("odd", "x"), ("odd", None)])
+    t = kv([(f"t{i}", v) for i in range(4) for v in [*lines, "w"]] + [("u", v) for v in ("x", None, "x", "y")])
+    met = pairs([(a, b) for a in ("s0", "s1", "s2", "s3", "s4", "odd", "few", "none", "nil")
+                 for b in ("t0", "t1", "t2", "t3", "u", "void")] + [(None, "t0"), ("s0", None)])
+    features = [Relation(s, t, default=0.2, threshold=1.0), Attribute(s, t, default=0.3, metric="equal")]
+    want = rows(compare(met.na.drop(), features, multi))
+    asked.clear()
+    # Every value makes its instance large; the pairs of two without values stay profiles.
+    assert rows(compare(met, features, multi, 0)) == want
+    # s0 to s4, odd, few and both without values, with t0 to t3, u and the one without values.
+    assert asked == [(4 * 3 - 1, 3 + 1 + 1 + 4 + 2)]

@@ -80,13 +80,23 @@ def _values(features: list[Feature]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _instances_of(pairs: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        pairs.select(F.lit(side).alias("db"), F.col(side).alias("sub")).distinct() for side in PAIR])
+
+
 def _of_paired(values: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Values of the instances that stand in a pair, and ``(db, sub, n)`` of them."""
-    paired = materialise(reduce(DataFrame.unionByName, [
-        pairs.select(F.lit(side).alias("db"), F.col(side).alias("sub")).distinct() for side in PAIR
-    ]), "paired-instances")
+    """Values of the instances that stand in a pair, and ``(db, sub, n, h1, h2)`` of them.
+
+    ``n`` and two sums of 64-bit hashes tell values apart, each as often as it occurs.
+    """
+    paired = materialise(_instances_of(pairs), "paired-instances")
+    held = [F.lit("value"), F.col("f"), F.col("val").isNull(), F.col("val")]
+    sums = [F.sum(F.xxhash64(*h).cast("decimal(38,0)")) for h in (held, [F.lit("again"), *held])]
     sizes = materialise(
-        _counted(values, "db", "sub").join(paired, ["db", "sub"], "left_semi"), "sizes")
+        values.groupBy("db", "sub").agg(
+            F.count(F.lit(1)).alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(sums, 1)]
+        ).join(paired, ["db", "sub"], "left_semi"), "sizes")
     return lookup_join(values, paired, ["db", "sub"], ["f", "val"], "left_semi", counts=sizes), sizes
 
 
@@ -253,7 +263,8 @@ def compare(pairs: DataFrame, features: list[Feature], multi: str = "fanout",
     if not features:
         raise ValueError("at least one feature is needed")
     pairs = materialise(pairs.select(*PAIR), "pairs")
-    values, sizes = _of_paired(_values(features), pairs)
+    every = _values(features)
+    values, sizes = _of_paired(every, pairs)
     large = sizes.where(F.col("n") > profile_values)
     if large.isEmpty():
         return _compare_profiles(pairs, values, features, multi)
@@ -273,7 +284,7 @@ def compare(pairs: DataFrame, features: list[Feature], multi: str = "fanout",
     return _compare_profiles(
         tagged.where(~F.col("large")).select(*PAIR), small, features, multi
     ).unionByName(
-        compare_rows(tagged.where("large").select(*PAIR), values, features, multi)
+        compare_rows(tagged.where("large").select(*PAIR), every, sizes, features, multi)
     )
 
 
@@ -314,17 +325,51 @@ def _counted(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def compare_rows(pairs: DataFrame, values: DataFrame, features: list[Feature],
+def compare_rows(pairs: DataFrame, values: DataFrame, sizes: DataFrame, features: list[Feature],
                  multi: str = "fanout") -> DataFrame:
-    """``compare`` without gathering the values of an instance anywhere."""
+    """``compare`` without gathering the values of an instance anywhere.
+
+    ``sizes`` are those of ``_of_paired``.  Instances of the same values stand for each other,
+    so a group of copies costs one comparison here too.
+    """
     pairs = materialise(pairs, "row-pairs")
+    same = ["db", "size", "h1", "h2"]
+    held = materialise(
+        _instances_of(pairs).join(sizes.withColumnRenamed("n", "size"), ["db", "sub"], "left")
+        .fillna(0, same[1:]), "row-instances")
+    firsts = materialise(
+        held.groupBy(*same).agg(F.min("sub").alias("first"), F.count(F.lit(1)).alias("n")), "row-firsts")
+    named = materialise(lookup_join(
+        held, firsts.select(*same, "first"), same, ["sub"], counts=firsts.select(*same, "n")
+    ).select("db", "sub", "first"), "row-names")
+    linked = pairs
+    for side, other in ((SOURCE, TARGET), (TARGET, SOURCE)):
+        found = named.where(F.col("db") == side).select(
+            F.col("sub").alias(side), F.col("first").alias(f"_{side}"))
+        linked = lookup_join(linked, found, [side], [other], counts=_counted(pairs, side))
+    linked = materialise(linked.select(*PAIR, *[f"_{side}" for side in PAIR]), "row-links")
+    on = [f"_{side}" for side in PAIR]
+    combos = materialise(_counted(linked, *on), "row-combos")
+    asked = firsts.select("db", F.col("first").alias("sub"))
+    scored = materialise(_score_rows(
+        combos.select(*[F.col(f"_{side}").alias(side) for side in PAIR]),
+        lookup_join(values, asked, ["db", "sub"], ["f", "val"], "left_semi", counts=sizes), features, multi
+    ).withColumnsRenamed(dict(zip(PAIR, on))), "row-scored").hint("merge")
+    counts = combos.withColumnRenamed("n", "nl").join(
+        _counted(scored, *on).withColumnRenamed("n", "nr"), on)
+    return balanced_join(linked, scored, on, PAIR, ["sim_v"], counts=counts).select(*PAIR, "sim_v")
+
+
+def _score_rows(pairs: DataFrame, values: DataFrame, features: list[Feature], multi: str) -> DataFrame:
+    """``(source, target, sim_v)`` of distinct ``pairs``, a stage."""
     out = pairs
     for i, feature in enumerate(features):
-        held = materialise(values.where(F.col("f") == i).select("db", "sub", "val"), "values")
         name = f"f{i}"
+        here = values.where(F.col("f") == i).select("db", "sub", "val")
         if isinstance(feature, Relation):
-            out = out.join(_row_overlap(pairs, held.distinct(), feature, name), PAIR)
+            out = out.join(_row_overlap(pairs, materialise(here.distinct(), "values"), feature, name), PAIR)
             continue
+        held = materialise(here, "values")
         rows = _attach(_attach(pairs, held, SOURCE, "_s"), held, TARGET, "_t").select(
             *PAIR, _grid(feature, F.array("_s"), F.array("_t"))[0].alias(name)
         )
