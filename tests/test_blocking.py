@@ -277,3 +277,35 @@ def test_words_are_counted_over_bytes(kv, monkeypatch):
     for batch in task([pa.record_batch([texts], names=["text"])]):
         sums.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
     assert sums == {"gh": 1, "ij": 1, "ab": 2}
+
+
+def test_known_words_are_not_handed_on_beside_rarer_ones(kv, monkeypatch):
+    """Where every word is counted, words that are not known take ranks before the known ones."""
+    from twinweave.operators import words
+
+    handed = []
+    joined = words.lookup_join
+    monkeypatch.setattr(words, "lookup_join", lambda left, *a, **b: handed.append(left) or joined(left, *a, **b))
+    df = kv([(f"s{j}", f"r{j} q{j // 2} a b c") for j in range(20)] + [("z", "a b c c"), ("q", "q1 b"), ("e", "")])
+    frequency = word_frequency(df)
+    for max_len, few, many in ((1, 42, 63), (2, 65, 105)):
+        want = rows(words.rare_words(df, frequency, max_len, known_words=3))
+        assert rows(words.rare_words(df, frequency, max_len, known_words=3, counted=True)) == want
+        assert [handed.pop().count() for _ in range(2)] == [few, many]
+        for n in (1_000, 0):
+            assert rows(words.rare_words(df, frequency, max_len, known_words=n, counted=True)) == want
+
+
+def test_values_of_a_level_are_counted_once(kv, monkeypatch):
+    from twinweave.operators import blocking
+
+    counts = []
+    joined = blocking.lookup_join
+    monkeypatch.setattr(
+        blocking, "lookup_join", lambda *a, **b: counts.append(b.get("counts")) or joined(*a, **b))
+    s, t = kv([("a", "x y"), ("b", "")]), kv([("c", "x"), ("d", "y z")])
+    keys = block_keys(s, t, [Level(s, t)])
+    valued = rows(blocking.valued(keys).select("sub", "db", "v0", "mask"))
+    assert valued == [("a", "source", "x", 1), ("a", "source", "y", 1), ("b", "source", None, 0),
+                      ("c", "target", "x", 1), ("d", "target", "z", 1)]
+    assert rows(counts[0]) == [("a", "source", 2), ("c", "target", 1), ("d", "target", 1)]

@@ -144,11 +144,12 @@ def count_words(held: np.ndarray) -> Callable:
 
 
 def low_ranks(words: pa.Array, counts: np.ndarray, max_len: int,
-              held: np.ndarray | None = None) -> Callable:
+              held: np.ndarray | None = None, counted: bool = False) -> Callable:
     """Task that writes a row per word of the last column that can be of the ``max_len`` rarest.
 
     ``words`` are known words and ``counts`` how often they occur.  Of them only those of a row's
-    ``max_len`` lowest counts are written; words that are not known always are.  The last column
+    ``max_len`` lowest counts are written; words that are not known always are.  With ``counted``
+    those are sure to be rarer than all known words, and take a rank.  The last column
     has texts whose words are runs of ``held`` bytes, or lists of words when ``held`` is None.
     """
     none = np.iinfo(np.int64).max
@@ -171,8 +172,10 @@ def low_ranks(words: pa.Array, counts: np.ndarray, max_len: int,
                 starts = np.flatnonzero(np.diff(row, prepend=-1))
                 n = np.diff(np.append(starts, len(row)))
                 bound = np.full(len(n), -1)
-                for _ in range(max_len):
-                    bound = np.minimum.reduceat(np.where(cnt > np.repeat(bound, n), cnt, none), starts)
+                ranks = max_len - (np.logical_or.reduceat(~known, starts) if counted and len(starts) else 0)
+                for i in range(max_len):
+                    higher = np.minimum.reduceat(np.where(cnt > np.repeat(bound, n), cnt, none), starts)
+                    bound = np.where(i < ranks, higher, bound)
                 kept = np.flatnonzero(~known | (cnt <= np.repeat(bound, n)))
                 # A word of a text once.
                 coded = flat.take(pa.array(kept)).dictionary_encode()

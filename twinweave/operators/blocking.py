@@ -123,12 +123,13 @@ def level_values(level: Level) -> DataFrame:
     target = level.target.withColumn("db", F.lit(TARGET))
     if (target_pattern, target_max_len) == (level.pattern, level.max_len):
         keys = rare_word_keys(
-            source.unionByName(target), frequency, level.max_len, level.pattern, ("db",)
+            source.unionByName(target), frequency, level.max_len, level.pattern, ("db",), counted=True
         )
     else:
         keys = rare_word_keys(
-            source, frequency, level.max_len, level.pattern, ("db",)
-        ).unionByName(rare_word_keys(target, frequency, target_max_len, target_pattern, ("db",)))
+            source, frequency, level.max_len, level.pattern, ("db",), counted=True
+        ).unionByName(rare_word_keys(
+            target, frequency, target_max_len, target_pattern, ("db",), counted=True))
     return keys.withColumnRenamed("key", "new_key")
 
 
@@ -198,20 +199,16 @@ def _two_sided(known: DataFrame) -> DataFrame:
 
     Keys that hold the same instances on both sides give the same pairs, so one of
     them is enough: a group of copies meets once, not once per rare word.  Sets are
-    compared by size and by two sums of 64-bit hashes per side, which no repetition cancels.
+    compared by size and by two sums of 64-bit hashes over both sides, which no repetition cancels.
     """
     hashes = {
-        "h1": F.xxhash64("sub"),
-        "h2": F.xxhash64(F.lit("again"), "sub"),
+        "h1": F.xxhash64("db", "sub"),
+        "h2": F.xxhash64(F.lit("again"), "db", "sub"),
     }
-    aggregates = []
-    for db, n in ((SOURCE, "nl"), (TARGET, "nr")):
-        here = F.col("db") == db
-        aggregates.append(F.count(F.when(here, 1)).alias(n))
-        aggregates += [
-            F.sum(F.when(here, h).cast("decimal(38,0)")).alias(f"{n}_{name}") for name, h in hashes.items()
-        ]
-    identity = ["nl", "nr", "nl_h1", "nl_h2", "nr_h1", "nr_h2"]
+    aggregates = [
+        F.count(F.when(F.col("db") == db, 1)).alias(n) for db, n in ((SOURCE, "nl"), (TARGET, "nr"))
+    ] + [F.sum(h.cast("decimal(38,0)")).alias(name) for name, h in hashes.items()]
+    identity = ["nl", "nr", "h1", "h2"]
     return (
         known.groupBy(*_KEY).agg(*aggregates)
         .where((F.col("nl") > 0) & (F.col("nr") > 0))
@@ -232,9 +229,10 @@ def valued(keys: BlockKeys) -> DataFrame:
     rows = keys.start
     for i, values in enumerate(keys.values):
         named = values.withColumnRenamed("new_key", f"v{i}")
+        held = materialise(values.groupBy("sub", "db").agg(F.count(F.lit(1)).alias("n")), "valued-instances")
         n = rows.groupBy("sub", "db").agg(F.count(F.lit(1)).alias("n"))
-        known = lookup_join(named, rows, ["sub", "db"], [f"v{i}"], counts=None if i == 0 else n)
-        lacking = rows.join(values.select("sub", "db").distinct(), ["sub", "db"], "left_anti")
+        known = lookup_join(named, rows, ["sub", "db"], [f"v{i}"], counts=held if i == 0 else n)
+        lacking = rows.join(held.select("sub", "db"), ["sub", "db"], "left_anti")
         rows = known.unionByName(lacking.withColumn(f"v{i}", F.lit(None).cast("string")))
         if i + 1 < len(keys.values):
             rows = materialise(rows, "valued")

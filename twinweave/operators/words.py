@@ -52,22 +52,25 @@ def commonest(frequency: DataFrame, n: int) -> tuple[pa.Array, np.ndarray]:
         if total > n:
             break
         least = r["step"]
-    found = frequency.where(F.lit(False) if least is None else (F.col("cnt") > 0) & (step >= least)).groupBy(
-        "word").agg(F.min("cnt").cast("bigint").alias("cnt")).toArrow()
-    return found.column("word").combine_chunks().cast(pa.string()), found.column("cnt").to_numpy()
+    found = frequency.where(F.lit(False) if least is None else (F.col("cnt") > 0) & (step >= least)).select(
+        "word", F.col("cnt").cast("bigint").alias("cnt")).toArrow()
+    # A given table may hold a word twice; these are at most n rows.
+    found = found.group_by("word", use_threads=False).aggregate([("cnt", "min")])
+    return found.column("word").combine_chunks().cast(pa.string()), found.column("cnt_min").to_numpy()
 
 
 def rare_words(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
                pattern: str = ASCII_TOKENS, keep: tuple[str, ...] = (),
-               known_words: int = KNOWN_WORDS) -> DataFrame:
+               known_words: int = KNOWN_WORDS, counted: bool = False) -> DataFrame:
     """``(keep..., sub, value, word, cnt)``: the words of the ``max_len`` rarest ranks.
 
     Words of equal frequency share a rank.  ``frequency`` should be a stage: it is read
-    several times.
+    several times.  ``counted`` states that it has every word of ``kv``, once.
 
     Two measures keep frequent words from dominating the shuffle.  Of the commonest words,
     ``known_words`` at most, every task knows the counts, and of a value's it hands on only
-    the ``max_len`` lowest ranks; the others are ranked after a join.  Words that still hold
+    the ``max_len`` lowest ranks, one less beside rarer words if these are sure to be ``counted``;
+    the others are ranked after a join.  Words that still hold
     more than a task's share are spread over tasks.
     """
     if max_len < 1:
@@ -78,8 +81,8 @@ def rare_words(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
         *keep, "sub", value_id(F.lower("obj")).alias("value"), found.alias("found"))
     words, counts = commonest(frequency, known_words)
     fields = [*values.schema.fields[:-1], T.StructField("word", T.StringType())]
-    handed = values.mapInArrow(low_ranks(words, counts, max_len, held), T.StructType(fields))
-    counted = lookup_join(
+    handed = values.mapInArrow(low_ranks(words, counts, max_len, held, counted), T.StructType(fields))
+    joined = lookup_join(
         handed, frequency, ["word"], ["sub", "value"],
         counts=frequency.select("word", F.col("cnt").alias("n")),
         n_tasks=default_tasks(kv.sparkSession),
@@ -87,18 +90,19 @@ def rare_words(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
     # A window holds the words of one value, i.e. of one input cell.
     of_value = Window.partitionBy(*keep, "sub", "value")
     if max_len == 1:
-        ranked = counted.withColumn("_first", F.min("cnt").over(of_value))
+        ranked = joined.withColumn("_first", F.min("cnt").over(of_value))
         kept = ranked.where(F.col("cnt") == F.col("_first"))
     else:
-        ranked = counted.withColumn("_rank", F.dense_rank().over(of_value.orderBy("cnt")))
+        ranked = joined.withColumn("_rank", F.dense_rank().over(of_value.orderBy("cnt")))
         kept = ranked.where(F.col("_rank") <= max_len)
     return kept.select(*keep, "sub", "value", "word", "cnt")
 
 
 def rare_word_keys(kv: DataFrame, frequency: DataFrame, max_len: int = 1,
-                   pattern: str = ASCII_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+                   pattern: str = ASCII_TOKENS, keep: tuple[str, ...] = (),
+                   counted: bool = False) -> DataFrame:
     """``(keep..., sub, key)``, distinct.  A ``sub`` without any token has no row."""
-    words = rare_words(kv, frequency, max_len, pattern, keep)
+    words = rare_words(kv, frequency, max_len, pattern, keep, counted=counted)
     if max_len == 1:
         return words.select(*keep, "sub", F.col("word").alias("key")).distinct()
     # Words of several ranks pair as rows; a value of very many words is cut by hash.

@@ -91,7 +91,7 @@ def _keys(kvs, max_len):
     both = kvs[0].withColumn("db", F.lit("source")).unionByName(
         kvs[1].withColumn("db", F.lit("target"))
     )
-    return rare_word_keys(both, frequency, max_len, keep=("db",))
+    return rare_word_keys(both, frequency, max_len, keep=("db",), counted=True)
 
 
 def rare_word_keys_1(spark, d):
