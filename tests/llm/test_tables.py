@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from twinweave.llm.mixing import MixParams, mix_sources, mixed_blocks, mixed_documents, source_targets, words_taken
 from twinweave.llm.neighbours import LshParams, nearest
 from twinweave.llm.packing import PackParams, best_fit, pack_documents, pack_shard
-from twinweave.llm.search import SearchParams, top_k
+from twinweave.llm.search import SearchParams, split_words, top_k, words_of
 from twinweave.llm.sharding import allowed_moves, cut_links, shard_documents
 from twinweave.llm.urlrules import UrlRuleParams, filter_urls, mine_rules
 
@@ -433,6 +434,29 @@ def test_search_passes_over_repeated_rows_of_the_own_id(spark, own):
     assert {7: got} == slow_bm25(data, ask, 4)
 
 
+@pytest.mark.parametrize("more", [
+    {"dense": 0}, {"dense": 3, "posting_cost": 1e9, "block": 4}, {"posting_cost": 1e9}, {"shard_words": 50}])
+def test_search_by_matrix_rows_postings_and_bounds_equals_brute_force(spark, more):
+    rng = random.Random(9)
+    pick = lambda n: " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(n))
+    data = [(i, pick(rng.randint(0, 60))) for i in range(120)] + [(300, None)]
+    ask = [(i, data[i][1]) for i in range(0, 120, 6)] + [(900, "w39"), (901, "nothing")]
+    got = defaultdict(list)
+    rows = top_k(spark.createDataFrame(data, "doc_id long, text string").repartition(2),
+                 spark.createDataFrame(ask, "query_id long, text string"), SearchParams(k=5, **more)).collect()
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.doc_id, round(r.score, 5)))
+    assert dict(got) == slow_bm25(data, ask, 5)
+
+
+def test_many_texts_are_cut_like_one():
+    texts = ["  A b ", "", None, " ", "a\x0bB\x1cc\x0cd e\x85f\u0130", "x\x00y", "\n\t"]
+    words, count = split_words(pa.array(texts))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in words_of(t)]
+    assert count.tolist() == [len(words_of(t)) for t in texts]
+    assert [len(x) for x in split_words(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_search_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert top_k(df, df.withColumnRenamed("doc_id", "query_id")).collect() == []
