@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from conftest import rows
 
+from twinweave.operators import compare as module
 from twinweave.functions.similarity import first_free, short_ratios
 from twinweave.operators.compare import (
     Attribute, Relation, attribute_similarity, compare, fuzzy_matches, relation_similarity,
@@ -210,3 +211,21 @@ def test_row_form_compares_copies_once(kv, pairs, monkeypatch, multi):
     assert rows(compare(met, features, multi, 0)) == want
     # s0 to s4, odd, few and both without values, with t0 to t3, u and the one without values.
     assert asked == [(4 * 3 - 1, 3 + 1 + 1 + 4 + 2)]
+
+
+def test_pairs_of_profiles_travel_as_numbers(kv, pairs, monkeypatch):
+    staged = {}
+
+    def told(df, name, write=module.materialise):
+        staged[name] = dict(df.dtypes)
+        return write(df, name)
+
+    monkeypatch.setattr(module, "materialise", told)
+    source = kv([("a", "x"), ("b", "x"), ("c", None), ("e", "y")])
+    target = kv([("1", "x"), ("2", "y")])
+    met = pairs([("a", "1"), ("b", "1"), ("b", "2"), ("c", "1"), ("d", "2"), ("e", "2"), ("a", "9")])
+    got = module.attribute_similarity(met, source, target, default=0.25, metric="equal")
+    assert rows(got) == [("a", "1", 1.0), ("a", "9", 0.25), ("b", "1", 1.0), ("b", "2", 0.0), ("c", "1", 0.25),
+                         ("d", "2", 0.25), ("e", "2", 1.0)]
+    for name in ("links", "combos", "scored"):
+        assert staged[name]["s_pid"] == staged[name]["t_pid"] == "bigint"
