@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from twinweave.plans import workload
 from twinweave.operators.skew import balanced_join, load_report, lookup_join, split_from
 
 
@@ -95,3 +96,18 @@ def test_few_rows_of_many_pairs_make_them_in_several_tasks(spark, monkeypatch):
     joined = balanced_join(left, left.withColumnRenamed("a", "b"), ["key"], ["a"], ["b"], 40, 0.0)
     assert joined.count() == 3 * 100 * 100
     assert joined.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_part_numbers_are_parsed_before_they_are_joined(spark, tmp_path):
+    spark.createDataFrame(
+        [(i, "ab"[i % 2], 10 + 30 * (i % 3 > 0)) for i in range(12)], "p_partkey long, p_name string, p_size int"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    out = workload.balanced_join_parts(spark, str(tmp_path))
+    want = {}
+    for s in (i for i in range(12) if i % 3 == 0):
+        for t in (i for i in range(12) if i % 3 and i % 2 == s % 2):
+            n, apart = want.get("ab"[s % 2], (0, 0))
+            want["ab"[s % 2]] = n + 1, apart + s - t
+    assert {r.key: (r.pairs, r.apart) for r in out.collect()} == want
+    aggregate = out._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    assert "Aggregate" in aggregate and "cast(s" not in aggregate

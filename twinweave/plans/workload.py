@@ -227,15 +227,12 @@ def block_load_report(spark, d):
 
 def balanced_join_parts(spark, d):
     """Names cut into a thousand workers' shares, so that the heavy ones are really split."""
-    left, right = parts(spark, d)
-    joined = balanced_join(
-        left.withColumnRenamed("sub", "s"), right.withColumnRenamed("sub", "t"), ["key"], ["s"], ["t"],
-        n_workers=1_000, min_load=0.0,
-    )
+    # As numbers before the join, so that they are not parsed again for every pair.
+    left, right = (
+        side.select("key", F.col("sub").cast("bigint").alias(name)) for side, name in zip(parts(spark, d), "st"))
+    joined = balanced_join(left, right, ["key"], ["s"], ["t"], n_workers=1_000, min_load=0.0)
     return joined.groupBy("key").agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.sum(F.col("s").cast("bigint") - F.col("t").cast("bigint")).alias("apart"),
-    )
+        F.count(F.lit(1)).alias("pairs"), F.sum(F.col("s") - F.col("t")).alias("apart"))
 
 
 def balanced_join_lines(spark, d):
